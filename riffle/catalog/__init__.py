@@ -1,0 +1,6 @@
+"""Registered queries with the SQL that checks them."""
+
+from riffle.catalog import aggregates, filters  # noqa: F401
+from riffle.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

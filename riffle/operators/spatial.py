@@ -77,7 +77,7 @@ def _cell(side: str, i: int, level: int) -> Column:
 def _cells(df: DataFrame, metric: Metric, level: int, side: str, sums: list[str]) -> DataFrame:
     keys = [_cell(side, i, level).alias(f"{side}c{i}") for i in range(metric.dims)]
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(f"{side}n"), *[F.sum(s).alias(s) for s in sums]
+        F.count("*").alias(f"{side}n"), *[F.sum(s).alias(s) for s in sums]
     )
 
 
