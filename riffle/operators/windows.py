@@ -42,7 +42,7 @@ def trailing_means(df: DataFrame, key: str, ts: str, values: dict[str, str],
     Time is cut into blocks of that length; a row is also read by the next block, so every window
     sees two blocks at most, whatever the number of rows of one key.
     """
-    sec = F.unix_micros(F.col(ts))
+    sec = F.unix_micros(F.col(ts).cast("timestamp"))
     width = seconds * 1_000_000
     block = F.floor(sec / width)
     rows = df.withColumn("_t", sec).withColumn("_own", block).withColumn(
@@ -56,27 +56,46 @@ def closest_in_time(df: DataFrame, key: str, ts: str, tie: str, seconds_back: in
                     carry: list[str], prefix: str, reach: int | None = None) -> DataFrame:
     """Each row with the same key's earlier row nearest to ``seconds_back`` before it.
 
-    The candidates are rows from ``reach`` seconds either side of the target time, matched by
-    time block. The earliest in time, then the smallest ``tie``, wins equal distances. Rows
-    without a candidate keep nulls.
+    Readings and wanted instants are merged in time order and range-partitioned, so a key may
+    span any number of partitions. Each piece looks back and ahead on its own; one row per
+    (partition, key) carries the last reading before and the first one after the piece. Equal
+    distances go to the earlier reading, equal instants to the smallest ``tie``. ``reach`` limits
+    the distance in seconds; rows without a candidate keep nulls.
     """
-    reach = reach or seconds_back
-    width = reach * 1_000_000
-    micros = F.unix_micros(F.col(ts))
-    others = df.select(
-        F.col(key).alias("_k"), micros.alias("_ot"), F.col(tie).alias("_otie"),
-        F.floor(micros / width).alias("_b"), *[F.col(c).alias(f"_o_{c}") for c in carry])
-    # per (key, instant) only the smallest tie can win
-    others = others.groupBy("_k", "_ot", "_b").agg(
-        F.min(F.struct("_otie", *[f"_o_{c}" for c in carry])).alias("_r"))
-    target = micros - seconds_back * 1_000_000
-    rows = df.withColumn("_target", target).withColumn(
-        "_b", F.explode(F.array(*[F.floor(F.col("_target") / width) + o for o in (-1, 0, 1)])))
-    gap = F.abs(F.col("_ot") - F.col("_target"))
-    near = rows.select(key, tie, ts, "_target", "_b").join(
-        others, (F.col(key) == F.col("_k")) & (rows["_b"] == others["_b"]))
-    near = near.where((gap <= width) & (F.col("_ot") < F.unix_micros(F.col(ts))))
-    best = near.groupBy(key, tie).agg(F.min(F.struct(gap.alias("g"), "_ot", "_r")).alias("_m"))
-    found = best.select(key, tie, *[
-        F.col(f"_m._r._o_{c}").alias(prefix + c) for c in carry])
-    return df.join(found, [key, tie], "left")
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    back = seconds_back * 1_000_000
+    readings = df.groupBy(F.col(key).alias("_k"), micros.alias("_t")).agg(
+        F.min(F.struct(F.col(tie).alias("_tie"), *carry)).alias("_r"))
+    readings = readings.select("_k", "_t", F.lit(0).alias("_kind"), F.struct(
+        "_t", "_r").alias("_r"))
+    asked = df.select(F.col(key).alias("_k"), (micros - back).alias("_t"),
+                      F.lit(1).alias("_kind")).distinct()
+    merged = readings.unionByName(asked, allowMissingColumns=True)
+    placed = cut(merged.repartitionByRange("_k", "_t", "_kind").withColumn(
+        "_part", F.spark_partition_id()))
+    piece = Window.partitionBy("_part", "_k").orderBy("_t", "_kind")
+    local = placed.withColumns({
+        "_before": F.last("_r", True).over(piece.rowsBetween(Window.unboundedPreceding, 0)),
+        "_after": F.first("_r", True).over(piece.rowsBetween(0, Window.unboundedFollowing)),
+    }).where("_kind = 1")
+    ends = placed.groupBy("_part", "_k").agg(
+        F.max(F.when(F.col("_kind") == 0, F.col("_r"))).alias("_last"),
+        F.min(F.when(F.col("_kind") == 0, F.col("_r"))).alias("_first"))
+    along = Window.partitionBy("_k").orderBy("_part")
+    ends = ends.select(
+        "_part", "_k",
+        F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"),
+        F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_out"))
+    spans = local.join(ends, ["_part", "_k"]).select(
+        "_k", "_t", F.coalesce("_before", "_in").alias("_b"), F.coalesce("_after", "_out").alias("_a"))
+    gap_b, gap_a = F.col("_t") - F.col("_b._t"), F.col("_a._t") - F.col("_t")
+    ahead_ok = F.coalesce(F.col("_a._t") < F.col("_t") + back, F.lit(False))
+    use_ahead = ahead_ok & (F.col("_b").isNull() | (gap_a < gap_b))
+    best = F.when(use_ahead, F.col("_a")).otherwise(F.col("_b"))
+    found = spans.select("_k", "_t", best.alias("_m"))
+    if reach is not None:
+        near = F.abs(F.col("_m._t") - F.col("_t")) <= reach * 1_000_000
+        found = found.withColumn("_m", F.when(near, F.col("_m")))
+    found = found.select("_k", "_t", *[F.col(f"_m._r.{c}").alias(prefix + c) for c in carry])
+    return df.join(found, (df[key] == found["_k"]) & (micros - back == found["_t"]), "left").drop(
+        "_k", "_t")
