@@ -44,15 +44,15 @@ def _(t):
 
 
 @query("e4_trailing_mean", """
-    SELECT reading_id, round(avg(level_m) OVER w, 6) AS level_mean,
-      round(avg(discharge_cms) OVER w, 6) AS discharge_mean FROM gauges
+    SELECT reading_id, round(avg(level_m) OVER w, 9) AS level_mean,
+      round(avg(discharge_cms) OVER w, 9) AS discharge_mean FROM gauges
     WINDOW w AS (PARTITION BY station_id ORDER BY epoch_us(ts)
       RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)""")
 def _(t):
     out = Wn.trailing_means(t.gauges, "station_id", "ts", {
         "level_mean": "level_m", "discharge_mean": "discharge_cms"})
-    return out.select("reading_id", F.round("level_mean", 6).alias("level_mean"),
-                      F.round("discharge_mean", 6).alias("discharge_mean"))
+    return out.select("reading_id", F.round("level_mean", 9).alias("level_mean"),
+                      F.round("discharge_mean", 9).alias("discharge_mean"))
 
 
 _REF = """WITH g AS (SELECT *, epoch_us(ts) AS u FROM gauges),

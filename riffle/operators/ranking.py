@@ -18,7 +18,7 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     so a crowded group sends at most k rows per task."""
     w = Window.partitionBy(*group).orderBy(*order)
     out = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
+    return out.withColumn("_rn", F.col("_rn").cast("bigint")).withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a new table in the reliable checkpoint folder and go on from its files.
+
+    Unlike a checkpointed plan, the written table carries its true size, so the joins of a long
+    loop are planned on facts instead of on ever larger estimates.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/riffle-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reuse(df: DataFrame) -> DataFrame:
