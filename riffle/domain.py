@@ -180,6 +180,44 @@ RELATIONS: dict[str, str] = {
                CASE WHEN value < 20 THEN 'unverified' WHEN value < 80 THEN 'anecdotal'
                     ELSE 'confirmed' END AS confidence
         FROM events""",
+    "feats": f"""
+        SELECT p_partkey AS ogf_id, {at("p_partkey", 11, "centroid_")},
+               CASE WHEN p_size % 3 = 0 THEN p_name END AS watercourse_name,
+               CASE WHEN p_type = 'ECONOMY' THEN 'Virtual Flow' ELSE 'Stream' END
+                   AS watercourse_type,
+               CAST(p_partkey % 6 + 1 AS BIGINT) AS stream_order, p_retailprice * 3 AS length_m,
+               CASE p_size % 4 WHEN 0 THEN 'coarse' WHEN 1 THEN 'mixed' WHEN 2 THEN 'fine'
+                    ELSE 'unknown' END AS substrate_category,
+               CASE p_size % 3 WHEN 0 THEN 'coldwater' WHEN 1 THEN 'coolwater' ELSE 'unknown' END
+                   AS thermal_regime,
+               CASE p_size % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'unknown' END
+                   AS ept_quality,
+               p_partkey % 9 = 0 AS is_confluence_segment,
+               (p_partkey % 100) / 50.0E0 AS distance_to_nearest_confluence_km,
+               CASE WHEN p_size % 2 = 0 THEN (p_partkey % 500) * 1.0E0 END
+                   AS nearest_waterbody_distance_m,
+               p_size % 2 = 0 AND p_partkey % 500 <= 200 AS connected_to_waterbody
+        FROM part""",
+    "scored_access": """
+        SELECT p_partkey AS ogf_id, ((p_partkey * 37) % 1000) / 1000.0E0 AS access_score,
+               p_partkey % 11 = 0 AS is_crown_land
+        FROM part""",
+    "moments": """
+        SELECT event_id AS moment_id,
+               CASE user_id % 9 WHEN 0 THEN 'brook trout' WHEN 1 THEN 'smallmouth bass'
+                    WHEN 2 THEN 'northern pike' WHEN 3 THEN 'walleye' WHEN 4 THEN 'channel catfish'
+                    WHEN 5 THEN 'bluegill' WHEN 6 THEN 'common carp' WHEN 7 THEN 'rainbow darter'
+                    ELSE 'bowfin' END AS species,
+               CAST(event_id % 12 + 1 AS INT) AS month,
+               CASE WHEN event_id % 7 <> 0 THEN value / 10 END AS temp_c,
+               CASE event_id % 4 WHEN 0 THEN 'clear' WHEN 1 THEN 'stained' WHEN 2 THEN 'murky' END
+                   AS clarity,
+               CASE event_id % 5 WHEN 0 THEN 'falling' WHEN 1 THEN 'rising' WHEN 2 THEN 'steady' END
+                   AS pressure,
+               CASE event_id % 8 WHEN 0 THEN 'dawn' WHEN 1 THEN 'morning' WHEN 2 THEN 'midday'
+                    WHEN 3 THEN 'afternoon' WHEN 4 THEN 'evening' WHEN 5 THEN 'dusk'
+                    WHEN 6 THEN 'night' END AS time_of_day
+        FROM events""",
     "ranges": """
         SELECT c_name AS species, c_custkey AS scientific_name,
                CASE WHEN c_nationkey % 2 = 0 THEN 'CA-ON' ELSE 'US-NY' END AS jurisdiction,

@@ -72,12 +72,22 @@ def raw_scores(segments: DataFrame, access: DataFrame, parks: DataFrame, crown:
                at=("lat", "lng")) -> DataFrame:
     """Sum of all modifiers, clipped to 0..2."""
     roads = access.where(F.col("access_type").isin("road", "parking"))
-    out = with_park_modifier(segments, parks, at=at)
-    out = with_crown_flag(out, crown, at=at)
-    out = S.with_nearest(out, roads, S.DEGREES, "osm_id", bound=ROAD_REACH_DEG, left_at=at,
-                         distance="_road", prefix="_rd_")
-    out = bonus_within(out, access, 0.5, HALF_KM_BONUSES, at)
-    out = bonus_within(out, access, 1.0, ONE_KM_BONUSES, at)
+    # every modifier depends on the place alone: compute each from the distinct places
+    lat, lng = at
+    places = segments.select(*at).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
+    parts = [
+        with_park_modifier(places, parks, at=at),
+        with_crown_flag(places, crown, at=at),
+        S.with_nearest(places, roads, S.DEGREES, "osm_id", bound=ROAD_REACH_DEG, left_at=at,
+                       distance="_road", prefix="_rd_"),
+        bonus_within(places, access, 0.5, HALF_KM_BONUSES, at),
+        bonus_within(places, access, 1.0, ONE_KM_BONUSES, at),
+    ]
+    out = segments
+    for part in parts:
+        out = out.join(part, list(at), "left")
+    out = out.fillna(False, ["is_crown_land"]).fillna(
+        0.0, ["park_modifier", *HALF_KM_BONUSES, *ONE_KM_BONUSES])
     road = banded(F.col("_road") * geo.KM_PER_DEGREE, ROAD_BANDS, 0.0)
     total = (
         F.lit(1.0) + F.col("park_modifier")

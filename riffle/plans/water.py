@@ -34,10 +34,14 @@ def dispersal_flags(features: DataFrame, streams: DataFrame, birds: DataFrame, a
                     days: int = 30, stream_m: float = 200.0, bird_m: float = 500.0) -> DataFrame:
     """Ponds and reservoirs without a stream beside them but with recent birds."""
     recent = birds.where(since("observed_on", asof, days))
-    out = _count_in_box(features, streams, stream_m, "_streams")
-    out = _count_in_box(out, recent, bird_m, "_birds")
+    places = features.where(F.col("feature_type").isin(ISOLATED_TYPES)).select("lat", "lng").distinct()
+    out = features
+    for part in (_count_in_box(places, streams, stream_m, "_streams"),
+                 _count_in_box(places, recent, bird_m, "_birds")):
+        out = out.join(part, ["lat", "lng"], "left")
     flag = (F.col("feature_type").isin(ISOLATED_TYPES) & (F.col("_streams") == 0)
             & (F.col("_birds") > 0))
+    flag = F.coalesce(flag, F.lit(False))
     return out.withColumn("waterfowl_dispersal_flag", flag).drop("_streams", "_birds")
 
 
