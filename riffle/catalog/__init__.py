@@ -1,6 +1,8 @@
 """Registered queries with the SQL that checks them."""
 
-from riffle.catalog import aggregates, filters, joins, network, ranking, scores  # noqa: F401
+from riffle.catalog import (  # noqa: F401
+    aggregates, expressions, filters, joins, network, ranking, scores, tables, text,
+)
 from riffle.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,7 @@ from riffle.functions import geo
 from riffle.operators import spatial as S
 from riffle.operators.aggregates import lookup, with_min_max
 from riffle.operators.joins import banded
+from riffle.session import cut
 
 # Modifier per park type, bonuses per access type, road bands in km.
 PARK_MODIFIERS = {
@@ -101,5 +102,6 @@ def raw_scores(segments: DataFrame, access: DataFrame, parks: DataFrame, crown:
 
 def access_scores(segments, access, parks, crown, at=("lat", "lng")) -> DataFrame:
     """Access score in 0..1 over all segments, with the crown land flag."""
-    return with_min_max(raw_scores(segments, access, parks, crown, at), "access_raw",
-                        "access_score")
+    # the bounds and the rows read the same result: write it once
+    raw = cut(raw_scores(segments, access, parks, crown, at))
+    return with_min_max(raw, "access_raw", "access_score")

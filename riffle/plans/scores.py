@@ -12,6 +12,7 @@ from riffle.operators import spatial as S
 from riffle.operators.aggregates import most_common, with_log_max
 from riffle.operators.ranking import top_per_group, top_two
 from riffle.plans.species import common_name, resolve
+from riffle.session import cut
 
 FEATURE_DEFAULTS = {
     "watercourse_name": ("string", ""), "watercourse_type": ("string", ""),
@@ -83,6 +84,7 @@ def untapped_potential(features: DataFrame, access: DataFrame, predictions: Data
     ``features`` and ``access`` are keyed by ogf_id (access_score, is_crown_land).
     """
     base = _with_feature_defaults(features).where(F.col("watercourse_type") != "Virtual Flow")
+    base = cut(base)  # read by the maximum and by the rows
     base = with_log_max(base, "observation_density_25km", "observation_pressure")
     out = base.join(habitat_scores(predictions, species), "ogf_id", "left").join(
         access.select("ogf_id", "access_score", "is_crown_land"), "ogf_id", "left")
