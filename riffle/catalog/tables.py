@@ -159,7 +159,7 @@ def _(t):
         F.when(F.col("place_guess").isNotNull(), F.concat_ws(",", "lat", "lng")).alias("location"),
         F.col("observed_on").cast("string").alias("observed_on"),
         F.when(F.col("is_obscured"), "obscured").alias("geoprivacy"), "place_guess")
-    docs = o.groupBy((F.col("observation_id") % 64).alias("b")).agg(F.collect_list(doc).alias("results"))
+    docs = o.groupBy(F.floor(F.col("observation_id") / 200).alias("b")).agg(F.collect_list(doc).alias("results"))
     path = landed(t, "observations", docs.select("results"))
     return Js.observations(Js.read(t.spark, path, Js.OBSERVATIONS)).select(
         "observation_id", "species", "lat", "lng", "observed_on", "geoprivacy", "is_obscured",
@@ -175,14 +175,15 @@ def _(t):
         F.concat(F.col("observed_on").cast("string"), F.lit("T10:00:00")).alias("eventDate"),
         F.col("basis_of_record").alias("basisOfRecord"),
         F.col("coordinate_uncertainty_m").alias("coordinateUncertaintyInMeters"))
-    docs = t.gbif.groupBy((F.col("gbif_key") % 16).alias("b")).agg(F.collect_list(doc).alias("results"))
+    docs = t.gbif.groupBy(F.floor(F.col("gbif_key") / 200).alias("b")).agg(F.collect_list(doc).alias("results"))
     path = landed(t, "occurrences", docs.select("results"))
     return Js.occurrences(Js.read(t.spark, path, Js.OCCURRENCES)).select(
         "gbif_key", "species", "lat", "lng", "observed_on", "basis_of_record", "coordinate_uncertainty_m")
 
 
-def features(t, name, rows, key, n=16):
-    docs = rows.groupBy((F.col(key) % n).alias("b")).agg(F.collect_list("feature").alias("features"))
+def features(t, name, rows, key):
+    # a response document holds at most 200 features
+    docs = rows.groupBy(F.floor(F.col(key) / 200).alias("b")).agg(F.collect_list("feature").alias("features"))
     return landed(t, name, docs.select("features"))
 
 
@@ -211,7 +212,7 @@ def _(t):
         F.when(even, when).alias("DATETIME"), F.when(~even, when).alias("DATE_TIME"),
         F.col("level_m").cast("string").alias("LEVEL"), F.coalesce(F.col("discharge_cms").cast(
             "string"), F.lit("n/a")).alias("DISCHARGE")).alias("properties")).alias("feature")
-    path = features(t, "readings", t.gauges.select("reading_id", f), "reading_id", 64)
+    path = features(t, "readings", t.gauges.select("reading_id", f), "reading_id")
     return Js.gauge_readings(Js.read(t.spark, path, Js.READINGS)).select(
         "station_id", F.col("reading_datetime").cast("timestamp_ntz").alias("ts"),
         F.col("water_level_m").alias("level_m"), "discharge_cms")
@@ -230,7 +231,7 @@ def osm_file(t):
         F.when(way, "way").otherwise("node").alias("type"), k.alias("id"),
         F.when(~way, 43.5).alias("lat"), F.when(~way, -79.5).alias("lon"), tags.alias("tags"),
         F.when(way, ring).alias("geometry"))
-    docs = t.customer.groupBy((k % 16).alias("b")).agg(F.collect_list(e).alias("elements"))
+    docs = t.customer.groupBy(F.floor(k / 200).alias("b")).agg(F.collect_list(e).alias("elements"))
     return Js.read(t.spark, landed(t, "elements", docs.select("elements")), O.ELEMENTS)
 
 
@@ -282,7 +283,7 @@ def polygon_docs(t, props):
         F.array(F.slice(small, 1, 4)), F.array(ring)).alias("coordinates")))).otherwise(F.to_json(F.struct(
             F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
     f = F.struct(props.alias("properties"), g.alias("geometry")).alias("feature")
-    path = features(t, "polygons", t.parks.select("park_id", f), "park_id", 4)
+    path = features(t, "polygons", t.parks.select("park_id", f), "park_id")
     # geometry is written as text, as a map of raw fields would hold it
     return Js.read(t.spark, path, Pg.FEATURES)
 
@@ -325,7 +326,7 @@ def watercourse_docs(t, copies=1):
         F.when(F.col("flow_verified"), "Yes").otherwise("No").alias("FLOW_DIRECTION_VERIFIED_IND"),
         F.col("length_m").alias("SYSTEM_CALCULATED_LENGTH")).alias("attributes"),
         F.struct(F.array(path).alias("paths")).alias("geometry")).alias("feature")
-    file = features(t, "watercourses", s.select("ogf_id", f), "ogf_id", 32)
+    file = features(t, "watercourses", s.select("ogf_id", f), "ogf_id")
     return Js.read(t.spark, file, Js.WATERCOURSES)
 
 
@@ -342,7 +343,7 @@ def _(t):
     f = F.struct(F.struct(F.col("ogf_id").alias("OGF_ID"), F.when(
         F.col("barrier_type") != "Rocks", F.col("barrier_type")).alias("HYDROGRAPHIC_POINT_TYPE")).alias(
         "attributes"), F.struct(F.col("lng").alias("x"), F.col("lat").alias("y")).alias("geometry"))
-    path = features(t, "barriers", t.barriers.select("ogf_id", f.alias("feature")), "ogf_id", 4)
+    path = features(t, "barriers", t.barriers.select("ogf_id", f.alias("feature")), "ogf_id")
     return Js.barriers(Js.read(t.spark, path, Js.BARRIERS)).select("ogf_id", "barrier_type", "lat", "lng")
 
 
@@ -381,7 +382,7 @@ def _(t):
 @query("a20_parallel_arrays", """
     SELECT date_trunc('minute', ts) AS ts, value AS pressure FROM events WHERE event_id % 8 <> 0""")
 def _(t):
-    e = t.events.withColumn("b", F.col("event_id") % 64)
+    e = t.events.withColumn("b", F.floor(F.col("event_id") / 200))
     pair = F.sort_array(F.collect_list(F.struct("event_id", F.date_format(
         "ts", "yyyy-MM-dd'T'HH:mm").alias("time"), F.when(F.col("event_id") % 8 != 0, F.col("value")).alias("v"))))
     docs = e.groupBy("b").agg(pair.alias("p")).select(F.struct(
@@ -405,7 +406,7 @@ def _(t):
         (k * 1000).cast("double").alias("created_utc"), (k % 11 == 0).alias("stickied"),
         F.when(k % 13 == 0, "moderator").alias("distinguished"))
     child = F.struct(F.when(k % 2 == 0, "t1").otherwise("t3").alias("kind"), data.alias("data"))
-    docs = t.documents.groupBy((k % 128).alias("b")).agg(F.collect_list(child).alias("children"))
+    docs = t.documents.groupBy(F.floor(k / 200).alias("b")).agg(F.collect_list(child).alias("children"))
     path = landed(t, "posts", docs.select(F.struct("children").alias("data")))
     return Js.posts(Js.read(t.spark, path, Js.POSTS)).select(
         "post_id", "post_type", F.md5("body").alias("digest"), "title")

@@ -49,14 +49,14 @@ _TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lamb
 
 @query("j4_full_text_search", f"""
     WITH d AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS t1,
-        len(list_filter(w, lambda x: x = 'heron')) AS t2 FROM (SELECT doc_id, {_TOK} AS w FROM documents)),
+        len(list_filter(w, lambda x: x = 'ing')) AS t2 FROM (SELECT doc_id, {_TOK} AS w FROM documents)),
       s AS (SELECT count(*) AS docs, avg(n) AS avgn, count(*) FILTER (WHERE t1 > 0) AS d1,
         count(*) FILTER (WHERE t2 > 0) AS d2 FROM d)
     SELECT doc_id, round(ln(1 + (docs - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / avgn))
       + ln(1 + (docs - d2 + 0.5) / (d2 + 0.5)) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * n / avgn)), 6) AS score
     FROM d JOIN s ON true WHERE t1 > 0 AND t2 > 0 ORDER BY score DESC, doc_id LIMIT 30""")
 def _(t):
-    found = Se.search(t.documents, "doc_id", F.col("text"), "the heron", None)
+    found = Se.search(t.documents, "doc_id", F.col("text"), "the ing", None)
     return found.select("doc_id", F.round("score", 6).alias("score")).orderBy(
         F.desc("score"), "doc_id").limit(30)
 
