@@ -19,7 +19,6 @@ def matrix(t):
 
 
 def rows(t):
-    """Records by species, kept where the key says the habitat suits them, so there is a signal."""
     return M.records(t.observations, t.gbif)
 
 

@@ -155,7 +155,7 @@ def _(t):
     return out.select(
         "ogf_id", "rank", F.round("untapped_score", 6).alias("untapped_score"), "fmz", "seen",
         F.array_join(species, ", ").alias("nearby_species"),
-        Sc.connectivity_note(F.col("nearest_named_stream"), species).alias("connectivity_note"),
+        Sc.connectivity_note(F.col("named_stream_3km"), species).alias("connectivity_note"),
         Sc.habitat_summary().alias("habitat_summary"))
 
 

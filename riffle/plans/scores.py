@@ -230,6 +230,9 @@ def enrich(few: DataFrame, segments: DataFrame, access: DataFrame, predictions:
         "near_id", ["name"], at
     ).select("ogf_id", J.named_stream_label(F.col("name"), F.col("km")).alias(
         "nearest_named_stream"))
+    close = J.nearest_in_box(
+        few, named.withColumnRenamed("ogf_id", "near_id"), deg(3.0), "ogf_id", "near_id", ["name"], at
+    ).select("ogf_id", J.named_stream_label(F.col("name"), F.col("km")).alias("named_stream_3km"))
     roads = access.where(F.col("access_type").isin("road", "parking"))
     road = J.nearest_in_box(few, roads, deg(2.0), "ogf_id", "osm_id", ["access_type"], at)
     road = road.join(F.broadcast(few.select("ogf_id", *at)), "ogf_id").select(
@@ -244,7 +247,7 @@ def enrich(few: DataFrame, segments: DataFrame, access: DataFrame, predictions:
         "ogf_id", F.array_compact(F.array(
             common_name(F.col("top1")), common_name(F.col("top2")))).alias("top_species"))
     out = few
-    for part in (stream, road, spot, two):
+    for part in (stream, close, road, spot, two):
         out = out.join(part, "ogf_id", "left")
     out = out.withColumn("top_species", F.coalesce(
         "top_species", F.array().cast("array<string>")))
@@ -279,12 +282,11 @@ def find_untapped_water(untapped: DataFrame, predictions: DataFrame, lat: float,
 def find_exploration_targets(untapped: DataFrame, predictions: DataFrame, seen: DataFrame,
                              lat: float, lng: float, radius_km: float = 50.0,
                              species: str | None = None, min_stream_order: int = 3,
-                             limit: int = 10, mode: str = "balanced") -> DataFrame:
+                             limit: int = 5, mode: str = "balanced") -> DataFrame:
     """Like the above by mode, with segments already seen scored down."""
     rows = untapped.where(
         geo.near("centroid_lat", "centroid_lng", lat, lng, radius_km)
         & (F.col("stream_order") >= min_stream_order))
-    rows = rows.where(~likely_culverted("stream_order", "observation_density_25km"))
     if species:
         habitat = habitat_scores(predictions, species)
         rows = rows.drop("habitat_score").join(habitat, "ogf_id", "left").withColumn(
