@@ -304,7 +304,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done = group.select("node")
         core = cut(_trim(core.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(
             done.withColumnRenamed("node", "dst"), "dst", "left_anti")))
-    outer = found.withColumnsRenamed({"node": "comp", "comp": "top"})
+    outer = found.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     lifted = merged.join(outer, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
     single = found.join(merged, "node", "left_anti")
     return cut(lifted.unionByName(single))
@@ -372,6 +372,10 @@ def node_orders(dag: DataFrame, nodes: DataFrame) -> DataFrame:
         other = state.where("ord IS NOT NULL OR f IS NOT NULL").select(
             F.col("node").alias("ptr"), F.col("ord").alias("o2"), F.col("f").alias("f2"),
             F.col("ptr").alias("p2"))
+        if done is not None:
+            # a pointer may lead to a node settled in an earlier round
+            other = other.unionByName(done.select(
+                F.col("node").alias("ptr"), F.col("ord").alias("o2")), allowMissingColumns=True)
         after = lambda x: F.element_at(F.col("f"), F.least(x, F.lit(MAX_ORDER)))
         out = cut(state.join(other, "ptr", "left").select(
             "node", "m", "k",
