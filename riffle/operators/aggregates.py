@@ -75,8 +75,19 @@ def values_at(df: DataFrame, keys: list[str], value: str, positions: dict[str, C
         F.min("v").alias("v"))
 
 
-def exact_median(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Median of each value column per key, nulls skipped."""
+MEDIAN_GROUP_LIMIT = 2_000_000
+
+
+def exact_median(df: DataFrame, keys: list[str], values: list[str],
+                 group_limit: int = MEDIAN_GROUP_LIMIT) -> DataFrame:
+    """Median of each value column per key, nulls skipped.
+
+    The built-in aggregate holds a group's values in one task, so it is used only while the
+    largest group is known to be small; past that the position is narrowed down in parallel.
+    """
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= group_limit:
+        return df.groupBy(*keys).agg(*[F.median(F.col(v)).alias(v) for v in values])
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(v).alias("param"), F.col(v).cast("double").alias("x")) for v in values
     ])).alias("s")).select(*keys, "s.param", "s.x")

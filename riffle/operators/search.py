@@ -45,13 +45,13 @@ def search(docs: DataFrame, key: str, text: Column, query: str, limit: int | Non
     totals = scanned.agg(
         F.count("*").alias("n"), F.avg("_len").alias("avg"),
         *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-    value = lambda c: totals.select(c).scalar()
+    value = totals.first()  # one row of counts
     score = F.lit(0.0)
     for i in range(len(terms)):
-        df, tf = value(f"df{i}"), F.col("_tf")[i]
-        idf = F.log1p((value("n") - df + 0.5) / (df + 0.5))
+        df, tf = value[f"df{i}"], F.col("_tf")[i]
+        idf = F.log1p(F.lit((value["n"] - df + 0.5) / (df + 0.5)))
         score = score + idf * tf * (K1 + 1) / (
-            tf + K1 * (1 - B + B * F.col("_len") / value("avg")))
+            tf + K1 * (1 - B + B * F.col("_len") / F.lit(value["avg"] or 1.0)))
     hits = scanned.where(F.forall("_tf", lambda n: n > 0))
     if where is not None:
         hits = hits.where(where)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riffle.functions import geo
-from riffle.session import cut
+from riffle.session import cut, spread
 
 MAX_LEVEL = 24
 LEVEL_STEP = 2
@@ -137,10 +137,8 @@ def _candidates(pairs: DataFrame, left: DataFrame, right: DataFrame, metric: Met
     dims = range(metric.dims)
     lk, rk = [f"lc{i}" for i in dims], [f"rc{i}" for i in dims]
     keyed = pairs.select(*lk, *rk)
-    return (
-        keyed.join(_at_level(left, metric, level, "l"), lk).drop(*lk)
-        .join(_at_level(right, metric, level, "r"), rk).drop(*rk)
-    )
+    asked = spread(keyed.join(_at_level(left, metric, level, "l"), lk).drop(*lk), *rk)
+    return asked.join(_at_level(right, metric, level, "r"), rk).drop(*rk)
 
 
 def _sites(df: DataFrame, lat: str, lng: str, side: str, aggs: list[Column]) -> DataFrame:

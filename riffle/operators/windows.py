@@ -74,18 +74,21 @@ def closest_in_time(df: DataFrame, key: str, ts: str, tie: str, seconds_back: in
     placed = cut(merged.repartitionByRange("_k", "_t", "_kind").withColumn(
         "_part", F.spark_partition_id()))
     piece = Window.partitionBy("_part", "_k").orderBy("_t", "_kind")
+    # looking ahead is looking back in the reversed order: growing frames cost one pass each
+    rear = Window.partitionBy("_part", "_k").orderBy(F.desc("_t"), F.desc("_kind"))
     local = placed.withColumns({
         "_before": F.last("_r", True).over(piece.rowsBetween(Window.unboundedPreceding, 0)),
-        "_after": F.first("_r", True).over(piece.rowsBetween(0, Window.unboundedFollowing)),
+        "_after": F.last("_r", True).over(rear.rowsBetween(Window.unboundedPreceding, 0)),
     }).where("_kind = 1")
     ends = placed.groupBy("_part", "_k").agg(
         F.max(F.when(F.col("_kind") == 0, F.col("_r"))).alias("_last"),
         F.min(F.when(F.col("_kind") == 0, F.col("_r"))).alias("_first"))
     along = Window.partitionBy("_k").orderBy("_part")
+    ahead = Window.partitionBy("_k").orderBy(F.desc("_part"))
     ends = ends.select(
         "_part", "_k",
         F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"),
-        F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_out"))
+        F.last("_first", True).over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("_out"))
     spans = local.join(ends, ["_part", "_k"]).select(
         "_k", "_t", F.coalesce("_before", "_in").alias("_b"), F.coalesce("_after", "_out").alias("_a"))
     gap_b, gap_a = F.col("_t") - F.col("_b._t"), F.col("_a._t") - F.col("_t")

@@ -212,6 +212,11 @@ TECHNIQUES = {
     "tube": "drag and crawl along bottom, occasional twitch",
 }
 TOPWATER = ("topwater popper / walking bait", "buzzbait or wake bait")
+DEFAULT_TECHNIQUE = "present at depth, vary cadence until a pattern emerges"
+LURE_TECHNIQUE = {
+    lure: next((how for word, how in TECHNIQUES.items() if word in lure.lower()), DEFAULT_TECHNIQUE)
+    for lure in {*TOPWATER, *(l for by in LURES.values() for pair in by.values() for l in pair)}
+}
 MICRO = {
     "lure_type": "ultralight rig",
     "color": "natural (waxworm, maggot, or tiny nightcrawler piece)",
@@ -272,8 +277,11 @@ def recommend(rows: DataFrame) -> DataFrame:
     c = F.col
     given = sum((c(x).isNotNull().cast("int") for x in (
         "temp_c", "clarity", "pressure", "time_of_day")), F.lit(0))
-    x = rows.withColumns({"group": species_group(c("species")), "season": season(c("month")),
-                          "condition_count": given})
+    # the group and season are read many times below: settle them per distinct value first
+    kinds = rows.select("species").distinct().withColumn("group", species_group(c("species")))
+    x = rows.withColumns({"season": season(c("month")), "condition_count": given})
+    x = x.join(kinds, "species", "left").withColumn(
+        "group", F.coalesce("group", F.lit("unknown")))
     x = x.withColumn("activity", F.when(c("group") != "microfishing", activity(c("temp_c"), c("group"))))
     micro = c("group") == "microfishing"
 
@@ -301,9 +309,7 @@ def recommend(rows: DataFrame) -> DataFrame:
         F.when(c("activity").isin("lethargic", "sub_optimal"), "slow bottom-contact or deadstick"),
     )), ", ")
     dashed = F.when(extra == "", extra).otherwise(F.concat(F.lit(" — "), extra))
-    how = [F.concat(_first_word(F.lower(l), TECHNIQUES.items(),
-                                "present at depth, vary cadence until a pattern emerges"), dashed)
-           for l in lures]
+    how = [F.concat(_table(LURE_TECHNIQUE, l, DEFAULT_TECHNIQUE), dashed) for l in lures]
     matched = F.array_compact(F.array(
         F.concat(F.replace(c("season"), F.lit("_"), F.lit("-")), F.lit(" season")),
         F.when(c("activity").isNotNull(), F.concat(

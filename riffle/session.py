@@ -56,3 +56,11 @@ def cut(df: DataFrame) -> DataFrame:
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a result that several branches of one plan read; lost blocks are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows over all cores ahead of a step that makes many rows out of few bytes,
+    which size-based coalescing would put into one task."""
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *keys)
