@@ -161,7 +161,7 @@ def lines(t):
       SELECT *, row_number() OVER (PARTITION BY barrier_id ORDER BY dist, ogf_id) AS rn FROM e)
     WHERE rn = 1 AND dist <= 0.002""")
 def _(t):
-    found = S.nearest_line(t.barriers, lines(t), 0.002, "ogf_id", "vertices", piece_deg=0.02)
+    found = S.nearest_line(t.barriers, lines(t), 0.002, "ogf_id", "vertices", piece_deg=0.1)
     b = t.barriers.select(F.col("ogf_id").alias("barrier_id"), "lat", "lng")
     return b.join(found, (b["lat"] == found["l_lat"]) & (b["lng"] == found["l_lng"])).select(
         "barrier_id", "ogf_id", F.round(F.col("distance") * geo.M_PER_DEGREE, 1).alias("distance_m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,19 @@ def stats(docs: DataFrame, key: str, text: Column) -> DataFrame:
         F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
+def words_of(query: str) -> list[str]:
+    """Distinct lower-case words of a question, in order."""
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+
+
 def _counts(text: Column, terms: list[str]) -> Column:
-    """Occurrences of each term in the token array: no explode, no shuffle."""
-    count = lambda term: F.size(F.filter(text, lambda w: w == term))
-    return F.array(*[count(t) for t in terms])
+    """Occurrences of each whole word: counted in place, no token array and no shuffle."""
+    edge = r"[\p{L}\p{N}]"
+    return F.array(*[
+        F.regexp_count(text, F.lit(rf"(?<!{edge})\Q{t}\E(?!{edge})")) for t in terms])
 
 
 def search(docs: DataFrame, key: str, text: Column, query: str, limit: int | None = 30,
@@ -39,9 +50,10 @@ def search(docs: DataFrame, key: str, text: Column, query: str, limit: int | Non
     The words of one question are counted inside each document, so the corpus is scanned once and
     only matching rows reach the sort. ``where`` is applied before the limit.
     """
-    terms = list(dict.fromkeys(t for t in query.lower().split() if t))
-    scanned = docs.withColumn("_w", tokens(text)).withColumns({
-        "_len": F.size("_w"), "_tf": _counts(F.col("_w"), terms)})
+    terms = words_of(query)
+    low = F.lower(text)
+    scanned = docs.withColumns({
+        "_len": F.regexp_count(low, F.lit(WORD)), "_tf": _counts(low, terms)})
     totals = scanned.agg(
         F.count("*").alias("n"), F.avg("_len").alias("avg"),
         *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
@@ -55,7 +67,7 @@ def search(docs: DataFrame, key: str, text: Column, query: str, limit: int | Non
     hits = scanned.where(F.forall("_tf", lambda n: n > 0))
     if where is not None:
         hits = hits.where(where)
-    out = hits.withColumn("score", score).drop("_w", "_len", "_tf").orderBy(F.desc("score"), key)
+    out = hits.withColumn("score", score).drop("_len", "_tf").orderBy(F.desc("score"), key)
     return out.limit(limit) if limit else out
 
 
