@@ -253,9 +253,8 @@ def _(t):
 
 
 @query("x25_year_label", """
-    SELECT DISTINCT label FROM (SELECT 'readings_' || y AS label FROM (SELECT year(sampled_at) AS y FROM readings)
-      WHERE false UNION ALL SELECT CAST(year(sampled_at) AS VARCHAR) || '_' || CAST(year(sampled_at) + 1 AS VARCHAR)
-      FROM readings)""")
+    SELECT DISTINCT CAST(year(sampled_at) AS VARCHAR) || '_' || CAST(year(sampled_at) + 1 AS VARCHAR) AS label
+    FROM readings""")
 def _(t):
     y = F.year("sampled_at")
     name = F.concat(F.lit("Readings "), y.cast("string"), F.lit("-"), (y + 1).cast("string"),

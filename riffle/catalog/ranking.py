@@ -157,10 +157,10 @@ def _(t):
     SELECT species, sara_status, CASE sara_status WHEN 'Endangered' THEN 0 WHEN 'Threatened' THEN 1
       WHEN 'Special Concern' THEN 2 WHEN 'Extirpated' THEN 3 WHEN 'Not at Risk' THEN 4
       WHEN 'No Status' THEN 5 ELSE 99 END AS severity FROM ranges
-    ORDER BY severity, species LIMIT 200""")
+    ORDER BY severity, species""")
 def _(t):
     return t.ranges.select("species", "sara_status", R.severity("sara_status").alias("severity")
-                           ).orderBy("severity", "species").limit(200)
+                           ).orderBy("severity", "species")
 
 
 @query("f3_nearest_n", f"""

@@ -229,22 +229,22 @@ def _(t):
 
 @query("k12_stocking_classification", """
     SELECT waterbody_name, is_put_and_take, wild_population_likely, CASE WHEN is_put_and_take
-      THEN 'put-and-take' WHEN wild_population_likely THEN 'wild' WHEN last_year > 1997 THEN 'recent'
+      THEN 'put-and-take' WHEN wild_population_likely THEN 'wild' WHEN last_year > 1999 THEN 'recent'
       ELSE 'old' END AS kind FROM (
       SELECT waterbody_name || species AS waterbody_name, max(year) AS last_year,
-        coalesce(bool_or(year >= 1999 AND lower(life_stage) = 'catchable'), false) AS is_put_and_take,
-        max(year) < 1997 AND coalesce(bool_and(lower(life_stage) = 'fry'), true)
-          AS wild_population_likely FROM stocking WHERE year < 1999 OR quantity % 9 = 0 GROUP BY 1)""")
+        coalesce(bool_or(year >= 2001 AND lower(life_stage) = 'catchable'), false) AS is_put_and_take,
+        max(year) < 1999 AND coalesce(bool_and(lower(life_stage) = 'fry'), true)
+          AS wild_population_likely FROM stocking GROUP BY 1)""")
 def _(t):
     from riffle.plans.stocking import note, waterbodies
 
-    rows = t.stocking.where("year < 1999 OR quantity % 9 = 0").withColumn(
+    rows = t.stocking.withColumn(
         "waterbody_name", F.concat("waterbody_name", "species"))
-    text = note(2002)
+    text = note(2004)
     kind = (F.when(text.contains("put-and-take fishery"), "put-and-take")
             .when(text.contains("self-sustaining wild population"), "wild")
             .when(text.contains("too recent"), "recent").otherwise("old"))
-    return waterbodies(rows, 2002).select(
+    return waterbodies(rows, 2004).select(
         "waterbody_name", "is_put_and_take", "wild_population_likely", kind.alias("kind"))
 
 

@@ -532,13 +532,13 @@ def _(t):
 
 @query("a33_prediction_write", """
     SELECT ogf_id, 'Esox lucius' AS species, (ogf_id % 10) / 10.0E0 AS presence_probability,
-      centroid_lat FROM feats WHERE ogf_id % 3 = 0 UNION ALL
+      centroid_lat FROM feats UNION ALL
     SELECT ogf_id, species, prob, lat FROM predictions""")
 def _(t):
     from riffle.plans.jobs import prediction_rows
 
     scores = t.spark.range(0, 1).select(F.lit(-5).cast("bigint").alias("ogf_id"), F.lit(0.5).alias(
-        "probability")).unionByName(t.feats.where("ogf_id % 3 = 0").select(
+        "probability")).unionByName(t.feats.select(
             "ogf_id", ((F.col("ogf_id") % 10) / 10.0).alias("probability")))
     batch = prediction_rows(scores, t.feats, "Esox lucius", "v1").select(
         "ogf_id", "species", "presence_probability", "centroid_lat")

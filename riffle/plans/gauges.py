@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riffle.functions import geo
@@ -110,9 +110,9 @@ def with_labels(out: DataFrame) -> DataFrame:
 
 def whole_window_means(readings: DataFrame) -> DataFrame:
     """Means over all fetched readings of a station instead of the trailing day."""
-    w = Window.partitionBy("station_id")
-    return readings.withColumns({
-        "level_mean": F.avg("level_m").over(w), "discharge_mean": F.avg("discharge_cms").over(w)})
+    means = readings.groupBy("station_id").agg(
+        F.avg("level_m").alias("level_mean"), F.avg("discharge_cms").alias("discharge_mean"))
+    return readings.join(means, "station_id")
 
 
 def latest(readings: DataFrame) -> DataFrame:

@@ -144,16 +144,15 @@ class Questions:
     def tactical_recommendation(self, conditions: DataFrame) -> DataFrame:
         return Ta.recommend(conditions)
 
-    def record_recommendation(self, recommended: DataFrame, asof: str) -> DataFrame:
-        """The recommendations log with one row per question added."""
-        order = "moment_id" if "moment_id" in recommended.columns else "species"
-        texts = recommended.groupBy(order, "species").agg(F.to_json(F.sort_array(F.collect_list(
+    def record_recommendation(self, recommended: DataFrame, asof: str,
+                              key: str = "moment_id") -> DataFrame:
+        """The recommendations log with one row per question added (a question has two at most)."""
+        texts = recommended.groupBy(key, "species").agg(F.to_json(F.sort_array(F.collect_list(
             F.struct("choice", "lure_type", "color", "technique", "confidence")))).alias(
                 "recommendation_json"))
-        batch = texts.select(F.to_timestamp(F.lit(asof)).alias("timestamp"), "species",
+        batch = texts.select(key, F.to_timestamp(F.lit(asof)).alias("timestamp"), "species",
                              "recommendation_json", F.lit(False).alias("was_used"))
-        return Tb.append_with_ids(self.table("recommendations"), batch, "id",
-                                  ["species", "recommendation_json"])
+        return Tb.append_with_ids(self.table("recommendations"), batch, "id", [key]).drop(key)
 
     def behavioral_insights(self, species: str, condition_type: str | None = None) -> DataFrame:
         cond = P.contains_ci("species", species) & F.col("is_current")
