@@ -144,17 +144,29 @@ def prepared(df: DataFrame) -> DataFrame:
 
 
 def preprocessing(train: DataFrame, one_hot: bool = True) -> list:
-    """Median imputation and category encoding; columns never measured are left out."""
-    known = train.agg(*[F.count(c).alias(c) for c in NUMERIC]).first()
-    used = [c for c in NUMERIC if known[c]]
+    """Median imputation and category encoding of the columns that vary.
+
+    A forest node tries a few columns only and becomes a leaf when none of them can split, so
+    columns with one value, and the empty code of unseen categories, are left out.
+    """
+    seen = train.agg(
+        *[F.min(c).alias(f"lo_{c}") for c in NUMERIC], *[F.max(c).alias(f"hi_{c}") for c in NUMERIC],
+        *[F.count(c).alias(f"n_{c}") for c in NUMERIC], F.count("*").alias("n"),
+        *[F.min(c).alias(f"lo_{c}") for c in CATEGORICAL],
+        *[F.max(c).alias(f"hi_{c}") for c in CATEGORICAL]).first()
+    varies = lambda c: seen[f"lo_{c}"] != seen[f"hi_{c}"]
+    used = [c for c in NUMERIC if seen[f"n_{c}"] and varies(c)] or [
+        c for c in NUMERIC if seen[f"n_{c}"]][:1]
     filled = [f"{c}_filled" for c in used]
     stages = [Imputer(strategy="median", inputCols=used, outputCols=filled)]
-    codes = [f"{c}_code" for c in CATEGORICAL]
-    stages.append(StringIndexer(inputCols=CATEGORICAL, outputCols=codes, handleInvalid="keep"))
-    if one_hot:
-        hot = [f"{c}_hot" for c in CATEGORICAL]
-        stages.append(OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=False))
-        codes = hot
+    kinds = [c for c in CATEGORICAL if varies(c)]
+    codes = [f"{c}_code" for c in kinds]
+    if kinds:
+        stages.append(StringIndexer(inputCols=kinds, outputCols=codes, handleInvalid="keep"))
+        if one_hot:
+            hot = [f"{c}_hot" for c in kinds]
+            stages.append(OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True))
+            codes = hot
     stages.append(VectorAssembler(inputCols=[*filled, *codes], outputCol="features"))
     return stages
 
@@ -237,7 +249,8 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     sizes = {}
     for stage in model.stages:
         if hasattr(stage, "categorySizes"):
-            sizes = dict(zip(stage.getOutputCols(), stage.categorySizes))
+            # the last code stands for unseen categories and has no column
+            sizes = {c: n - 1 for c, n in zip(stage.getOutputCols(), stage.categorySizes)}
     for c in assembler.getInputCols():
         source = c.removesuffix("_filled").removesuffix("_hot").removesuffix("_code")
         columns += [source] * int(sizes.get(c, 1))
