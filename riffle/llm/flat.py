@@ -60,17 +60,17 @@ def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes], kinds: np.ndarray = ~BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of every text, and the number of words before each text (one more at the
-    end). Words are runs without ASCII white space."""
+    end). Words are the longest runs of bytes of one kind; bytes of kind 0 stand between words, and the
+    line feed must be one. By default words are runs without ASCII white space."""
     data, starts = lay_out(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    blank = BLANK[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if not blank[0]:
-        edge = np.concatenate([[0], edge])
-    begin, end = edge[0::2], edge[1::2]
+    kind = kinds[data]
+    edge = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
+    own = kind[edge[:-1]] != 0
+    begin, end = edge[:-1][own], edge[1:][own]
     hashes = stretch_hash(prefix_hash(data), begin, end)
     return hashes, np.searchsorted(begin, starts)
 
