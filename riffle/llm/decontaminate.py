@@ -35,14 +35,18 @@ def tokens(text: str = "text") -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _masked(toks: str, number: int, care: list[int]):
+    return lambda i: F.xxhash64(F.lit(number), *[F.get(F.col(toks), i + k) for k in care])
+
+
 def _seeds(toks: str, masks=MASKS) -> Column:
     """Structs (h, at) of every mask at every position, as one array."""
     n = F.size(toks)
     parts = []
     for number, mask in enumerate(masks):
         care = [k for k, x in enumerate(mask) if x == "1"]
-        hashed = lambda i, care=care, number=number: F.xxhash64(F.lit(number), *[F.get(F.col(toks), i + k) for k in care])
-        parts.append(F.when(n >= len(mask), F.transform(F.sequence(F.lit(0), n - len(mask)), hashed)).otherwise(F.array().cast("array<long>")))
+        hashes = F.transform(F.sequence(F.lit(0), n - len(mask)), _masked(toks, number, care))
+        parts.append(F.when(n >= len(mask), hashes).otherwise(F.array().cast("array<long>")))
     return F.array(*parts)
 
 

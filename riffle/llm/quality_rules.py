@@ -184,14 +184,14 @@ def _sql() -> str:
     pick = lambda k: f"CASE WHEN o.total >= {ENOUGH} THEN o.{k} WHEN v.total >= {ENOUGH} THEN v.{k} ELSE a.{k} END {k}"
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') t, row_number() OVER () rn FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') ws,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls FROM d),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls FROM d),
 win AS (SELECT rn, unnest(range(len(ws) - 6)) i, ws FROM w WHERE len(ws) >= 8),
 hashed AS (SELECT rn, i, array_to_string(ws[i + 1:i + 8], ' ') h FROM win),
 twice AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, h) c FROM hashed) WHERE c > 1),
 cover AS (SELECT rn, sum(least(8, coalesce(nx - i, 8)))::BIGINT k FROM (
   SELECT rn, i, lead(i) OVER (PARTITION BY rn ORDER BY i) nx FROM twice) GROUP BY rn),
-counted AS (SELECT doc_id, lang, source, len(ws)::BIGINT n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT word_chars,
+counted AS (SELECT doc_id, lang, source, len(ws)::BIGINT n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines,
   coalesce(k, 0) n_repeat_words, len(ws) < {MIN_WORDS} OR 100 * coalesce(k, 0) > 30 * len(ws) base_failed FROM w LEFT JOIN cover USING (rn)),
 sketch AS (SELECT lang, source, metric, cell, count(*) n FROM ({cells}) GROUP BY ALL),
