@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -77,14 +78,25 @@ def words_of(texts: list[bytes], kinds: np.ndarray = ~BLANK) -> tuple[np.ndarray
 
 def chunks(texts: list[bytes], limit: int = 1 << 21):
     """Index ranges of consecutive texts of about ``limit`` bytes together."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text) + 1
-        if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    yield from _ranges(np.fromiter(map(len, texts), np.int64, len(texts)), limit)
+
+
+def _ranges(sizes: np.ndarray, limit: int):
+    upto = np.cumsum(sizes + 1)
+    start, held = 0, 0
+    while start < len(sizes):
+        end = min(len(sizes), int(np.searchsorted(upto, held + limit)) + 1)
+        yield start, end
+        start, held = end, int(upto[end - 1])
+
+
+def text_slices(batch, column: str = "text", limit: int = 1 << 20):
+    """(slice of the batch, its texts) for slices of about ``limit`` bytes of text, so that a task never
+    holds a whole Arrow batch as Python strings. Null texts are empty."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for s, e in _ranges(sizes.astype(np.int64), limit):
+        part = batch.slice(s, e - s)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
 def spread_ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.flat import chunks, mix
+from riffle.llm.flat import mix, text_slices
 from riffle.llm.shared import held_out, table
-from riffle.llm.token_files import _texts
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -35,7 +34,7 @@ def ngrams(texts: list[str], buckets: int = BUCKETS, orders=ORDERS) -> tuple[np.
     """Buckets of all n-grams of lower-case texts, grouped by text (white space is one blank, one at either
     end), and how many each text has."""
     # a zero stands between texts; n-grams across it are left out
-    joined = "".join(f" {' '.join(t.lower().split())} \0" for t in texts)
+    joined = "".join(f" {' '.join(t.replace(chr(0), ' ').lower().split())} \0" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     stops = points == 0
     of = np.cumsum(stops) - stops
@@ -59,20 +58,16 @@ def ngrams(texts: list[str], buckets: int = BUCKETS, orders=ORDERS) -> tuple[np.
     return np.concatenate(hashes)[order], np.bincount(owner, minlength=len(texts))
 
 
-def _clean(texts: list[str]) -> list[str]:
-    return [t.replace("\0", " ") for t in texts]
-
-
 def _counted(names: list[str], buckets: int):
     def run(batches):
         place = {x: i for i, x in enumerate(names)}
         total, docs = np.zeros((len(names), buckets), np.int64), np.zeros(len(names), np.int64)
         for batch in batches:
-            texts, langs = _clean(_texts(batch.column("text"))), np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-            docs += np.bincount(langs, minlength=len(names))
-            for s, e in chunks(texts, 1 << 19):
-                found, counts = ngrams(texts[s:e], buckets)
-                total += np.bincount(np.repeat(langs[s:e], counts) * buckets + found, minlength=total.size).reshape(total.shape)
+            for part, texts in text_slices(batch, limit=1 << 19):
+                langs = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
+                docs += np.bincount(langs, minlength=len(names))
+                found, counts = ngrams(texts, buckets)
+                total += np.bincount(np.repeat(langs, counts) * buckets + found, minlength=total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([lang, np.arange(len(names))])), pa.array(np.concatenate([bucket, np.full(len(names), -1)])),
@@ -109,12 +104,10 @@ def predicted(docs: DataFrame, model, buckets: int = BUCKETS) -> DataFrame:
     def run(batches):
         names, prior, matrix = sent.value
         for batch in batches:
-            texts = _clean(_texts(batch.column("text")))
-            for s, e in chunks(texts, 1 << 19):
-                part = texts[s:e]
-                found, counts = ngrams(part, buckets)
+            for part, texts in text_slices(batch, limit=1 << 19):
+                found, counts = ngrams(texts, buckets)
                 some = np.flatnonzero(counts) if names else np.zeros(0, np.int64)
-                lang, score = [UNDETERMINED] * len(part), np.zeros(len(part))
+                lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 if len(some):
                     first = (np.cumsum(counts) - counts)[some]
                     sums = np.add.reduceat(np.take(matrix, found, axis=0), first, axis=0, dtype=np.float64)
@@ -122,9 +115,9 @@ def predicted(docs: DataFrame, model, buckets: int = BUCKETS) -> DataFrame:
                     top = logs.argmax(axis=1)
                     post = 1 / np.exp(logs - logs[np.arange(len(top)), top][:, None]).sum(axis=1)
                     for i, k, p in zip(some.tolist(), top.tolist(), post.tolist()):
-                        if LETTER.search(part[i]):
+                        if LETTER.search(texts[i]):
                             lang[i], score[i] = names[k], p
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, e - s), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

@@ -16,7 +16,6 @@ document lose every line. Earlier means: lesser doc_id, then lesser hash of the
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections import Counter
 
@@ -26,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riffle.llm.flat import text_slices
 from riffle.llm.shared import dropped, keyed, table, text_hash, written
 
 MIN_WORDS = 10
@@ -89,20 +89,21 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
 
 def _lined(batches):
     for batch in batches:
-        hashes, counts, whole, total = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            lines = (text or "").split("\n")
-            n = [len(x.split()) for x in lines]
-            h = np.array([xxhash.xxh3_64_intdigest(x.encode()) | 1 if k else 0 for x, k in zip(lines, n)], np.uint64).tobytes()
-            hashes.append(h)
-            counts.append(np.array(n, np.int32).tobytes())
-            whole.append(xxhash.xxh3_128_digest(h))
-            total.append(sum(n))
-        keys = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("th"), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()),
-            pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(total, pa.int64())],
-            names=["doc_id", "th", "hashes", "counts", "w1", "w2", "words"])
+        for part, texts in text_slices(batch):
+            hashes, counts, whole, total = [], [], [], []
+            for text in texts:
+                lines = text.split("\n")
+                n = [len(x.split()) for x in lines]
+                h = np.array([xxhash.xxh3_64_intdigest(x.encode()) | 1 if k else 0 for x, k in zip(lines, n)], np.uint64).tobytes()
+                hashes.append(h)
+                counts.append(np.array(n, np.int32).tobytes())
+                whole.append(xxhash.xxh3_128_digest(h))
+                total.append(sum(n))
+            keys = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id"), part.column("th"), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()),
+                pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(total, pa.int64())],
+                names=["doc_id", "th", "hashes", "counts", "w1", "w2", "words"])
 
 
 def runs_of(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> set[int]:
@@ -176,16 +177,17 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE
 
 def _cut(batches):
     for batch in batches:
-        texts, lines, lost, words = [], [], [], []
-        for text, whole, gone in zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist(), batch.column("gone")):
-            own = (text or "").split("\n")
-            away = set(range(len(own))) if whole else set() if not gone.is_valid else {int(x) for g in gone for x in np.frombuffer(g.as_buffer(), np.int32)}
-            texts.append("\n".join(x for i, x in enumerate(own) if i not in away) if away else text)
-            lines.append(len(own))
-            lost.append(len(away))
-            words.append(sum(len(own[i].split()) for i in away))
-        yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(words, pa.int64())],
-                                         names=["__id", "__hash", "__text", "n_lines", "n_removed", "removed_words"])
+        for part, found in text_slices(batch):
+            texts, lines, lost, words = [], [], [], []
+            for text, given, whole, gone in zip(found, part.column("text"), part.column("whole").to_pylist(), part.column("gone")):
+                own = text.split("\n")
+                away = set(range(len(own))) if whole else set() if not gone.is_valid else {int(x) for g in gone for x in np.frombuffer(g.as_buffer(), np.int32)}
+                texts.append("\n".join(x for i, x in enumerate(own) if i not in away) if given.is_valid else None)
+                lines.append(len(own))
+                lost.append(len(away))
+                words.append(sum(len(own[i].split()) for i in away))
+            yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__hash"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(words, pa.int64())],
+                                             names=["__id", "__hash", "__text", "n_lines", "n_removed", "removed_words"])
 
 
 def remaining_lines(docs: DataFrame, **options) -> DataFrame:
@@ -221,13 +223,6 @@ def _cutter(text, whole, gone):
     return F.when(whole, F.lit("")).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n"))
 
 
-def _digest(batches):
-    for batch in batches:
-        sums = [hashlib.sha256((t or "").encode()).hexdigest() for t in batch.column("text").to_pylist()]
-        names = ["doc_id", "n_lines", "n_removed", "removed_words"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sums, pa.string())], names=[*names, "kept_sha256"])
-
-
 def op2_line_dedup(spark, folder: str) -> DataFrame:
-    return remaining_lines(table(spark, folder, "documents")).mapInArrow(
-        _digest, "doc_id long, n_lines long, n_removed long, removed_words long, kept_sha256 string")
+    left = remaining_lines(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", "removed_words", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riffle.llm.components import components
-from riffle.llm.flat import chunks, mix, spread_ranges, words_of
+from riffle.llm.flat import chunks, mix, spread_ranges, text_slices, words_of
 from riffle.llm.shared import dropped, keyed, table, written
 
 WORDS = 5
@@ -120,18 +120,13 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _lowered(column) -> list[bytes]:
-    return [(t or "").lower().encode() for t in column.to_pylist()]
-
-
 def _signed(words: int, weight: str, bands: int, rows: int):
     digest = xxhash.xxh3_128_digest
 
     def run(batches):
         for batch in batches:
-            texts = _lowered(batch.column("text"))
-            for s, e in chunks(texts):
-                part = texts[s:e]
+            for rows_in, texts in text_slices(batch):
+                part = [t.lower().encode() for t in texts]
                 sets = [weighted(x, weight) for x in shingles(part, words)]
                 full = [i for i, (x, _) in enumerate(sets) if len(x)]
                 hashes = band_hashes(dart_signatures([sets[i] for i in full], bands * rows), bands, rows)
@@ -140,7 +135,7 @@ def _signed(words: int, weight: str, bands: int, rows: int):
                     rows_of[i] = h
                 keys = np.frombuffer(b"".join(digest(b" ".join(t.split())) for t in part), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(s, e - s), batch.column("th").slice(s, e - s), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                    rows_in.column("doc_id"), rows_in.column("th"), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
                     pa.array(rows_of, pa.list_(pa.int64()))], names=["doc_id", "th", "w1", "w2", "bands"])
 
     return run
@@ -149,11 +144,10 @@ def _signed(words: int, weight: str, bands: int, rows: int):
 def _sets(words: int, weight: str):
     def run(batches):
         for batch in batches:
-            texts, ids = _lowered(batch.column("text")), batch.column("rid")
-            for s, e in chunks(texts):
-                sets = [weighted(x, weight) for x in shingles(texts[s:e], words)]
+            for rows_in, texts in text_slices(batch):
+                sets = [weighted(x, weight) for x in shingles([t.lower().encode() for t in texts], words)]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(s, e - s), pa.array([x.tobytes() for x, _ in sets], pa.binary()),
+                    rows_in.column("rid"), pa.array([x.tobytes() for x, _ in sets], pa.binary()),
                     pa.array([None if weight == "set" else w.tobytes() for _, w in sets], pa.binary())], names=["rid", "elements", "weights"])
 
     return run

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riffle.llm.flat import chunks
+from riffle.llm.flat import text_slices
 from riffle.llm.shared import dropped, keyed, table, written
-from riffle.llm.token_files import END, Encoder, _texts, tokenizer_path
+from riffle.llm.token_files import END, Encoder, tokenizer_path
 
 BUCKETS, GREATEST, BUDGET = 16, 4096, 65_536
 
@@ -56,10 +56,9 @@ def _measured(path: str, extra: int):
     def run(batches):
         coder = Encoder.of(path)
         for batch in batches:
-            texts = _texts(batch.column("text"))
-            for s, e in chunks(texts):
-                _, counts = coder.encode(texts[s:e])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, e - s), batch.column("th").slice(s, e - s), pa.array(counts + extra)], names=["doc_id", "th", "n_tokens"])
+            for part, texts in text_slices(batch):
+                _, counts = coder.encode(texts)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(counts + extra)], names=["doc_id", "th", "n_tokens"])
 
     return run
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.flat import BLANK, chunks, mix, words_of
+from riffle.llm.flat import BLANK, chunks, mix, text_slices, words_of
 from riffle.llm.shared import dropped, held_out, table, text_hash, written
 
 BUCKETS = 1 << 18
@@ -30,9 +30,10 @@ KINDS = np.where(BLANK, 0, 2).astype(np.uint8)
 KINDS[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = 1
 
 
-def features(texts: list[bytes], buckets: int = BUCKETS) -> list[np.ndarray]:
+def features(texts: list[str], buckets: int = BUCKETS) -> list[np.ndarray]:
     """Ascending distinct features of each text."""
     out = []
+    texts = [t.encode() for t in texts]
     for s, e in chunks(texts):
         one, bounds = words_of(texts[s:e], KINDS)
         two = mix(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) if len(one) > 1 else one[:0]
@@ -45,18 +46,12 @@ def features(texts: list[bytes], buckets: int = BUCKETS) -> list[np.ndarray]:
     return out
 
 
-def _bytes(column) -> list[bytes]:
-    return [(t or "").encode() for t in column.to_pylist()]
-
-
 def _featured(buckets: int):
     def run(batches):
         for batch in batches:
-            texts = _bytes(batch.column("text"))
-            for s, e in chunks(texts):
+            for part, texts in text_slices(batch):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("pick").slice(s, e - s), batch.column("label").slice(s, e - s),
-                    pa.array([f.tobytes() for f in features(texts[s:e], buckets)], pa.binary())], names=["pick", "label", "features"])
+                    part.column("pick"), part.column("label"), pa.array([f.tobytes() for f in features(texts, buckets)], pa.binary())], names=["pick", "label", "features"])
 
     return run
 
@@ -160,12 +155,11 @@ def scored(docs: DataFrame, model, buckets: int = BUCKETS) -> DataFrame:
     def run(batches):
         vector, bias, slope, offset = sent.value
         for batch in batches:
-            texts = _bytes(batch.column("text"))
-            for s, e in chunks(texts):
-                sums = np.array([vector[f].sum(dtype=np.float64) / max(1.0, np.sqrt(len(f))) for f in features(texts[s:e], buckets)])
+            for part, texts in text_slices(batch):
+                sums = np.array([vector[f].sum(dtype=np.float64) / max(1.0, np.sqrt(len(f))) for f in features(texts, buckets)])
                 score = 1 / (1 + np.exp(-np.clip(slope * (sums + bias) + offset, -700, 700)))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(s, e - s), batch.column("th").slice(s, e - s), pa.array(score),
+                    part.column("doc_id"), part.column("th"), pa.array(score),
                     pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "th", "score", "predicted"])
 
     return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, score double, predicted int")

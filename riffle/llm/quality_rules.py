@@ -31,7 +31,8 @@ METRICS = {
     "word_length": ("word_chars", "n_words", 1000, True, True, 10, 0),
     "symbols": ("n_symbols", "word_chars", 100_000, True, False, 10, 500),
     "dup_lines": ("n_dup_lines", "n_words", 100_000, True, False, 10, 1000),
-    "repeats": ("n_repeat_words", "n_words", 100_000, True, False, 10, 3000),
+    "stutter": ("n_stutter", "n_words", 100_000, True, False, 10, 3000),
+    "repeats": ("n_repeat_words", "n_words", 100_000, True, False, 10, 10_000),
 }
 FACTOR = 3
 
@@ -77,11 +78,12 @@ def _covered(starts: Column) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, th, lang, source, the five counts and base_failed, one row per input row."""
+    """doc_id, th, lang, source, the base counts, n_stutter (words equal to the one before) and base_failed, one row per input row."""
     c = counts()
     d = docs.select("doc_id", text_hash().alias("th"), "lang", "source", *[v.alias(k) for k, v in c.items()])
     # one step a projection: inside a lambda an expression is computed anew for every element, a column is not
-    d = d.withColumn("windows", _windows(F.col("words"))).drop("words")
+    stutter = F.size(F.filter("words", lambda w, i: F.coalesce(w == F.get("words", i - 1), F.lit(False))))
+    d = d.withColumn("n_stutter", stutter.cast("long")).withColumn("windows", _windows(F.col("words"))).drop("words")
     d = d.withColumn("pairs", _sorted_pairs(F.col("windows"))).drop("windows")
     d = d.withColumn("starts", _twice(F.col("pairs"))).drop("pairs")
     d = d.withColumn("n_repeat_words", _covered(F.col("starts"))).drop("starts")
@@ -161,7 +163,7 @@ def judged(docs: DataFrame, enough: int = ENOUGH) -> DataFrame:
         if lower:
             inside &= _value(m) >= F.col(f"{m}_low")
     return counted.join(limits, same, "left").select(
-        "doc_id", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_stutter",
         F.when(F.col("base_failed"), F.lit(False)).otherwise(inside).alias("kept"))
 
 
@@ -193,14 +195,14 @@ cover AS (SELECT rn, sum(least(8, coalesce(nx - i, 8)))::BIGINT k FROM (
   SELECT rn, i, lead(i) OVER (PARTITION BY rn ORDER BY i) nx FROM twice) GROUP BY rn),
 counted AS (SELECT doc_id, lang, source, len(ws)::BIGINT n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines,
-  coalesce(k, 0) n_repeat_words, len(ws) < {MIN_WORDS} OR 100 * coalesce(k, 0) > 30 * len(ws) base_failed FROM w LEFT JOIN cover USING (rn)),
+  len(list_filter(ws, lambda x, i: x = ws[i - 1]))::BIGINT n_stutter, coalesce(k, 0) n_repeat_words, len(ws) < {MIN_WORDS} OR 100 * coalesce(k, 0) > 30 * len(ws) base_failed FROM w LEFT JOIN cover USING (rn)),
 sketch AS (SELECT lang, source, metric, cell, count(*) n FROM ({cells}) GROUP BY ALL),
 {quart("own", "lang, source,")}, {quart("by_lang", "lang,")}, {quart("by_all", "")},
 picked AS (SELECT o.lang, o.source, o.metric, {", ".join(pick(f"q{k}") for k in (1, 2, 3))} FROM own o
   JOIN by_lang v ON o.lang IS NOT DISTINCT FROM v.lang AND o.metric = v.metric JOIN by_all a ON o.metric = a.metric),
 fences AS (SELECT *, {FACTOR} * greatest(q3 - q1, {slack}) reach FROM picked),
 limits AS (SELECT lang, source, {sides} FROM fences GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_stutter,
   CASE WHEN base_failed THEN false ELSE {rules} END kept
 FROM counted c LEFT JOIN limits l ON c.lang IS NOT DISTINCT FROM l.lang AND c.source IS NOT DISTINCT FROM l.source"""
 

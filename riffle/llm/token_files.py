@@ -7,8 +7,8 @@ bytes, two bits a value, four values a byte. A reader looks control bytes up in
 lengths, whose running sum gives the place of every value, and gathers; there is no loop over values.
 Blocks are rows of Parquet files, so that Spark's committer keeps them whole if a task is run twice.
 
-Two passes over the texts: one counts the ids (a table bounded by the vocabulary), one sorts the
-documents into ranges and writes them.
+The texts are encoded once: documents are sorted into ranges, encoded and written as blocks of plain ids;
+these are counted (a table bounded by the vocabulary) and then coded anew, block by block.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riffle.llm.flat import chunks, spread_ranges
-from riffle.llm.shared import keyed, table
+from riffle.llm.flat import text_slices
+from riffle.llm.shared import dropped, keyed, table, written
 from riffle.session import checkpoint_dir
 
 END = 1
 BLOCK = 1 << 18
-#: Distinct words whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 1_500_000
+#: Distinct words whose ids a worker keeps (some 200 bytes each); beyond, it starts anew.
+KEPT_WORDS = 1_000_000
+#: Signs that make a token of their own behind a letter or digit.
+MARKS = ".,!?;:"
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
@@ -39,9 +41,27 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Gives every new piece the next number and notes it."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file whose tokens never span a blank or a line feed. Texts
-    are cut there and every distinct piece is encoded once."""
+    are cut there and every distinct piece is encoded once.
+
+    With a byte-level file that splits letters from all else, a piece of Latin letters alone is one word
+    for the model, and a mark behind a letter or digit starts a word of its own. Whether the file is of
+    this kind is tried out; otherwise every piece goes through the whole tokenizer.
+    """
 
     _of: dict[str, Encoder] = {}
 
@@ -50,6 +70,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = iter(range(256, 512))
+        self.signs = {b: b if b in shown else next(hidden) for b in range(256)}
+        full = self._full
+        self.simple = all(full(f"{a}{m}") == full(a) + full(m) for a in ("word", "x1", "n\u00e9") for m in (".", "...", ",!?;:"))
+        self.simple = self.simple and all(full(w.upper()) == full(w) == self._word(w) for w in ("word", "\u00e9t\u00e9", "q", "stra\u00dfe"[:4], "zzxqvw"))
         self._clear()
 
     @classmethod
@@ -60,36 +86,53 @@ class Encoder:
         return cls._of[path]
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.number = _Numbers()
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.place) + len(pieces) > KEPT_WORDS:
-            self._clear()
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [x.ids for x in run(pieces, add_special_tokens=False)]
-        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+    def _full(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.signs))]
+
+    def _piece(self, piece: str) -> list[int]:
+        if not self.simple:
+            return self._full(piece)
+        if piece.isalpha() and piece.isascii():
+            return [t.id for t in self.tokenizer.model.tokenize(piece)]
+        if piece.isalpha() and max(piece) < "\u0100" and piece == piece.lower():
+            return self._word(piece)
+        stem = piece.rstrip(MARKS)
+        if stem and len(stem) < len(piece) and stem[-1] < "\u0100" and stem[-1].isalnum():
+            return self._known(stem) + self._known(piece[len(stem):])
+        return self._full(piece)
+
+    def _known(self, piece: str) -> list[int]:
+        at = self.number.get(piece, len(self.starts))
+        if at < len(self.starts) - 1:
+            return self.ids[self.starts[at]:self.starts[at + 1]].tolist()
+        return self._piece(piece)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
+        if self.simple:  # the tokenizer folds case anyhow; done here, fewer pieces differ. A special token keeps its case.
+            texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = list(chain.from_iterable(pieces))
-        distinct = set(flat)
-        if new := [p for p in distinct if p not in self.place]:
-            if len(self.place) + len(new) > KEPT_WORDS:
-                self._clear()
-                new = list(distinct)
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        counts = self.starts[at + 1] - self.starts[at]
-        owner, nth = spread_ranges(counts)
-        ids = self.ids[self.starts[at][owner] + nth]
+        if len(self.number) > KEPT_WORDS:
+            self._clear()
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64)
+        if new := self.number.new:
+            self.number.new = []
+            found = list(map(self._piece, new))
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        first = self.starts[at]
+        counts = self.starts[at + 1] - first
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(first - upto[:-1], counts)]
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], ends])]
-        return ids, np.diff(upto)
+        return ids, np.diff(upto[np.concatenate([[0], ends])])
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,70 +168,80 @@ def unpacked(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _texts(column) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def _blocked(path: str, end: int | None, block: int):
+    def run(batches):
+        coder = Encoder.of(path)
+        width = "<u2" if coder.size <= 1 << 16 else "<u4"
+        number = before = 0
+        for batch in batches:
+            for part, texts in text_slices(batch, limit=4 * block):
+                ids, counts = coder.encode(texts)
+                if end is not None:
+                    ids, counts = with_end(ids, counts, end)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("part").slice(0, 1), pa.array([number]), pa.array([before]), pa.array([len(ids)]),
+                    pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([ids.astype(width).tobytes()])],
+                    names=["part", "block", "before", "n", "doc_ids", "counts", "plain"])
+                number, before = number + 1, before + len(ids)
+
+    return run
+
+
+def _plain(scalar, n: int) -> np.ndarray:
+    raw = scalar.as_buffer()
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
-def _counted(path: str, end: int | None):
+def _counted(size: int):
     def run(batches):
-        coder = Encoder.of(path)
-        total = np.zeros(coder.size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            texts = _texts(batch.column("text"))
-            for s, e in chunks(texts):
-                ids, _ = coder.encode(texts[s:e])
-                total += np.bincount(ids, minlength=len(total))
-            if end is not None:
-                total[end] += len(texts)
+            for ids, n in zip(batch.column("plain"), batch.column("n").to_pylist()):
+                total += np.bincount(_plain(ids, n), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
     return run
 
 
-def _blocked(path: str, end: int | None, rank: np.ndarray, block: int):
+def _coded(rank: np.ndarray):
     def run(batches):
-        coder = Encoder.of(path)
-        number = before = 0
         for batch in batches:
-            texts = _texts(batch.column("text"))
-            for s, e in chunks(texts, 4 * block):
-                ids, counts = coder.encode(texts[s:e])
-                if end is not None:
-                    ids, counts = with_end(ids, counts, end)
-                control, data = packed(rank[ids])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("part").slice(s, 1), pa.array([number]), pa.array([before]), pa.array([len(ids)]),
-                    pa.array([batch.column("doc_id").slice(s, e - s).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([control]), pa.array([data])],
-                    names=["part", "block", "before", "n", "doc_ids", "counts", "control", "data"])
-                number, before = number + 1, before + len(ids)
+            both = [packed(rank[_plain(ids, n)]) for ids, n in zip(batch.column("plain"), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in HEAD), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())],
+                                             names=[*HEAD, "control", "data"])
 
     return run
 
 
-BLOCKS = "part int, block long, before long, n long, doc_ids array<long>, counts array<long>, control binary, data binary"
+HEAD = ["part", "block", "before", "n", "doc_ids", "counts"]
+HEADS = "part int, block long, before long, n long, doc_ids array<long>, counts array<long>"
+BLOCKS = HEADS + ", control binary, data binary"
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int | None = END, block: int = BLOCK) -> None:
     """Write the ids of all texts to ``folder``. Null texts are empty; null ids come first; rows equal in
     id are ordered by the hash of their text; an empty table gives empty files. ``path``: a tokenizers
-    file whose tokens never span a blank or a line feed."""
+    file whose tokens never span a blank or a line feed, and in which marks behind a letter or digit are
+    tokens of their own."""
     path = path or tokenizer_path()
-    size = Encoder.of(path).size
-    freq = docs.select("text").mapInArrow(_counted(path, end), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    times = np.zeros(max(size, (end or 0) + 1), np.int64)
+    size = max(Encoder.of(path).size, (end or 0) + 1)
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    order = [F.asc_nulls_first("doc_id"), F.asc("th")]
+    plain = written(keyed(docs, "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
+                    .select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_blocked(path, end, block), HEADS + ", plain binary"))
+    freq = plain.select("n", "plain").mapInArrow(_counted(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    times = np.zeros(size, np.int64)
     for r in freq.collect():  # at most one row for each id of the vocabulary
         times[r.id] = r.n
-    by_rank = np.lexsort((np.arange(len(times)), -times))
-    rank = np.empty(len(times), np.uint32)
-    rank[by_rank] = np.arange(len(times), dtype=np.uint32)
-    spark = docs.sparkSession
+    by_rank = np.lexsort((np.arange(size), -times))
+    rank = np.empty(size, np.uint32)
+    rank[by_rank] = np.arange(size, dtype=np.uint32)
     spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    (keyed(docs, "text").repartitionByRange(n, F.asc_nulls_first("doc_id"), "th").sortWithinPartitions(F.asc_nulls_first("doc_id"), "th")
-     .select(F.spark_partition_id().alias("part"), "doc_id", "text")
-     .mapInArrow(_blocked(path, end, rank, block), BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks"))
+    plain.mapInArrow(_coded(rank), BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    dropped(plain)
 
 
 def _opened(by_rank: np.ndarray):
