@@ -1,16 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-A *run* is the shortest stretch of lines from a given line on that holds ``min_words`` words. A common
-block with that many words contains the run of its first line, so two documents have a common block
-only if they share a run. Runs are hashed, and documents that share one are paired: all pairs if the run
-is rare (in ``rare`` documents at most), otherwise each document with the earliest one that has the run.
-Both ways a block that stands in an earlier document meets at least one of them, and the number of pairs
-grows with the number of lines, not with the square of a group.
+A *run* is the shortest stretch of lines from a given line on, or up to it, that holds ``min_words``
+words. Every line of a common block with that many words lies in a run inside the block, so two documents
+have a common block only if they share a run. Runs are hashed, and documents that share one are paired:
+all pairs if the run is rare (in ``rare`` documents at most), otherwise each document with the earliest
+one that has the run. So every line of a block that stands in an earlier document meets such a document,
+and the number of pairs grows with the number of lines, not with the square of a group.
 
 Pairs are aligned by patience diff over line hashes: equal lines at both ends are matched, then lines
 that occur once on either side, in the longest order common to both; the gaps between are treated in the
 same way. Matched lines that follow one another on both sides form a block, and blocks of ``min_words``
-words or more go from the later document. Texts of equal lines are one class; all but its earliest
+words or more go from the later document, with blank lines inside what goes. Texts of equal lines are one class; all but its earliest
 document lose every line. Earlier means: lesser doc_id, then lesser hash of the text.
 """
 
@@ -73,14 +73,15 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Lines of ``b`` in aligned blocks of at least ``min_words`` words; ``words``: of each line of b."""
+    """Lines with words of ``b`` in aligned blocks of at least ``min_words`` words; ``words``: of each
+    line of b."""
     out: list[int] = []
     block: list[int] = []
     before = None
     for i, j in [*patience(a, b), (-1, -1)]:
         if before != (i - 1, j - 1):
             if sum(words[x] for x in block) >= min_words:
-                out += block
+                out += [x for x in block if words[x]]
             block = []
         block.append(j)
         before = (i, j)
@@ -93,7 +94,7 @@ def _lined(batches):
             hashes, counts, whole, total = [], [], [], []
             for text in texts:
                 lines = text.split("\n")
-                n = [len(x.split()) for x in lines]
+                n = [len(x.encode().split()) for x in lines]
                 h = np.array([xxhash.xxh3_64_intdigest(x.encode()) | 1 if k else 0 for x, k in zip(lines, n)], np.uint64).tobytes()
                 hashes.append(h)
                 counts.append(np.array(n, np.int32).tobytes())
@@ -107,11 +108,15 @@ def _lined(batches):
 
 
 def runs_of(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> set[int]:
-    """Hashes of the shortest stretches with enough words, one from each line with a word, if any."""
+    """Hashes of the shortest stretches with enough words from each line with a word on, and up to it."""
     upto = np.concatenate([[0], np.cumsum(counts)])
-    ends = np.searchsorted(upto, upto[:-1] + min_words)
+    worded = np.flatnonzero(counts)
+    ends = np.searchsorted(upto, upto[worded] + min_words)
+    starts = np.searchsorted(upto, upto[worded + 1] - min_words, "right") - 1
+    spans = {(i, e) for i, e in zip(worded.tolist(), ends.tolist()) if e <= len(counts)}
+    spans |= {(s, i + 1) for i, s in zip(worded.tolist(), starts.tolist()) if s >= 0}
     view = memoryview(hashes.tobytes())
-    return {xxhash.xxh3_64_intdigest(view[8 * i:8 * e]) for i, e in enumerate(ends.tolist()) if e <= len(counts) and counts[i]}
+    return {xxhash.xxh3_64_intdigest(view[8 * s:8 * e]) for s, e in spans}
 
 
 def _running(min_words: int):
@@ -142,9 +147,27 @@ def _aligned(min_words: int):
     return run
 
 
+def _joined(batches):
+    """One list from all lists of lines, with the blank lines between two lines of it."""
+    for batch in batches:
+        out = []
+        for gone, counts in zip(batch.column("gone"), batch.column("counts")):
+            n = np.frombuffer(counts.as_buffer(), np.int32)
+            away = np.zeros(len(n), bool)
+            for g in gone:
+                away[np.frombuffer(g.as_buffer(), np.int32)] = True
+            worded = np.flatnonzero(n)
+            before = np.searchsorted(worded, np.arange(len(n)), "right") - 1
+            after = np.searchsorted(worded, np.arange(len(n)))
+            inner = (n == 0) & (before >= 0) & (after < len(worded))
+            inner[inner] = away[worded[before[inner]]] & away[worded[after[inner]]]
+            out.append(np.flatnonzero(away | inner).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "th", "gone"])
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """doc_id, th (the text's hash), whole (all lines go) and gone (list of arrays of line numbers, as
-    bytes, 32 bit) for every document that loses lines.
+    """doc_id, th (the text's hash), whole (all lines go) and gone (else: the numbers of those that go, from
+    0) for every document that loses lines.
 
     Null texts are empty; rows equal in id and text are one document, and neither is the later one; null
     ids come first; documents below ``min_words`` words lose nothing; an empty table gives no rows.
@@ -157,7 +180,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE
     same = (F.col("l.w1") == F.col("r.w1")) & (F.col("l.w2") == F.col("r.w2"))
     joined = enough.alias("l").join(reps.alias("r"), same)
     copies = joined.filter(~F.struct("l.doc_id", "l.th").eqNullSafe(F.col("r.one"))).select(
-        "l.doc_id", "l.th", F.lit(True).alias("whole"), F.array().cast("array<binary>").alias("gone")).distinct()
+        "l.doc_id", "l.th", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("gone")).distinct()
     own = written(joined.filter(F.struct("l.doc_id", "l.th").eqNullSafe(F.col("r.one"))).select("rid", "one", "hashes", "counts").dropDuplicates(["rid"]))
     runs = written(own.mapInArrow(_running(min_words), "rid long, run long").join(own.select("rid", "one"), "rid"))
     holders = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("one", "rid")).alias("first")).filter("n > 1")
@@ -170,57 +193,41 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE
     b = own.select(F.col("rid").alias("later"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
     gone = pairs.join(a, "earlier").join(b, "later").select("later", "ha", "hb", "cb").mapInArrow(_aligned(min_words), "rid long, gone binary")
     gone = gone.groupBy("rid").agg(F.collect_set("gone").alias("gone"))
-    out = written(gone.join(own.select("rid", "one"), "rid").select("one.doc_id", "one.th", F.lit(False).alias("whole"), "gone").unionByName(copies))
+    gone = gone.join(own.select("rid", "one", "counts"), "rid").select("one.doc_id", "one.th", "gone", "counts").mapInArrow(_joined, "doc_id long, th long, gone array<int>")
+    out = written(gone.select("doc_id", "th", F.lit(False).alias("whole"), "gone").unionByName(copies))
     dropped(lines, reps, own, runs, held, pairs)
     return out
 
 
-def _cut(batches):
-    for batch in batches:
-        for part, found in text_slices(batch):
-            texts, lines, lost, words = [], [], [], []
-            for text, given, whole, gone in zip(found, part.column("text"), part.column("whole").to_pylist(), part.column("gone")):
-                own = text.split("\n")
-                away = set(range(len(own))) if whole else set() if not gone.is_valid else {int(x) for g in gone for x in np.frombuffer(g.as_buffer(), np.int32)}
-                texts.append("\n".join(x for i, x in enumerate(own) if i not in away) if given.is_valid else None)
-                lines.append(len(own))
-                lost.append(len(away))
-                words.append(sum(len(own[i].split()) for i in away))
-            yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__hash"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(words, pa.int64())],
-                                             names=["__id", "__hash", "__text", "n_lines", "n_removed", "removed_words"])
+def _cut(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with __lines (of the text), __kept (those that stay) and __hit (whether any goes)."""
+    gone = repeated_lines(docs, **options).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("whole").alias("__whole"), F.col("gone").alias("__gone"))
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th")), "left")
+    both = both.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    left = F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i))
+    kept = F.when(F.col("__th").isNull(), F.col("__lines")).when(F.col("__whole"), F.array().cast("array<string>")).otherwise(left)
+    return both.select(*docs.columns, "__lines", kept.alias("__kept"), F.col("__th").isNotNull().alias("__hit"))
 
 
 def remaining_lines(docs: DataFrame, **options) -> DataFrame:
     """One row per input row: doc_id, th, text (what is left; null stays null), n_lines, n_removed and
     removed_words."""
-    gone = repeated_lines(docs, **options)
-    d, g = keyed(docs, "text").alias("d"), gone.alias("g")
-    both = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.th") == F.col("g.th")), "left")
-    both = both.select(F.col("d.doc_id").alias("__id"), F.col("d.th").alias("__hash"), "d.text", F.coalesce("g.whole", F.lit(False)).alias("whole"), "g.gone")
-    return both.mapInArrow(_cut, "__id long, __hash long, __text string, n_lines long, n_removed long, removed_words long").withColumnsRenamed(
-        {"__id": "doc_id", "__hash": "th", "__text": "text"})
+    cut = _cut(keyed(docs, "text"), **options)
+    words = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.size(F.array_remove(F.split(x, "[\\x20\\x09-\\x0D]+"), "")))
+    return cut.select(
+        "doc_id", "th", F.when(F.col("__hit"), F.array_join("__kept", "\n")).otherwise(F.col("text")).alias("text"),
+        F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("n_removed"),
+        F.when(F.col("__hit"), words(F.col("__lines")) - words(F.col("__kept"))).otherwise(F.lit(0)).cast("long").alias("removed_words"))
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """The input's rows and columns with the repeated lines cut from text (and n_chars, if there, set
     anew). Documents left without a word by the cut go."""
-    gone = repeated_lines(docs, **options).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("whole").alias("__whole"), F.col("gone").alias("__gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th")), "left")
-    cut = _cutter(F.col("text"), F.coalesce("__whole", F.lit(False)), F.col("__gone"))
-    hit = F.col("__th").isNotNull()
-    both = both.withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
+    cut = _cut(docs, **options)
+    cut = cut.withColumn("text", F.when(F.col("__hit"), F.array_join("__kept", "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return both.filter(~hit | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
-
-
-def _cutter(text, whole, gone):
-    """The same cut by built-in functions: lines whose number is in none of the lists."""
-    number = lambda h: F.conv(h, 16, 10).cast("int")
-    hexed = F.transform(F.coalesce(gone, F.array().cast("array<binary>")), lambda g: F.hex(g))
-    little = lambda x, k: F.concat(*[F.substring(x, 8 * k + 1 + p, 2) for p in (6, 4, 2, 0)])
-    numbers = F.flatten(F.transform(hexed, lambda x: F.transform(F.sequence(F.lit(0), (F.length(x) / 8).cast("int") - 1), lambda k: number(little(x, k)))))
-    return F.when(whole, F.lit("")).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n"))
+        cut = cut.withColumn("n_chars", F.when(F.col("__hit"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.filter(~F.col("__hit") | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
 
 
 def op2_line_dedup(spark, folder: str) -> DataFrame:
