@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from riffle.llm.shared import table
 
 #: What follows the first character of a control string of common chat templates. Fixed values.
-TAILS = (r"\|", r"/?s>", r"/?INST\]", r"</?SYS>>", r"/?SYS>>", r"start_of_turn>", r"end_of_turn>")
+TAILS = (r"\|", r"/?s>", r"/?INST\]", r"/?SYS>>", r"start_of_turn>", r"end_of_turn>")
 TAIL = "|".join(TAILS)
 ESCAPE, UNESCAPE = rf"([<\[])(\\*)(?={TAIL})", rf"([<\[])\\(\\*)(?={TAIL})"
 OPEN, CLOSE = "<|role|>", "<|end|>\n"

@@ -13,8 +13,11 @@ coordinate with probability equal to the weighted Jaccard similarity.
 *Links.* Texts of equal words are one class from the start. In a bucket every member is held against
 one head, the member whose buckets are fullest, not against all others; similarity is computed exactly.
 Members that end up outside the head's component get a head of their own, for some rounds; what is
-still apart then is compared with every member of its bucket outside its component. So no pair that
-shares a bucket is left out unless it is in one class already, and a huge group costs a line per member.
+still apart then is compared with every member of its bucket outside its component, unless the two
+cannot be near: both need 4/9 of their sizes together in common, and shingles that stand in up to ``FEW``
+members of all these buckets are common to the pairs that an index of these shingles gives, and to no
+others. So no pair that shares a bucket is left out unless it is in one class already or shown not to be
+near, and a huge group costs a line per member.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from riffle.llm.shared import dropped, keyed, table, written
 WORDS = 5
 BANDS, ROWS = 26, 5
 SIMILARITY = 0.8
-HEAD_ROUNDS = 3
+HEAD_ROUNDS = 2
+#: Sets that an element may be in to count as rare in the last comparison: changes its cost, not its result.
+FEW = 8
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -163,6 +168,28 @@ def similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray | None = None, wb: n
     return shared / max(1e-300, float(wa.sum() + wb.sum()) - shared)
 
 
+def _elements(batches):
+    """rid, element, weight and the set's total weight, a row for each element."""
+    for batch in batches:
+        for rid, elements, weights in zip(batch.column("rid").to_pylist(), batch.column("elements"), batch.column("weights")):
+            e = np.frombuffer(elements.as_buffer(), np.int64)
+            w = np.frombuffer(weights.as_buffer()) if weights.is_valid else np.ones(len(e))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), rid)), pa.array(e), pa.array(w), pa.array(np.full(len(e), w.sum()))],
+                                             names=["rid", "e", "w", "total"])
+
+
+def _frequent(sets: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, total, common) with each set's weight and how much of it lies in elements of more than
+    ``few`` sets; and (rid, e, w) of the elements of two to ``few`` sets."""
+    long = written(sets.mapInArrow(_elements, "rid long, e long, w double, total double"))
+    n = long.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= few)
+    rare = written(long.join(n, "e"))
+    lost = rare.groupBy("rid").agg(F.sum("w").alias("lost"))
+    totals = long.groupBy("rid").agg(F.max("total").alias("total"))
+    found = totals.join(lost, "rid", "left").select("rid", "total", (F.col("total") - F.coalesce("lost", F.lit(0.0))).alias("common"))
+    return written(found), rare.filter("n > 1").select("rid", "e", "w")
+
+
 def _checked(least: float):
     def run(batches):
         for batch in batches:
@@ -230,8 +257,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
         per = rooted.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("n"))
         main = per.groupBy("band", "h").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
         left = written(rooted.join(main.select("band", "h", F.col("m.root").alias("main")), ["band", "h"]).filter("root <> main").drop("main"))
-    rest = left.select("band", "h", F.col("rid").alias("x"), F.col("root").alias("rx"))
-    across = rest.join(rooted.select("band", "h", "rid", "root"), ["band", "h"]).filter("rx <> root").select(*ordered("x", "rid")).distinct()
+    mixed = rooted.join(left.select("band", "h").distinct(), ["band", "h"], "left_semi")
+    common, rare = _frequent(sets.join(mixed.select("rid").distinct(), "rid", "left_semi"), FEW)
+    mine = lambda df: df.join(common, "rid")
+    need = (least / (1 + least) - 1e-9) * (F.col("tx") + F.col("total"))
+    as_x = {"rid": "x", "root": "rx", "total": "tx", "common": "cx", "w": "wx"}
+    y = mine(mixed.select("band", "h", "rid", "root"))
+    x = mine(left.select("band", "h", "rid", "root")).withColumnsRenamed(as_x)
+    x, y = (d.filter(F.col(c) >= (least - 1e-9) * F.col(t)) for d, c, t in ((x, "cx", "tx"), (y, "common", "total")))
+    across = x.join(y, (x.band == y.band) & (x.h == y.h) & (F.col("rx") != F.col("root")) & (F.least("cx", "common") >= need)).select("x", "rid")
+    roots_of = mixed.select("rid", "root").distinct()
+    y = mine(rare.join(roots_of, "rid"))
+    x = y.join(left.select("rid").distinct(), "rid", "left_semi").withColumnsRenamed(as_x).withColumnRenamed("e", "ex")
+    by_rare = (x.join(y, (F.col("ex") == F.col("e")) & (F.col("rx") != F.col("root")))
+               .groupBy("x", "rid").agg(F.sum(F.least("wx", "w")).alias("both"), F.first("tx").alias("tx"), F.first("cx").alias("cx"), F.first("total").alias("total"), F.first("common").alias("common"))
+               .filter(F.least("cx", "common") + F.col("both") >= need).select("x", "rid"))
+    across = across.union(by_rare).select(*ordered("x", "rid")).distinct()
     across = written(across.join(done, ["a", "b"], "left_anti"))
     links = links.union(check(across))
     roots = components(links)
