@@ -31,7 +31,7 @@ def test_pieces_give_the_ids_of_whole_texts():
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 4001])
 def test_codes_come_back(n):
     pick = np.random.default_rng(n)
-    ranks = (pick.integers(0, 2**32, n) >> pick.integers(0, 32, n).astype(np.uint64)).astype(np.uint32)
+    ranks = (pick.integers(0, 2**32, n) >> pick.integers(0, 32, n)).astype(np.uint32)
     control, data = coded(ranks)
     assert np.array_equal(unpacked(control, data, n), ranks) and len(control) == -(-n // 4)
     assert len(data) == sum(max(1, -(-int(r).bit_length() // 8)) for r in ranks)
@@ -173,7 +173,7 @@ def test_dual_descent_reaches_the_optimum():
     for t in range(1, 40_000):
         g = slow - (signs * (1 - signs * (dense @ slow) > 0)) @ dense
         slow -= g / (t + 20)
-    assert loss(w) <= loss(slow) + 1e-3
+    assert loss(w) <= 1.001 * loss(slow)
     slope, offset = curve(np.array([-2.0, -1, 0, 1, 2, 3]), np.array([0.0, 0, 1, 0, 1, 1]))
     assert slope > 0 and np.isfinite(offset)
 
