@@ -47,16 +47,16 @@ def _(t):
 
 
 @query("n4_stream_upsert", """
-    SELECT CAST(station_id AS VARCHAR) AS station_id, ts AS reading_datetime, max(discharge_cms) AS discharge_cms
-    FROM gauges GROUP BY 1, 2""")
+    SELECT CAST(station_id AS VARCHAR) AS station_id, ts AS reading_datetime, discharge_cms
+    FROM gauges QUALIFY row_number() OVER (PARTITION BY station_id, ts ORDER BY reading_id DESC) = 1""")
 def _(t):
     from riffle.plans.jobs import Store
 
     store = Store(t.spark, folder(t, "store"))
     rows = readings(t).select(
         F.col("station_id").cast("string").alias("station_id"), F.col("ts").alias("reading_datetime"),
-        F.col("level_m").alias("water_level_m"), "discharge_cms")
-    St.upsert_latest(rows, store, "stream_gauge_readings", folder(t, "upsert-checkpoint"))
+        F.col("level_m").alias("water_level_m"), "discharge_cms", "reading_id")
+    St.upsert_latest(rows, store, "stream_gauge_readings", folder(t, "upsert-checkpoint"), F.col("reading_id"))
     return store.read("stream_gauge_readings").select(
         "station_id", F.col("reading_datetime").cast("timestamp_ntz").alias("reading_datetime"),
         "discharge_cms")

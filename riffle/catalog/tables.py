@@ -544,7 +544,7 @@ def _(t):
         "ogf_id", "species", "presence_probability", "centroid_lat")
     target = t.predictions.select("ogf_id", "species", F.col("prob").alias("presence_probability"),
                                   F.col("lat").alias("centroid_lat"))
-    return Tb.upsert(target, batch, ["ogf_id", "species"])
+    return Tb.upsert(target, batch, ["ogf_id", "species"], F.col("presence_probability"))
 
 
 @query("a34_tile_index", """

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riffle.operators.ranking import first_per_group
+from riffle.session import cut
 
 
 # Benthic families and orders that mark clean water.
@@ -40,63 +41,44 @@ def counts_as_text(df: DataFrame, group: list[str], key: str) -> DataFrame:
     return counted.groupBy(*group).agg(text.alias("breakdown"))
 
 
-def values_at(df: DataFrame, keys: list[str], value: str, positions: dict[str, Column],
-              passes: int = 2, buckets: int = 1024) -> DataFrame:
+def values_at(df: DataFrame, keys: list[str], value: str, positions: dict[str, Column]) -> DataFrame:
     """Exact order statistics per key: the value at each named 0-based ascending position.
 
-    Equal values are first collapsed to counts. Each pass then splits the range still in question
-    into value buckets and keeps the one holding the position, so no task ever sorts a whole
-    group, however much of the table that group holds. ``positions`` are expressions of ``n``,
-    the group's size. Result: keys, name, v.
+    Equal values are first collapsed to counts, which are range-partitioned on key and value. Each
+    piece adds up its counts apart, and one small row per (partition, key) carries the sum of the
+    pieces before, so no task ever holds a whole group, however its values are spread.
+    ``positions`` are expressions of ``n``, the group's size. Result: keys, name, v.
     """
     x = df.where(F.col(value).isNotNull()).groupBy(
         *keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    wanted = x.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    wanted = wanted.withColumn("t", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), p.cast("bigint").alias("pos"))
-        for name, p in positions.items()])))
-    wanted = wanted.select(*keys, "t.name", "t.pos", "lo", "hi")
-    here = [*keys, "name"]
-    for _ in range(passes):
-        inside = x.join(wanted, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
-        width = F.greatest((F.col("hi") - F.col("lo")) / buckets, F.lit(1e-300))
-        b = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1))
-        sums = inside.groupBy(*here, "pos", b.cast("int").alias("b")).agg(
-            F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        upto = F.sum("c").over(Window.partitionBy(*here).orderBy("b"))
-        sums = sums.withColumn("start", upto - F.col("c"))
-        wanted = sums.where(
-            (F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("start") + F.col("c"))
-        ).select(*here, (F.col("pos") - F.col("start")).alias("pos"), "lo", "hi")
-    inside = x.join(wanted, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
-    end = F.sum("c").over(Window.partitionBy(*here).orderBy("v"))
-    return inside.withColumn("end", end).where(F.col("end") > F.col("pos")).groupBy(*here).agg(
-        F.min("v").alias("v"))
-
-
-MEDIAN_GROUP_LIMIT = 2_000_000
-
-
-def exact_median(df: DataFrame, keys: list[str], values: list[str],
-                 group_limit: int = MEDIAN_GROUP_LIMIT) -> DataFrame:
-    """Median of each value column per key, nulls skipped.
-
-    The built-in aggregate holds a group's values in one task, so it is used only while the
-    largest group is known to be small; past that the position is narrowed down in parallel.
-    """
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= group_limit:
-        return df.groupBy(*keys).agg(*[F.median(F.col(v)).alias(v) for v in values])
+    placed = cut(x.repartitionByRange(*keys, "v").withColumn("_part", F.spark_partition_id()))
+    pieces = placed.groupBy("_part", *keys).agg(F.sum("c").alias("_size"))
+    group, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part")
+    pieces = pieces.select(
+        "_part", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        (F.sum("_size").over(along) - F.col("_size")).alias("_before"), F.sum("_size").over(group).alias("n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    end = F.sum("c").over(Window.partitionBy("_part", *keys).orderBy("v"))
+    ends = placed.withColumn("_end", end).withColumnRenamed("_part", "_p").join(
+        pieces, [F.col("_p") == F.col("_part"), *same]).withColumn("_end", F.col("_before") + F.col("_end"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), p.cast("bigint").alias("pos"))
+                       for name, p in positions.items()])
+    hit = F.filter(wanted, lambda t: (F.col("_end") > t["pos"]) & (F.col("_end") - F.col("c") <= t["pos"]))
+    return ends.select(*keys, "v", F.explode(hit).alias("_t")).select(*keys, F.col("_t.name").alias("name"), "v")
+
+
+def exact_median(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Median of each value column per key, nulls skipped; null for a key without a value."""
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(v).alias("param"), F.col(v).cast("double").alias("x")) for v in values
     ])).alias("s")).select(*keys, "s.param", "s.x")
     n = F.col("n")
     found = values_at(long, [*keys, "param"], "x",
                       {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2)})
-    both = found.groupBy(*keys, "param").agg((F.sum("v") / 2).alias("m"))
-    return both.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("param") == v, F.col("m"))).alias(v) for v in values])
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("param", "string"), ("v", "double"))]
+    found = found.select(*keys, "param", "v").unionByName(df.select(*keys).distinct().select(*keys, *none))
+    middle = lambda v: F.avg(F.when(F.col("param") == v, F.col("v"))).alias(v)
+    return found.groupBy(*keys).agg(*[middle(v) for v in values])
 
 
 def station_medians(readings: DataFrame) -> DataFrame:

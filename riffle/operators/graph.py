@@ -14,7 +14,6 @@ from riffle.functions import geo
 from riffle.session import cut
 
 HOPS_PER_ROUND = 4
-MAX_ORDER = 32
 
 # Words that mark strong swimmers and barrier-bound species.
 STRONG_SWIMMERS = [
@@ -361,8 +360,9 @@ def node_orders(dag: DataFrame, nodes: DataFrame) -> DataFrame:
                                        "f": F.lit(None).cast("array<int>")})
         known = _from_known(F.col("m"), F.col("k"))
         floor = F.coalesce("m", F.lit(0))
-        table = F.transform(F.sequence(F.lit(1), F.lit(MAX_ORDER)), lambda x: F.when(
-            x > floor, x).when(x == floor, x + 1).otherwise(known))
+        # up to the largest known order; above it the open predecessor's order is the node's own
+        table = F.when(floor == 0, F.array().cast("array<int>")).otherwise(F.transform(
+            F.sequence(F.lit(1), floor), lambda x: F.when(x == floor, x + 1).otherwise(known)))
         one = F.col("open") == 1
         state = cut(state.select(
             "node", "m", "k", F.when(one, F.coalesce("to", "first_open")).alias("ptr"),
@@ -376,13 +376,15 @@ def node_orders(dag: DataFrame, nodes: DataFrame) -> DataFrame:
             # a pointer may lead to a node settled in an earlier round
             other = other.unionByName(done.select(
                 F.col("node").alias("ptr"), F.col("ord").alias("o2")), allowMissingColumns=True)
-        after = lambda x: F.element_at(F.col("f"), F.least(x, F.lit(MAX_ORDER)))
+        after = lambda x: F.coalesce(F.get("f", x - 1), x)
+        longest = F.greatest(F.size("f"), F.size("f2"))
+        composed = F.when(longest == 0, F.col("f")).otherwise(F.transform(
+            F.sequence(F.lit(1), longest), lambda x: after(F.coalesce(F.get("f2", x - 1), x))))
         out = cut(state.join(other, "ptr", "left").select(
             "node", "m", "k",
             F.coalesce("p2", "ptr").alias("to"),
-            F.when(F.col("p2").isNotNull(), F.transform("f2", after)).otherwise(
-                F.col("f")).alias("f"),
-            F.coalesce("ord", F.element_at("f", F.col("o2"))).alias("ord"),
+            F.when(F.col("p2").isNotNull(), composed).otherwise(F.col("f")).alias("f"),
+            F.coalesce("ord", F.when(F.col("f").isNotNull(), after(F.col("o2")))).alias("ord"),
         ))
         fresh = out.where("ord IS NOT NULL").select("node", "ord")
         left = out.where("ord IS NULL")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riffle.functions import geo
@@ -436,32 +436,46 @@ def thin_by_distance(ranked: DataFrame, limit: int, min_km: float, group: list[s
                      order: list[Column], key: str, lat="lat", lng="lng") -> DataFrame:
     """Greedy best-first selection per question: keep a row unless a kept one is too close.
 
-    Only the best ``limit`` x 20 rows of each group are considered, as the operator defines, so
-    the ordered array folded here is bounded by the parameter and not by the data.
+    Each round folds the best ``limit`` x 20 rows that are not too close to one kept before, so no task
+    holds more than that of a question. A round that fills no question up still keeps its best row and
+    clears its surroundings; rounds go on until every question has ``limit`` rows or none is left. The
+    lists of kept rows have ``limit`` entries at most for each question.
     """
-    from pyspark.sql import Window
-
     pool = limit * 20
-    place = Window.partitionBy(*group).orderBy(*order) if group else None
-    if place is None:
-        best = ranked.orderBy(*order).limit(pool).withColumn("_g", F.lit(1))
-        place = Window.partitionBy("_g").orderBy(*order)
-        group = ["_g"]
-    else:
-        best = ranked
-    numbered = best.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= pool)
-    item = F.struct("_rn", F.col(key).alias("k"), F.col(lat).alias("lat"), F.col(lng).alias("lng"))
-    pooled = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = pooled.schema["items"].dataType.simpleString()
-    none = F.array().cast(kind)
-
-    def take(kept: Column, x: Column) -> Column:
-        clash = F.exists(
-            kept, lambda k: geo.haversine_km(x["lat"], x["lng"], k["lat"], k["lng"]) < min_km
-        )
-        return F.when((F.size(kept) < limit) & ~clash, F.concat(kept, F.array(x))).otherwise(kept)
-
-    kept = pooled.select(*group, F.posexplode(F.aggregate("items", none, take)).alias("pos", "it"))
-    kept = kept.select(*group, F.col("it._rn").alias("_rn"), (F.col("pos") + 1).alias("rank"))
-    out = numbered.join(kept, [*group, "_rn"]).drop("_rn")
-    return out.drop("_g") if "_g" in out.columns else out
+    by = group or ["_g"]
+    rows = cut((ranked if group else ranked.withColumn("_g", F.lit(1))).withColumn("_id", F.monotonically_increasing_id()))
+    place = Window.partitionBy(*by).orderBy(*order, "_id")
+    item = F.struct("_rn", F.col("_id").alias("id"), F.col(lat).alias("lat"), F.col(lng).alias("lng"))
+    names = {g: f"_b{i}" for i, g in enumerate(by)}
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in names.items()]
+    settled = None
+    while True:
+        left = rows
+        if settled is not None:
+            left = left.join(settled, same).where(~F.exists("kept", lambda k: geo.haversine_km(
+                F.col(lat), F.col(lng), k["lat"], k["lng"]) < min_km) & ~F.col("full")).drop(*names.values(), "full")
+        else:
+            left = left.withColumn("kept", F.array().cast("array<struct<id:bigint,lat:double,lng:double>>"))
+        # rows at the very place of a kept one are too close only if some distance is asked for
+        left = left.where(~F.exists("kept", lambda k: k["id"] == F.col("_id")))
+        best = left.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= pool)
+        pooled = best.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("kept").alias("kept"))
+
+        def take(kept: Column, x: Column) -> Column:
+            clash = F.exists(kept, lambda k: geo.haversine_km(x["lat"], x["lng"], k["lat"], k["lng"]) < min_km)
+            one = F.struct(x["id"].alias("id"), x["lat"].cast("double").alias("lat"), x["lng"].cast("double").alias("lng"))
+            return F.when((F.size(kept) < limit) & ~clash, F.concat(kept, F.array(one))).otherwise(kept)
+
+        fresh = pooled.select(*[F.col(g).alias(n) for g, n in names.items()], F.aggregate("items", F.col("kept"), take).alias("kept"),
+                              (F.size("items") < pool).alias("last"))
+        fresh = fresh.select(*names.values(), "kept", (F.col("last") | (F.size("kept") >= limit)).alias("full"))
+        if settled is not None:  # questions of which nothing was left stay as they were
+            was = settled.withColumnsRenamed({n: f"{n}_" for n in names.values()}).withColumnsRenamed({"kept": "kept_", "full": "full_"})
+            both = was.join(fresh, [F.col(f"{n}_").eqNullSafe(F.col(n)) for n in names.values()], "left")
+            fresh = both.select(*[F.col(f"{n}_").alias(n) for n in names.values()], F.coalesce("kept", "kept_").alias("kept"), F.coalesce("full", F.lit(True)).alias("full"))
+        settled = cut(fresh)
+        if settled.where(~F.col("full")).isEmpty():
+            break
+    ranks = settled.select(F.posexplode("kept").alias("pos", "it")).select(F.col("it.id").alias("_kid"), (F.col("pos") + 1).alias("rank"))
+    out = rows.join(ranks, F.col("_id") == F.col("_kid")).drop("_id", "_kid")
+    return out.drop("_g") if not group else out

@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: list[str],
-           arrival: Column | None = None) -> DataFrame:
-    """Rows of both by key, the batch replacing the target; within the batch the last arrival
-    wins. Only keys present in the batch are deduplicated; the rest of the target streams
-    through an anti join."""
-    order = arrival if arrival is not None else F.struct(*[F.col(c) for c in batch.columns])
+def upsert(target: DataFrame, batch: DataFrame, key: list[str], arrival: Column) -> DataFrame:
+    """Rows of both by key, the batch replacing the target; within the batch the row of greatest
+    ``arrival`` wins (its file, offset or time). Only keys present in the batch are deduplicated; the
+    rest of the target streams through an anti join. Columns may be of any type, maps included."""
+    order = arrival
     rows = F.struct(*[F.col(c) for c in batch.columns])
     latest = batch.groupBy(*key).agg(F.max_by(rows, order).alias("r")).select("r.*")
     kept = target.join(latest.select(*key), key, "left_anti")
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
-def insert_absent(target: DataFrame, batch: DataFrame, key: list[str],
-                  arrival: Column | None = None) -> DataFrame:
-    """Append only rows whose key the target lacks; the first arrival wins inside the batch."""
-    order = arrival if arrival is not None else F.struct(*[F.col(c) for c in batch.columns])
+def insert_absent(target: DataFrame, batch: DataFrame, key: list[str], arrival: Column) -> DataFrame:
+    """Append only rows whose key the target lacks; the least arrival wins inside the batch."""
+    order = arrival
     rows = F.struct(*[F.col(c) for c in batch.columns])
     fresh = batch.groupBy(*key).agg(F.min_by(rows, order).alias("r")).select("r.*")
     return target.unionByName(
@@ -33,8 +31,10 @@ def keep_since(df: DataFrame, ts: str, asof: str, days: int = 7) -> DataFrame:
     return df.where(F.col(ts) >= F.to_timestamp(F.lit(asof)) - F.make_interval(days=F.lit(days)))
 
 
-def with_defaults(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
-    """The schema's columns in order: absent ones added, nulls filled where a default is known."""
+def with_defaults(df: DataFrame, schema: T.StructType, defaults: dict | None = None,
+                  keep: list[str] | None = None) -> DataFrame:
+    """The schema's columns in order: absent ones added, nulls filled where a default is known; then
+    the columns in ``keep`` as they are."""
     defaults = defaults or {}
     have = set(df.columns)
     out = []
@@ -42,7 +42,7 @@ def with_defaults(df: DataFrame, schema: T.StructType, defaults: dict | None = N
         default = F.lit(defaults.get(f.name)).cast(f.dataType)
         value = F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
         out.append(F.coalesce(value, default).alias(f.name))
-    return df.select(*out)
+    return df.select(*out, *(keep or []))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

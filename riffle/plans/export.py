@@ -11,7 +11,6 @@ from riffle.operators.aggregates import rank_thresholds
 
 CUTS = {"p95": 0.05, "p80": 0.20, "p60": 0.40, "p40": 0.60}
 SCORES = ["untapped_score_balanced", "untapped_score_easy", "untapped_score_adventure"]
-MAX_FEATURES = 50_000
 HOME_RADIUS_KM = 150.0
 
 
@@ -53,7 +52,10 @@ def region(untapped: DataFrame, home_lat: float, home_lng: float,
         inside & ~outside_map_region("centroid_lat", "centroid_lng", "watercourse_type"))
 
 
-def best_rows(untapped: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
+def best_rows(untapped: DataFrame, limit: int | None = None) -> DataFrame:
+    """All rows, or the best ``limit`` of them."""
+    if limit is None:
+        return untapped
     return untapped.orderBy(F.desc("untapped_score_balanced"), "ogf_id").limit(limit)
 
 

@@ -88,16 +88,16 @@ class Questions:
         return Ga.stream_conditions(readings, stations, lat, lng, radius_km, max_stations)
 
     def nearby_water(self, lat, lng, asof: str, radius_km=25.0, feature_type: str | None = None,
-                     not_in_trip_log=False) -> DataFrame:
+                     not_in_trip_log=False, limit=Wa.MAX_RESULTS) -> DataFrame:
         visited = self.table("trips").where("location_name IS NOT NULL") if not_in_trip_log else None
-        found = Wa.nearby_water(self.table("water_features"), lat, lng, radius_km, feature_type, visited)
+        found = Wa.nearby_water(self.table("water_features"), lat, lng, radius_km, feature_type, visited, limit=limit)
         vertex = geo.wkt_first_vertex("geom_wkt")
         streams = self.table("stream_segments").select(vertex["lat"].alias("lat"),
                                                        vertex["lng"].alias("lng"))
         return Wa.dispersal_flags(found, streams, self.table("bird_observations"), asof)
 
-    def access_points(self, lat, lng, radius_km=25.0) -> DataFrame:
-        return Wa.access_points(self.table("access_points"), lat, lng, radius_km)
+    def access_points(self, lat, lng, radius_km=25.0, limit=Wa.MAX_RESULTS) -> DataFrame:
+        return Wa.access_points(self.table("access_points"), lat, lng, radius_km, limit)
 
     # --- records and rules ------------------------------------------------------------------
 
@@ -172,7 +172,7 @@ class Questions:
             F.lit(ogf_id).cast("bigint").alias("ogf_id"),
             F.to_timestamp(F.lit(asof)).alias("dismissed_at"),
             F.lit(reason).cast("string").alias("reason"))
-        return Tb.upsert(t, row, ["ogf_id"])
+        return Tb.upsert(t, row, ["ogf_id"], F.col("dismissed_at"))
 
     # --- habitat ----------------------------------------------------------------------------
 

@@ -9,7 +9,7 @@ from riffle.functions import geo
 from riffle.functions.predicates import likely_culverted
 from riffle.operators import joins as J
 from riffle.operators import spatial as S
-from riffle.operators.aggregates import most_common, with_log_max
+from riffle.operators.aggregates import with_log_max
 from riffle.operators.ranking import top_per_group, top_two
 from riffle.plans.species import common_name, resolve
 from riffle.session import cut
@@ -297,7 +297,3 @@ def find_exploration_targets(untapped: DataFrame, predictions: DataFrame, seen:
     out = S.thin_by_distance(rows, limit, 0.5, [], [F.desc("untapped_score"), F.col("ogf_id")],
                              "ogf_id", "centroid_lat", "centroid_lng")
     return out.withColumn("fmz", geo.fmz("centroid_lat", "centroid_lng"))
-
-
-def dominant_substrate(units: DataFrame) -> DataFrame:
-    return most_common(units, [], "substrate_class")

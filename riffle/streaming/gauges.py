@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RETENTION = "7 days"
@@ -92,10 +92,11 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def upsert_latest(stream: DataFrame, store, table: str, checkpoint: str) -> None:
-    """Merge each micro-batch into a keyed table; replaying a batch changes nothing."""
+def upsert_latest(stream: DataFrame, store, table: str, checkpoint: str, arrival: Column) -> None:
+    """Merge each micro-batch into a keyed table, of rows with one key the one of greatest ``arrival``;
+    replaying a batch changes nothing."""
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: store.merge(table, batch) and None)
+        stream.writeStream.foreachBatch(lambda batch, _: store.merge(table, batch, arrival) and None)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

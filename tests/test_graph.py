@@ -1,5 +1,6 @@
 """Network operators on the small networks of the specification and on random ones."""
 
+import os
 import random
 
 import pytest
@@ -79,6 +80,16 @@ def test_strahler_counts_a_cycle_as_one_node(spark):
     assert got[1] == 1 and got[6] == 2 and got[7] == 2
 
 
+def test_strahler_has_no_ceiling(spark):
+    """A braid, each level's two nodes fed by both before: the order grows by one a level."""
+    levels = int(os.environ.get("BRAID_LEVELS", "5"))
+    pairs = [(2 * k + a, 2 * k + 2 + b) for k in range(levels) for a in (1, 2) for b in (1, 2)]
+    pairs += [(2 * levels + 1, 900), (900, 901), (901, 902)]
+    got = orders(spark, pairs)
+    assert [got[i] for i in range(1, 4 * levels, 4)] == list(range(1, levels + 1))
+    assert got[len(pairs)] == levels + 1
+
+
 def brute_orders(pairs):
     import sys
 

@@ -156,6 +156,18 @@ def test_thinning_is_greedy_best_first(spark):
         assert got[q] == [int(p.id) for p in kept]
 
 
+def test_thinning_looks_past_a_crowd_of_best_rows(spark):
+    crowd = [(i, 1000 - i, 45.0 + i * 1e-5, -75.0) for i in range(90)]
+    away = [(100 + i, 5 - i, 46.0 + i, -75.0) for i in range(4)]
+    df = spark.createDataFrame(crowd + away, "id long, v int, lat double, lng double")
+    out = S.thin_by_distance(df, 3, 1.0, [], [F.desc("v")], "id")
+    assert [r["id"] for r in out.orderBy("rank").collect()] == [0, 100, 101] and out.columns == [*df.columns, "rank"]
+    both = df.withColumn("q", F.explode(F.array(F.lit("a"), F.lit("b")))).where("q = 'a' OR id < 90")
+    got = {(r["q"], r["id"]) for r in S.thin_by_distance(both, 3, 1.0, ["q"], [F.desc("v")], "id").collect()}
+    assert got == {("a", 0), ("a", 100), ("a", 101), ("b", 0)}
+    assert S.thin_by_distance(df.limit(0), 3, 1.0, [], [F.desc("v")], "id").count() == 0
+
+
 def test_soft_labels_conserve_weight(spark):
     seg = spark.createDataFrame(cloud(200, 3).rename(columns={"id": "ogf_id"}))
     occ = spark.createDataFrame(cloud(90, 4).assign(is_obscured=True))
