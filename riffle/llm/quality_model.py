@@ -1,12 +1,12 @@
 """Quality classifier: naive Bayes support vectors over hashed word n-grams.
 
 Features are indicators of single tokens and pairs of neighbours, and of a token that follows itself;
-tokens are runs of letters and digits or of other signs, case kept. Over all labelled rows Spark sums how
-many good and bad documents have each feature; the log ratio of the two smoothed shares scales the
+tokens are runs of letters and digits or of other signs, case kept. Over the labelled rows (``LABELLED_ROWS``
+at most, about, by hash of the id: a bound that lets their ids be broadcast to the texts) Spark sums how many good and bad documents have each feature; the log ratio of the two smoothed shares scales the
 indicators. On the scaled indicators, divided by the root of their number, a linear model is fitted to
 hinge loss by dual coordinate descent: one dual variable per document, moved to its optimum in turn, the
 weights kept up to date. The descent is sequential, so it runs on a bounded sample of the labelled rows
-(``FIT_ROWS``, about, by hash of the id; counts and ratios use all rows). A part of the sample is left out
+(``FIT_ROWS``, about, by hash of the id). A part of the sample is left out
 of the descent and fits the logistic curve that turns margins into scores.
 """
 
@@ -22,6 +22,8 @@ from riffle.llm.shared import dropped, held_out, table, text_hash, written
 
 BUCKETS = 1 << 18
 FIT_ROWS = 12_000
+#: Label rows that training reads at most, about.
+LABELLED_ROWS = 100_000
 SMOOTHING = 1.0
 COST = 1.0
 PASSES = 20
@@ -147,36 +149,52 @@ def fitted(labelled: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS
     return vector.astype(np.float32), float(weights[-1]), *curve(margins, labels[test].astype(float))
 
 
-def scored(docs: DataFrame, model, buckets: int = BUCKETS) -> DataFrame:
+def _scores(texts: list[str], model) -> np.ndarray:
+    vector, bias, slope, offset = model
+    sums = np.array([vector[f].sum(dtype=np.float64) / max(1.0, np.sqrt(len(f))) for f in features(texts, len(vector))])
+    return 1 / (1 + np.exp(-np.clip(slope * (sums + bias) + offset, -700, 700)))
+
+
+def scored(docs: DataFrame, model) -> DataFrame:
     """doc_id, th, score (0 to 1) and predicted (1 from 0.5) of every row, from its text alone. Null and
     empty texts have no feature and score what the bias alone says."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
 
     def run(batches):
-        vector, bias, slope, offset = sent.value
         for batch in batches:
             for part, texts in text_slices(batch):
-                sums = np.array([vector[f].sum(dtype=np.float64) / max(1.0, np.sqrt(len(f))) for f in features(texts, buckets)])
-                score = 1 / (1 + np.exp(-np.clip(slope * (sums + bias) + offset, -700, 700)))
+                score = _scores(texts, sent.value)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("th"), pa.array(score),
-                    pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "th", "score", "predicted"])
+                    part.column("doc_id"), part.column("th"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
+                    names=["doc_id", "th", "score", "predicted"])
 
     return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, score double, predicted int")
 
 
-def trained_on(docs: DataFrame, labels: DataFrame):
+def trained_on(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS):
     """The model from the rows of ``docs`` whose ids ``labels`` (doc_id, quality) marks, without the
-    held-out ones. A document with several label rows counts once for each."""
-    marks = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("label")).filter("label is not null")
-    texts = docs.select("doc_id", "text").filter(~held_out(1, 3))
-    return fitted(texts.join(marks, F.col("doc_id") == F.col("__id")))
+    held-out ones. A document with several label rows counts once for each. Of more than
+    ``labelled_rows`` label rows, about that many are taken, by hash of the id."""
+    marks = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("label"))
+    marks = marks.filter(F.col("__id").isNotNull() & F.col("label").isNotNull() & ~held_out(1, 3, "__id"))
+    n = marks.count()
+    if n > labelled_rows:
+        marks = marks.filter(F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 30)) < int((1 << 30) * labelled_rows / n))
+    # about labelled_rows rows of two numbers: bounded, so no text is shuffled
+    return fitted(docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("__id")))
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The input's rows and columns without the documents that the classifier rejects."""
-    bad = scored(docs, trained_on(docs, labels)).filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th")), "left_anti")
+    model = trained_on(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                yield part.filter(pa.array(_scores(texts, sent.value) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_quality_classifier(spark, folder: str) -> DataFrame:

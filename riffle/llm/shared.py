@@ -52,6 +52,6 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", text_hash().alias("th"), *columns)
 
 
-def held_out(remainder: int, modulus: int) -> Column:
+def held_out(remainder: int, modulus: int, doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id is held out."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(True))
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(True))
