@@ -14,6 +14,21 @@ def readings(t):
     return St.as_readings(events)
 
 
+#: Day on which an event arrives: up to five days after it happened.
+ARRIVAL = "date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) + event_id % 6"
+
+
+def arriving(t, name, pieces=8):
+    """The events as files in order of arrival, read one file a batch; piece numbers go by arrival day."""
+    events = t.base("events").withColumn("_day", F.datediff(F.to_date("ts"), F.lit("2000-01-01").cast("date")) + F.col("event_id") % 6)
+    first, last = events.agg(F.min("_day"), F.max("_day")).first()
+    path, width = folder(t, name), (last - first) // pieces + 1
+    for k in range(pieces):  # one after the other: the source takes files by their time
+        part = events.where(F.floor((F.col("_day") - first) / width) == k)
+        part.drop("_day").coalesce(1).sortWithinPartitions(F.col("event_id") % 97).write.mode("append").parquet(path)
+    return St.as_readings(St.read_stream(t.spark, path, t.base("events").schema, files_per_batch=1))
+
+
 def finished(t, stream, name):
     out = folder(t, name)
     St.run_available(stream, out, folder(t, name + "-checkpoint"))
@@ -42,7 +57,7 @@ def _(t):
 def _(t):
     from riffle.plans.gauges import with_labels
 
-    out = with_labels(finished(t, St.with_trends(readings(t)), "trends"))
+    out = with_labels(St.settled(finished(t, St.with_trends(arriving(t, "trend-files")), "trends")))
     return out.select("reading_id", "level_trend", "discharge_trend", "level_class")
 
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RETENTION = "7 days"
+RETENTION_S = 7 * 24 * 3600
 WINDOW_S = 24 * 3600
 TREND_BACK_S = 3 * 3600
 OUT = ("station_id bigint, reading_id bigint, ts timestamp, level_m double, discharge_cms double, "
-       "ref_level_m double, ref_discharge_cms double, level_mean double, discharge_mean double")
-STATE = "ts array<bigint>, level array<double>, discharge array<double>"
+       "ref_level_m double, ref_discharge_cms double, level_mean double, discharge_mean double, seq bigint")
+STATE = "ts array<bigint>, reading_id array<bigint>, level array<double>, discharge array<double>, seq bigint"
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None,
@@ -33,53 +35,85 @@ def deduplicated(readings: DataFrame, station: str = "station_id", ts: str = "ts
     return readings.withWatermark(ts, retention).dropDuplicatesWithinWatermark([station, ts])
 
 
+def labels_of(ts: np.ndarray, level: np.ndarray, flow: np.ndarray) -> np.ndarray:
+    """Reference level and flow and trailing-day means of one station's readings, a row for each.
+
+    ``ts`` (microseconds) ascends, equal instants in order of reading_id. The reference is the earlier
+    reading nearest to three hours before (ties: the earlier one, then the first of its instant); the
+    trailing day includes both ends. Missing values are NaN.
+    """
+    n = len(ts)
+    target = ts - TREND_BACK_S * 1_000_000
+    earlier = np.searchsorted(ts, ts, "left")
+    right = np.searchsorted(ts, target, "left")
+    left = right - 1
+    gap_right = np.where(right < earlier, ts[np.minimum(right, n - 1)] - target, np.iinfo(np.int64).max)
+    pick = np.where((left >= 0) & (target - ts[np.maximum(left, 0)] <= gap_right), left, np.where(right < earlier, right, -1))
+    first = np.searchsorted(ts, ts[np.maximum(pick, 0)], "left")
+    lo, hi = np.searchsorted(ts, ts - WINDOW_S * 1_000_000, "left"), np.searchsorted(ts, ts, "right")
+    out = []
+    for x in (level, flow):
+        out.append(np.where(pick >= 0, x[first], np.nan))
+    for x in (level, flow):
+        known = ~np.isnan(x)
+        sums, counts = (np.concatenate([[0], np.cumsum(v)]) for v in (np.where(known, x, 0.0), known))
+        many = counts[hi] - counts[lo]
+        out.append(np.where(many > 0, (sums[hi] - sums[lo]) / np.maximum(many, 1), np.nan))
+    return np.column_stack(out)
+
+
 def _labels(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Reference and trailing means for the new readings of one station.
+    """Rows for the new readings of one station, and anew for older ones whose labels they change.
 
-    The state keeps the last day of readings of that station and nothing else.
+    The state keeps the readings that a row within the retention can still need: those of the
+    retention and one day before, and the last one before that.
     """
-    new = pd.concat(list(batches)).sort_values(["ts", "reading_id"], kind="stable")
-    if state.exists:
-        t0, l0, d0 = (list(x) for x in state.get)
-    else:
-        t0, l0, d0 = [], [], []
-    seconds = new["ts"].astype("datetime64[us]").astype("int64")
-    times = pd.Index(t0 + list(seconds))
-    level = pd.Series(l0 + list(new["level_m"]), dtype="float64")
-    flow = pd.Series(d0 + list(new["discharge_cms"]), dtype="float64")
-    order = pd.Series(times).argsort(kind="stable").to_numpy()
-    times, level, flow = times[order], level.iloc[order], flow.iloc[order]
-    stamps = pd.to_datetime(times, unit="us")
-    level.index = flow.index = stamps
-    # the trailing day includes its left edge
-    day = pd.Timedelta(seconds=WINDOW_S) + pd.Timedelta(microseconds=1)
-    mean_l, mean_f = level.rolling(day).mean(), flow.rolling(day).mean()
-    arr = times.to_numpy()
-    rows = []
-    for when, rid, lv, fl in zip(seconds, new["reading_id"], new["level_m"], new["discharge_cms"]):
-        at = int(arr.searchsorted(when, "right")) - 1
-        before = int(arr.searchsorted(when, "left"))
-        target = when - TREND_BACK_S * 1_000_000
-        i = int(arr.searchsorted(target, "left"))
-        if i >= before or (i > 0 and target - arr[i - 1] <= arr[i] - target):
-            i -= 1
-        ref = (level.iloc[i], flow.iloc[i]) if 0 <= i < before else (None, None)
-        rows.append((key[0], rid, when, lv, fl, *ref, mean_l.iloc[at], mean_f.iloc[at]))
-    keep = arr >= arr[-1] - WINDOW_S * 1_000_000
-    clean = lambda s: [None if pd.isna(v) else float(v) for v in s[keep]]
-    state.update(([int(x) for x in arr[keep]], clean(level), clean(flow)))
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-    out["ts"] = pd.to_datetime(out["ts"], unit="us")
-    yield out
-
-
-def with_trends(readings: DataFrame) -> DataFrame:
-    """Each reading with its reference of three hours ago and its trailing-day means.
-
-    State is one day of readings per station, whatever the length of the stream.
+    if state.hasTimedOut:
+        state.remove()
+        return
+    new = pd.concat(list(batches))
+    old = [np.asarray(x, dtype=float if i in (2, 3) else np.int64) for i, x in enumerate(state.get[:4])] if state.exists else [
+        np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+    seq = (state.get[4] if state.exists else 0) + 1
+    fresh = [new["ts"].astype("datetime64[us]").astype("int64").to_numpy(), new["reading_id"].to_numpy(np.int64),
+             new["level_m"].to_numpy(float), new["discharge_cms"].to_numpy(float)]
+    ts, rid, level, flow = (np.concatenate(x) for x in zip(old, fresh))
+    was = np.full((len(ts), 4), np.nan)
+    was[:len(old[0])] = labels_of(old[0], *old[2:])
+    is_new = np.arange(len(ts)) >= len(old[0])
+    order = np.lexsort((rid, ts))
+    ts, rid, level, flow, was, is_new = (x[order] for x in (ts, rid, level, flow, was, is_new))
+    now = labels_of(ts, level, flow)
+    send = is_new | ~(np.isclose(now, was, rtol=1e-12, atol=0, equal_nan=True).all(axis=1))
+    mark = state.getCurrentWatermarkMs() * 1000
+    keep = max(0, int(np.searchsorted(ts, mark - WINDOW_S * 1_000_000)) - 1) if mark > 0 else 0
+    state.update((ts[keep:].tolist(), rid[keep:].tolist(), level[keep:].tolist(), flow[keep:].tolist(), seq))
+    state.setTimeoutTimestamp(max(int(ts[-1]) // 1000 + (RETENTION_S + WINDOW_S) * 1000, state.getCurrentWatermarkMs() + 1))
+    # a row at the edge of the state lacks what went before it; it cannot change any more
+    send[:1] &= is_new[:1] | (keep == 0)
+    out = pd.DataFrame({"station_id": key[0], "reading_id": rid[send], "ts": pd.to_datetime(ts[send], unit="us"), "level_m": level[send],
+                        "discharge_cms": flow[send]})
+    out[["ref_level_m", "ref_discharge_cms", "level_mean", "discharge_mean"]] = now[send]
+    out["seq"] = seq
+    yield out.astype(object).where(out.notna(), None).astype({"station_id": "int64", "reading_id": "int64", "seq": "int64", "ts": "datetime64[us]"})
+
+
+def with_trends(readings: DataFrame, retention: str = RETENTION) -> DataFrame:
+    """Each reading with its reference of three hours ago and its trailing-day means, whatever the order
+    in which readings come, as long as none is later than ``retention``: later ones are dropped.
+
+    A reading that comes late changes the labels of readings after it. Those are sent again with a
+    greater ``seq``; ``settled`` keeps the last row of each. A station silent for the retention and a day
+    is forgotten.
     """
-    return readings.groupBy("station_id").applyInPandasWithState(
-        _labels, OUT, STATE, "append", "NoTimeout")
+    return readings.withWatermark("ts", retention).groupBy("station_id").applyInPandasWithState(
+        _labels, OUT, STATE, "append", "EventTimeTimeout")
+
+
+def settled(sent: DataFrame) -> DataFrame:
+    """The last row sent for each reading."""
+    last = Window.partitionBy("station_id", "reading_id").orderBy(F.desc("seq"))
+    return sent.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "seq")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -191,3 +191,23 @@ def test_store_keeps_a_readable_version(spark, tmp_path):
     assert s.merge("dismissed_segments", rows) == 2
     s.merge("dismissed_segments", rows.where("ogf_id = 2"))
     assert s.read("dismissed_segments").count() == 2 and s.versions("dismissed_segments") == [1, 2]
+
+
+def test_stream_labels_do_not_depend_on_arrival(spark, tmp_path):
+    import pandas as pd
+
+    from riffle.operators.windows import closest_in_time, trailing_means
+
+    stamps = ["2024-01-08 09:00", "2024-01-10 12:00", "2024-01-08 12:00", "2024-01-08 12:00", "2024-01-09 13:00", "2024-01-11 00:00"]
+    rows = [(1, i, pd.Timestamp(x).to_pydatetime(), float(i + 1), None if i % 2 else 2.0 * i) for i, x in enumerate(stamps)]
+    shape = "station_id bigint, reading_id bigint, ts timestamp, level_m double, discharge_cms double"
+    for r in rows:
+        spark.createDataFrame([r], shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = Sg.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame(rows, shape).schema, files_per_batch=1)
+    Sg.run_available(Sg.with_trends(stream), f"{tmp_path}/out", f"{tmp_path}/check")
+    sent = spark.read.parquet(f"{tmp_path}/out")
+    cols = ["reading_id", "ref_level_m", "ref_discharge_cms", "level_mean", "discharge_mean"]
+    batch = trailing_means(closest_in_time(spark.createDataFrame(rows, shape), "station_id", "ts", "reading_id", 3 * 3600, ["level_m", "discharge_cms"], "ref_"),
+                           "station_id", "ts", {"level_mean": "level_m", "discharge_mean": "discharge_cms"})
+    assert sorted(map(tuple, Sg.settled(sent).select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+    assert sent.count() > len(rows)
