@@ -202,7 +202,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE
 def _cut(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with __lines (of the text), __kept (those that stay) and __hit (whether any goes)."""
     gone = repeated_lines(docs, **options).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("whole").alias("__whole"), F.col("gone").alias("__gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th")), "left")
+    # the list grows with the corpus: it is joined by sorted shuffles at every size, never broadcast
+    both = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th")), "left")
     both = both.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     left = F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i))
     kept = F.when(F.col("__th").isNull(), F.col("__lines")).when(F.col("__whole"), F.array().cast("array<string>")).otherwise(left)
