@@ -284,7 +284,8 @@ def _(t):
       (PARTITION BY feature_type), 0), 1), 6) AS share FROM water""")
 def _(t):
     tops = t.water.groupBy("feature_type").agg(F.max("area_m2").alias("top"))
-    return t.water.join(tops, "feature_type").select("osm_id", F.round(
+    # one row for each kind of feature, a fixed list
+    return t.water.join(F.broadcast(tops), "feature_type").select("osm_id", F.round(
         F.coalesce("area_m2", F.lit(0.0)) / F.coalesce(F.nullif("top", F.lit(0.0)), F.lit(1.0)), 6
     ).alias("share"))
 

@@ -54,10 +54,10 @@ def _(t):
 
 @query("c6_name_overlap_anti_join", """
     SELECT p_partkey AS item FROM part p WHERE NOT EXISTS (SELECT 1 FROM
-      (SELECT DISTINCT lower(substr(p_name, 1, 5)) AS v FROM part WHERE p_size > 48) x
+      (SELECT DISTINCT lower(p_name) AS v FROM part WHERE p_size > 48) x
       WHERE contains(lower(p.p_name), v) OR contains(v, lower(p.p_name)))""")
 def _(t):
-    visited = t.part.where("p_size > 48").select(F.substring("p_name", 1, 5).alias("v"))
+    visited = t.part.where("p_size > 48").select(F.col("p_name").alias("v"))
     return J.without_name_overlap(t.part, "p_name", visited, "v").select(
         F.col("p_partkey").alias("item"))
 

@@ -158,7 +158,7 @@ def _(t):
 
 
 @query("h11_prune_to_sources", f"""WITH {EDGES},
-    wild AS (SELECT clat AS lat, clng AS lng FROM parks WHERE park_type = 'Wilderness'),
+    wild AS (SELECT clat AS lat, clng AS lng FROM parks),
     box AS (SELECT min(lat) AS s, max(lat) AS n, min(lng) AS w, max(lng) AS e FROM wild),
     pos AS (SELECT ogf_id AS node, lat, lng FROM segments, box WHERE
       lat BETWEEN s - 15/111.0 AND n + 15/111.0 AND lng BETWEEN w - 15/80.5 AND box.e + 15/80.5)
@@ -167,7 +167,7 @@ def _(t):
     "FROM segments, box", "FROM segments JOIN box ON true"))
 def _(t):
     pos = t.segments.select(F.col("ogf_id").alias("node"), "lat", "lng")
-    src = t.parks.where("park_type = 'Wilderness'").select(
+    src = t.parks.select(
         F.col("clat").alias("lat"), F.col("clng").alias("lng"))
     return G.near_sources(edges(t), pos, src, 15.0).agg(
         F.count("*").alias("n"), F.sum("ogf_id").alias("key_sum"))

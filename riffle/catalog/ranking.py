@@ -212,11 +212,11 @@ def _(t):
 @query("g4_set_intersection", """
     SELECT observed_on, CASE WHEN bool_or(species_code IN ('osprey1', 'commer1')) THEN 'high'
       WHEN bool_or(species_code IN ('grbher3', 'belkin1')) THEN 'moderate' ELSE 'low' END AS confidence
-    FROM birds WHERE how_many > 60 GROUP BY 1""")
+    FROM birds GROUP BY 1""")
 def _(t):
     from riffle.plans.birds import confidence
 
-    return t.birds.where("how_many > 60").groupBy("observed_on").agg(
+    return t.birds.groupBy("observed_on").agg(
         confidence(F.collect_set("species_code")).alias("confidence"))
 
 

@@ -219,11 +219,11 @@ def _(t):
 @query("k11_piscivore_confidence", """
     SELECT d AS observed_on, CASE WHEN bool_or(species_code IN ('osprey1', 'commer1')) THEN 'high'
       WHEN bool_or(species_code IN ('grbher3', 'belkin1')) THEN 'moderate' ELSE 'low' END AS confidence
-    FROM (SELECT observed_on AS d, species_code FROM birds WHERE how_many > 100) GROUP BY 1""")
+    FROM (SELECT observed_on AS d, species_code FROM birds) GROUP BY 1""")
 def _(t):
     from riffle.plans.birds import confidence
 
-    return t.birds.where("how_many > 100").groupBy("observed_on").agg(
+    return t.birds.groupBy("observed_on").agg(
         confidence(F.collect_set("species_code")).alias("confidence"))
 
 

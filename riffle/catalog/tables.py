@@ -415,9 +415,10 @@ def _(t):
 @query("a22_json_array_file", """
     SELECT species, sara_status, jurisdiction FROM ranges""")
 def _(t):
-    path = landed(t, "ranges", t.ranges.select(
-        "species", "sara_status", F.array("jurisdiction").alias("jurisdictions_present")))
-    rows = Js.read(t.spark, path, Js.RANGES)
+    # one file that holds one array, as it is delivered
+    each = t.ranges.select("species", "sara_status", F.array("jurisdiction").alias("jurisdictions_present"))
+    path = landed(t, "ranges", each.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")), "text")
+    rows = Js.read(t.spark, path, Js.RANGES, whole_files=True)
     return rows.select("species", "sara_status", F.col("jurisdictions_present")[0].alias("jurisdiction"))
 
 

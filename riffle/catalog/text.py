@@ -65,7 +65,7 @@ def _(t):
     WITH p AS (SELECT doc_id, len(w) AS n, unnest(w) AS token FROM (SELECT doc_id, {_TOK} AS w FROM documents)),
       tf AS (SELECT doc_id, n, token, count(*) AS tf FROM p GROUP BY 1, 2, 3),
       s AS (SELECT count(*) AS docs, avg(len({_TOK})) AS avgn FROM documents),
-      q AS (SELECT DISTINCT item_id AS qid, unnest({_TOK}[1:3]) AS token FROM benchmark),
+      q AS (SELECT DISTINCT item_id AS qid, unnest({_TOK}) AS token FROM benchmark),
       need AS (SELECT qid, count(*) AS need FROM q GROUP BY 1),
       df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
       sc AS (SELECT qid, doc_id, count(*) AS c, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2
@@ -78,7 +78,7 @@ def _(t):
     text = F.col("text")
     table = Se.postings(t.documents, "doc_id", text)
     asked = t.benchmark.select(F.col("item_id").alias("qid"), F.explode(
-        F.slice(Se.tokens(text), 1, 3)).alias("token"))
+        Se.tokens(text)).alias("token"))
     found = Se.search_many(table, "doc_id", Se.stats(t.documents, "doc_id", text), asked, 10)
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
@@ -87,14 +87,14 @@ def regulation_texts(t):
     zone = lambda m, s: ((F.col("doc_id") * m + s) % 25).cast("string")
     return t.documents.select("doc_id", F.concat(
         F.lit("Preamble FISHERIES MANAGEMENT ZONE "), zone(1, 0), F.lit(" "), F.col("text"),
-        F.lit(" FMZ "), zone(7, 3), F.lit(" end "), F.substring("text", 1, 300)).alias("raw"))
+        F.lit(" FMZ "), zone(7, 3), F.lit(" end "), F.col("text")).alias("raw"))
 
 
 @query("j5_header_chunks", """
     WITH c AS (SELECT doc_id * 2 AS k, doc_id % 25 AS zone, trim('FISHERIES MANAGEMENT ZONE ' ||
         CAST(doc_id % 25 AS VARCHAR) || ' ' || text || ' ', ' ') AS txt FROM documents UNION ALL
       SELECT doc_id * 2 + 1, (doc_id * 7 + 3) % 25, trim('FMZ ' || CAST((doc_id * 7 + 3) % 25 AS VARCHAR) ||
-        ' end ' || substr(text, 1, 300), ' ') FROM documents)
+        ' end ' || text, ' ') FROM documents)
     SELECT CAST(zone AS INTEGER) AS zone, md5(txt) AS digest, CAST(length(txt) AS BIGINT) AS char_count FROM (
       SELECT *, row_number() OVER (PARTITION BY zone ORDER BY length(txt) DESC, k) AS rn FROM c
       WHERE zone BETWEEN 1 AND 20) WHERE rn = 1""")
@@ -102,7 +102,7 @@ def _(t):
     chunks = regulation_texts(t).select(
         "doc_id", F.posexplode(X.zone_chunks("raw")).alias("i", "c"))
     # the tie rule is the order of appearance
-    rows = chunks.select((F.col("doc_id") * 1000 + F.col("i")).alias("k"), "c.zone", "c.text")
+    rows = chunks.select(F.struct("doc_id", "i").alias("k"), "c.zone", "c.text")
     best = longest_per_key(rows, "zone", "text", "k")
     return best.select("zone", F.md5("text").alias("digest"), "char_count")
 

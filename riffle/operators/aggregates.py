@@ -305,5 +305,5 @@ def source_counts(frames: dict[str, DataFrame], species: list[str]) -> DataFrame
 
 def longest_per_key(df: DataFrame, key: str, text: str, tie: str) -> DataFrame:
     return df.groupBy(key).agg(
-        F.max_by(text, F.struct(F.length(text), -F.col(tie))).alias(text),
+        F.min_by(text, F.struct(-F.length(text), F.col(tie))).alias(text),
         F.max(F.length(text)).cast("bigint").alias("char_count"))

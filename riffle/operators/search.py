@@ -45,13 +45,20 @@ def _counts(text: Column, terms: list[str]) -> Column:
 
 def search(docs: DataFrame, key: str, text: Column, query: str, limit: int | None = 30,
            where: Column | None = None) -> DataFrame:
-    """Documents holding every query word, best BM25 score first.
+    """Documents holding every query word, best BM25 score first. A question without a word that is
+    not blank is looked for as a substring, whatever its case, with score 0.
 
     The words of one question are counted inside each document, so the corpus is scanned once and
     only matching rows reach the sort. ``where`` is applied before the limit.
     """
     terms = words_of(query)
     low = F.lower(text)
+    if not terms:
+        asked = query.strip().lower()
+        hits = docs.where(low.contains(asked) if asked else F.lit(False))
+        hits = hits if where is None else hits.where(where)
+        out = hits.withColumn("score", F.lit(0.0)).orderBy(key)
+        return out.limit(limit) if limit else out
     scanned = docs.withColumns({
         "_len": F.regexp_count(low, F.lit(WORD)), "_tf": _counts(low, terms)})
     totals = scanned.agg(
@@ -73,18 +80,26 @@ def search(docs: DataFrame, key: str, text: Column, query: str, limit: int | Non
 
 def search_many(token_table: DataFrame, key: str, totals: DataFrame, questions: DataFrame,
                 limit: int = 30) -> DataFrame:
-    """The same for a table of questions (qid, token) against a stored token table."""
+    """The same for a table of questions (qid, token) against a stored token table.
+
+    A question starts from the documents that hold its rarest token; its other tokens are looked up
+    for those documents only, so a word that is everywhere never pairs all questions with all documents.
+    """
     from riffle.operators.ranking import top_per_group
 
     asked = questions.select("qid", "token").distinct()
-    need = asked.groupBy("qid").agg(F.count("*").alias("need"))
     wanted = token_table.join(asked.select("token").distinct(), "token", "left_semi")
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
+    known = asked.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    first = known.groupBy("qid").agg(F.min(F.struct("df", "token")).alias("r"), F.count("*").alias("need"))
+    start = first.where("r.df > 0").select("qid", "need", F.col("r.token").alias("token"))
+    found = wanted.select("token", key).join(start, "token").select("qid", "need", key)
     n, avg = totals.select("docs").scalar(), totals.select("mean_length").scalar()
     idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("length") / avg))
-    scored = wanted.join(df, "token").withColumn("part", part).join(asked, "token")
-    total = scored.groupBy("qid", key).agg(F.sum("part").alias("score"), F.count("*").alias("n"))
-    full = total.join(need, "qid").where("n = need").select("qid", key, "score")
+    probes = found.join(known, "qid")
+    total = probes.join(wanted, ["token", key]).groupBy("qid", key, "need").agg(
+        F.sum(part).alias("score"), F.count("*").alias("n"))
+    full = total.where("n = need").select("qid", key, "score")
     return top_per_group(full, ["qid"], [F.desc("score"), F.col(key)], limit, "rank")

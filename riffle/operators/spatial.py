@@ -415,7 +415,7 @@ def containing_polygons(points: DataFrame, polygons: DataFrame, ring: str, best:
     levels = cells.agg(F.sort_array(F.collect_set("lvl")).alias("levels")).first()["levels"]
     sites = _sites(points, *at, "l", [])
     if not levels:
-        return sites.limit(0).withColumn("best", F.lit(None))
+        return sites.limit(0).join(cells.select("best").limit(0))
     placed = sites.withColumn("lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
     size = F.pow(F.lit(2.0), F.col("lvl").cast("double"))
     placed = placed.withColumn("cx", F.floor(F.col("l_lng") / size)).withColumn(

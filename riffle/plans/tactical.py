@@ -277,11 +277,9 @@ def recommend(rows: DataFrame) -> DataFrame:
     c = F.col
     given = sum((c(x).isNotNull().cast("int") for x in (
         "temp_c", "clarity", "pressure", "time_of_day")), F.lit(0))
-    # the group and season are read many times below: settle them per distinct value first
-    kinds = rows.select("species").distinct().withColumn("group", species_group(c("species")))
-    x = rows.withColumns({"season": season(c("month")), "condition_count": given})
-    x = x.join(kinds, "species", "left").withColumn(
-        "group", F.coalesce("group", F.lit("unknown")))
+    # read many times below: columns of a projection of their own, computed once a row
+    x = rows.withColumns({"season": season(c("month")), "condition_count": given,
+                          "group": F.coalesce(species_group(c("species")), F.lit("unknown"))})
     x = x.withColumn("activity", F.when(c("group") != "microfishing", activity(c("temp_c"), c("group"))))
     micro = c("group") == "microfishing"
 

@@ -45,11 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new table in the reliable checkpoint folder and go on from its files.
 
     Unlike a checkpointed plan, the written table carries its true size, so the joins of a long
-    loop are planned on facts instead of on ever larger estimates.
+    loop are planned on facts instead of on ever larger estimates. The table goes when the session ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/riffle-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

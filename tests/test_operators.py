@@ -198,3 +198,6 @@ def test_search_ranks_and_filters(spark):
     assert [r["i"] for r in Se.search(d, "i", F.col("t"), "Walleye").collect()] == [1, 2]
     assert [r["i"] for r in Se.search(d, "i", F.col("t"), "walleye river").collect()] == [1]
     assert [r["i"] for r in Se.search(d, "i", F.col("t"), "walleye", 1, F.col("i") > 1).collect()] == [2]
+    marks = spark.createDataFrame([(1, "wow !! big"), (2, "none"), (3, "!!")], "i int, t string")
+    assert [r["i"] for r in Se.search(marks, "i", F.col("t"), "!!").collect()] == [1, 3]
+    assert Se.search(marks, "i", F.col("t"), "  ").count() == 0
