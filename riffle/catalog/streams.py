@@ -14,13 +14,13 @@ def readings(t):
     return St.as_readings(events)
 
 
-#: Day on which an event arrives: up to five days after it happened.
-ARRIVAL = "date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) + event_id % 6"
+PIECES = 8
 
 
-def arriving(t, name, pieces=8):
-    """The events as files in order of arrival, read one file a batch; piece numbers go by arrival day."""
-    events = t.base("events").withColumn("_day", F.datediff(F.to_date("ts"), F.lit("2000-01-01").cast("date")) + F.col("event_id") % 6)
+def arriving(t, name, lag, pieces=PIECES):
+    """The events as files in order of arrival, less than ``lag`` days after they happened, read one file a
+    batch."""
+    events = t.base("events").withColumn("_day", F.datediff(F.to_date("ts"), F.lit("2000-01-01").cast("date")) + F.col("event_id") % lag)
     first, last = events.agg(F.min("_day"), F.max("_day")).first()
     path, width = folder(t, name), (last - first) // pieces + 1
     for k in range(pieces):  # one after the other: the source takes files by their time
@@ -43,21 +43,23 @@ def _(t):
     return out.select("station_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("n2_stream_retention", """
-    SELECT reading_id FROM gauges WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY""")
+@query("n2_stream_retention", f"""
+    WITH a AS (SELECT event_id AS reading_id, ts, date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) + event_id % 37 AS day FROM events),
+      b AS (SELECT *, (day - min(day) OVER ()) // ((max(day) OVER () - min(day) OVER ()) // {2 * PIECES} + 1) AS piece FROM a),
+      m AS (SELECT piece, max(ts) AS top FROM b GROUP BY 1),
+      w AS (SELECT x.piece, max(y.top) - INTERVAL 7 DAY AS mark FROM m x JOIN m y ON y.piece <= x.piece - 2 GROUP BY 1)
+    SELECT reading_id FROM b LEFT JOIN w USING (piece) WHERE mark IS NULL OR ts > mark""")
 def _(t):
-    from riffle.operators.tables import keep_since
-
-    out = finished(t, St.deduplicated(readings(t).withColumn(
-        "station_id", F.col("reading_id"))), "retention")
-    return keep_since(out, "ts", "2024-01-20 00:00:00", 7).select("reading_id")
+    # a batch is held against the watermark that stood when the batch before it began
+    rows = arriving(t, "retention-files", 37, 2 * PIECES).withColumn("station_id", F.col("reading_id"))
+    return finished(t, St.deduplicated(rows), "retention").select("reading_id")
 
 
 @query("n3_stream_trends", _REF + " SELECT reading_id, level_trend, discharge_trend, cls AS level_class FROM c")
 def _(t):
     from riffle.plans.gauges import with_labels
 
-    out = with_labels(St.settled(finished(t, St.with_trends(arriving(t, "trend-files")), "trends")))
+    out = with_labels(St.settled(finished(t, St.with_trends(arriving(t, "trend-files", 6)), "trends")))
     return out.select("reading_id", "level_trend", "discharge_trend", "level_class")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riffle.functions import geo
 from riffle.operators import spatial as S
+from riffle.session import cut
 
 
 def soft_labels(occurrences: DataFrame, segments: DataFrame, key: str = "ogf_id",
@@ -20,9 +21,10 @@ def soft_labels(occurrences: DataFrame, segments: DataFrame, key: str = "ogf_id"
     around each record, then per segment the sum of 1/n over the records around it, so that no
     list of (record, segment) pairs is ever produced.
     """
-    vague = occurrences.where(F.col(obscured)).groupBy("lat", "lng").agg(F.count("*").alias("w"))
-    exact = occurrences.where(~F.col(obscured)).groupBy("lat", "lng").agg(F.count("*").alias("w"))
-    around = S.with_radius_count(vague, segments, spread_deg, S.DEGREES, "n")
+    places = cut(occurrences.groupBy("lat", "lng", F.col(obscured).alias("_vague")).agg(F.count("*").alias("w")))
+    vague = places.where(F.col("_vague")).drop("_vague")
+    exact = places.where(~F.col("_vague")).drop("_vague")
+    around = cut(S.with_radius_count(vague, segments, spread_deg, S.DEGREES, "n"))
     shared = around.where(F.col("n") > 0)
     alone = around.where(F.col("n") == 0)
     spread = S.with_radius_sums(

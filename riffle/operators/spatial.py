@@ -158,11 +158,12 @@ def radius_sums(left: DataFrame, right: DataFrame, radius: float, metric: Metric
     """
     names = list(sums)
     size = radius * (1 + _EPS)
-    lsites = _located(_sites(left, *left_at, "l", []), metric, size, "l")
-    rsites = _located(
+    # every level reads both sides several times: write them once
+    lsites = cut(_located(_sites(left, *left_at, "l", []), metric, size, "l"))
+    rsites = cut(_located(
         _sites(right, *right_at, "r", [F.sum(e).alias(n) for n, e in sums.items()]),
         metric, size, "r",
-    )
+    ))
     dims = range(metric.dims)
     level = 0
     pairs = cut(_first_pairs(lsites, rsites, metric, names))
@@ -297,6 +298,7 @@ def nearest(left: DataFrame, right: DataFrame, metric: Metric, key: str,
     lsites = _sites(left, *left_at, "l", [])
     rsites = _sites(right, *right_at, "r", [F.min_by(item, F.col(key)).alias("best")])
     if bound is not None:
+        lsites, rsites = cut(lsites), cut(rsites)
         found = _nearest_sites(lsites, rsites, bound, metric, 0.0, None, pair_limit)
     else:
         found = _widening(lsites, rsites, metric, pair_limit)

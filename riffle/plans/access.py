@@ -75,7 +75,7 @@ def raw_scores(segments: DataFrame, access: DataFrame, parks: DataFrame, crown:
     roads = access.where(F.col("access_type").isin("road", "parking"))
     # every modifier depends on the place alone: compute each from the distinct places
     lat, lng = at
-    places = segments.select(*at).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
+    places = cut(segments.select(*at).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct())
     parts = [
         with_park_modifier(places, parks, at=at),
         with_crown_flag(places, crown, at=at),
