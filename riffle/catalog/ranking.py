@@ -112,7 +112,18 @@ def _(t):
     ).agg(F.count("*").alias("n"))
 
 
-@query("e7_greedy_distance_thinning")
+@query("e7_greedy_distance_thinning", f"""
+    WITH RECURSIVE o AS (SELECT species, observation_id AS id, lat, lng, row_number() OVER (
+        PARTITION BY species ORDER BY amount DESC, observation_id) AS rn FROM observations),
+      g(species, rn, kept) AS (
+        SELECT DISTINCT species, CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, lat DOUBLE, lng DOUBLE)[]) FROM o
+        UNION ALL
+        SELECT g.species, o.rn, CASE WHEN len(list_filter(kept, lambda k: {hav('k.lat', 'k.lng', 'o.lat', 'o.lng')} < 40.0)) = 0
+          THEN list_append(kept, {{'id': o.id, 'lat': CAST(o.lat AS DOUBLE), 'lng': CAST(o.lng AS DOUBLE)}}) ELSE kept END
+        FROM g JOIN o ON o.species = g.species AND o.rn = g.rn + 1 WHERE len(kept) < 25),
+      e AS (SELECT species, arg_max(kept, rn) AS kept FROM g GROUP BY 1)
+    SELECT species, kept[i].id AS observation_id, CAST(i AS INTEGER) AS rank
+    FROM (SELECT species, kept, unnest(generate_series(1, len(kept))) AS i FROM e)""")
 def _(t):
     ranked = t.observations
     return S.thin_by_distance(

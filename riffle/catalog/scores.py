@@ -38,11 +38,14 @@ def untapped(t, species=None):
     return Sc.untapped_potential(features(t), t.scored_access, t.predictions, species)
 
 
-@query("k2_untapped_potential", f"""WITH {DENS} SELECT ogf_id, stream_order,
+UNTAPPED_SQL = f"""WITH {DENS} SELECT ogf_id, stream_order,
       round(hs, 6) AS habitat_score, round(access_score, 6) AS access_score,
       round(p, 6) AS observation_pressure, round(hs * (1 - p) * sb * rm, 6) AS balanced,
       round(hs * (1 - p) * access_score * sb * rm, 6) AS easy,
-      round(hs * (1 - p) * (1 - access_score + 0.1) * sb * rm, 6) AS adventure FROM x""")
+      round(hs * (1 - p) * (1 - access_score + 0.1) * sb * rm, 6) AS adventure FROM x"""
+
+
+@query("k2_untapped_potential", UNTAPPED_SQL)
 def _(t):
     u = untapped(t)
     r = lambda c, n: F.round(c, 6).alias(n)
@@ -73,7 +76,7 @@ _NEAR = lambda kinds, km: (
     f"sqrt(power(a.lat - b.lat, 2) + power(a.lng - b.lng, 2)) <= {km} / 111.0)")
 
 
-@query("k1_access_score", f"""
+ACCESS_SQL = f"""
     WITH p AS (SELECT a.ogf_id, max(b.park_id) AS park_id FROM segments a JOIN parks b
         ON {_IN('a', 0.4503, 0.2303, 0)} GROUP BY 1),
       m AS (SELECT p.ogf_id, CASE park_type WHEN 'Recreational' THEN 0.3E0 WHEN 'Waterway' THEN 0.2E0
@@ -93,7 +96,10 @@ _NEAR = lambda kinds, km: (
           + CASE WHEN boat THEN 0.2 ELSE 0 END, 0), 2) AS raw
         FROM c LEFT JOIN m USING (ogf_id) LEFT JOIN r USING (ogf_id))
     SELECT ogf_id, is_crown_land, round(CAST((raw - min(raw) OVER ()) / (max(raw) OVER () -
-      min(raw) OVER ()) AS DOUBLE), 6) AS access_score FROM s""")
+      min(raw) OVER ()) AS DOUBLE), 6) AS access_score FROM s"""
+
+
+@query("k1_access_score", ACCESS_SQL)
 def _(t):
     out = Acc.access_scores(t.segments, t.access, polygons(t), crown(t))
     return out.select("ogf_id", "is_crown_land", F.round("access_score", 6).alias("access_score"))
