@@ -116,3 +116,27 @@ def without_benchmark(docs: DataFrame, items: DataFrame, **options) -> DataFrame
 
 def op5_decontaminate(spark, folder: str) -> DataFrame:
     return overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("th")
+
+
+def _seed_sql(source: str, key: str) -> str:
+    parts = []
+    for number, mask in enumerate(MASKS):
+        care = ", ".join(f"toks[i + {k + 1}]" for k, x in enumerate(mask) if x == "1")
+        parts.append(f"SELECT {key}, {number} AS m, i, array_to_string([{care}], ' ') AS k FROM (SELECT {key}, toks, "
+                     f"unnest(range(0, len(toks) - {len(mask) - 1})) AS i FROM {source} WHERE len(toks) >= {len(mask)})")
+    return " UNION ALL ".join(parts)
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+#: For items of at least as many tokens as the shortest mask has, which the benchmark's all have.
+SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, {_TOKENS} AS toks FROM documents),
+t AS (SELECT DISTINCT item_id, {_TOKENS} AS toks FROM benchmark),
+h AS (SELECT DISTINCT doc_id, item_id, x.i - y.i AS g FROM ({_seed_sql('d', 'doc_id')}) x JOIN ({_seed_sql('t', 'item_id')}) y ON x.m = y.m AND x.k = y.k),
+z AS (SELECT h.*, d.toks AS a, t.toks AS b, greatest(g, 0) AS lo, least(len(d.toks), g + len(t.toks)) AS hi, least(len(t.toks), {SPAN}) AS n
+  FROM h JOIN d USING (doc_id) JOIN t USING (item_id)),
+s AS (SELECT doc_id, item_id, g, lo, n, list_transform(range(lo, hi), lambda k: CAST(a[k + 1] = b[k - g + 1] AS INT)) AS same FROM z WHERE hi - lo >= n),
+v AS (SELECT *, list_transform(range(0, len(same) - n + 1), lambda i: list_sum(same[i + 1:i + n])) AS sums FROM s),
+m AS (SELECT doc_id, item_id, g, lo, n, list_max(sums) AS best, lo + list_position(sums, list_max(sums)) - 1 AS start FROM v)
+SELECT doc_id, item_id, CAST(best AS BIGINT) AS n_matched, CAST(n AS BIGINT) AS stretch, CAST(start AS BIGINT) AS start
+FROM m WHERE best * 100 >= n * {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best DESC, g) = 1"""

@@ -268,3 +268,22 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def op3_suffix_dedup(spark, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+#: Every window of every text, by its digest.
+SQL="""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rn, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rn, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (
+  SELECT rn, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d WHERE len(h) >= 800)),
+r AS (SELECT rn, p FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+b AS (SELECT rn, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rn ORDER BY p) + 400 THEN 0 ELSE 1 END AS b FROM r),
+g AS (SELECT rn, p, sum(b) OVER (PARTITION BY rn ORDER BY p) AS g FROM b),
+s AS (SELECT rn, min(p) AS a, max(p) + 400 AS z FROM g GROUP BY rn, g),
+n AS (SELECT rn, sum(z - a) AS gone, count(*) AS spans FROM s GROUP BY rn),
+e AS (SELECT rn, 0 AS x, 's' AS kind FROM d UNION ALL SELECT rn, z, 's' FROM s UNION ALL SELECT rn, a, 'e' FROM s UNION ALL SELECT rn, len(h) // 2, 'e' FROM d),
+o AS (SELECT rn, kind, x, row_number() OVER (PARTITION BY rn, kind ORDER BY x) AS i FROM e),
+k AS (SELECT x.rn, string_agg(substr(h, 2 * x.x + 1, 2 * (y.x - x.x)), '' ORDER BY x.i) AS kept
+  FROM o x JOIN o y ON x.rn = y.rn AND x.i = y.i AND x.kind = 's' AND y.kind = 'e' JOIN d ON d.rn = x.rn GROUP BY x.rn)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (rn) LEFT JOIN n USING (rn)"""
