@@ -59,7 +59,7 @@ def _(t):
 def _(t):
     from riffle.plans.gauges import with_labels
 
-    out = with_labels(St.settled(finished(t, St.with_trends(arriving(t, "trend-files", 6)), "trends")))
+    out = with_labels(St.settled(finished(t, St.with_trends(arriving(t, "trend-files", 6, 5)), "trends")))
     return out.select("reading_id", "level_trend", "discharge_trend", "level_class")
 
 
