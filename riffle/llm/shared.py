@@ -14,15 +14,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared checkpoint folder; what is there goes when the session ends."""
+    path = f"{checkpoint_dir(spark)}/riffle-llm-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder, read back: a lost executor costs a re-read,
     later joins know the true size, and nothing upstream runs twice. Goes when the session ends, or
     with ``dropped``."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/riffle-llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = own_folder(spark)
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._llm_path = path
     return back

@@ -13,7 +13,6 @@ these are counted (a table bounded by the vocabulary) and then coded anew, block
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from itertools import chain
 
@@ -23,8 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riffle.llm.flat import text_slices
-from riffle.llm.shared import dropped, keyed, table, written
-from riffle.session import checkpoint_dir
+from riffle.llm.shared import dropped, keyed, own_folder, table, written
 
 END = 1
 BLOCK = 1 << 18
@@ -279,6 +277,6 @@ def _checksum(batches):
 
 
 def op7_token_files(spark, folder: str) -> DataFrame:
-    to = f"{checkpoint_dir(spark)}/riffle-llm-{uuid.uuid4().hex}"
+    to = own_folder(spark)
     write_ids(table(spark, folder, "documents"), to)
     return read_ids(spark, to).mapInArrow(_checksum, "doc_id long, start long, n_tokens long, ids_crc32 long")
