@@ -4,8 +4,11 @@ A *run* is the shortest stretch of lines from a given line on, or up to it, that
 words. Every line of a common block with that many words lies in a run inside the block, so two documents
 have a common block only if they share a run. Runs are hashed, and documents that share one are paired:
 all pairs if the run is rare (in ``rare`` documents at most), otherwise each document with the earliest
-one that has the run. So every line of a block that stands in an earlier document meets such a document,
-and the number of pairs grows with the number of lines, not with the square of a group.
+one that has the run, and then, as long as a line of the run is left in the document, in rounds with the
+next 2, 4, 8 and so on that have it, until the run is gone or no earlier holder is left. So the lines that
+go are those of an alignment with every earlier document, whatever ``rare`` is. The number of pairs grows
+with the number of lines times that of the arrangements (order and count of the frequent runs) that
+documents have, as a document looks no further than the first holders arranged like it.
 
 Pairs are aligned by patience diff over line hashes: equal lines at both ends are matched, then lines
 that occur once on either side, in the longest order common to both; the gaps between are treated in the
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,14 +111,17 @@ def _lined(batches):
                 names=["doc_id", "th", "hashes", "counts", "w1", "w2", "words"])
 
 
-def runs_of(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> set[int]:
-    """Hashes of the shortest stretches with enough words from each line with a word on, and up to it."""
+def spans_of(counts: np.ndarray, min_words: int) -> set[tuple[int, int]]:
+    """The shortest stretches with enough words from each line with a word on, and up to it."""
     upto = np.concatenate([[0], np.cumsum(counts)])
     worded = np.flatnonzero(counts)
     ends = np.searchsorted(upto, upto[worded] + min_words)
     starts = np.searchsorted(upto, upto[worded + 1] - min_words, "right") - 1
     spans = {(i, e) for i, e in zip(worded.tolist(), ends.tolist()) if e <= len(counts)}
-    spans |= {(s, i + 1) for i, s in zip(worded.tolist(), starts.tolist()) if s >= 0}
+    return spans | {(s, i + 1) for i, s in zip(worded.tolist(), starts.tolist()) if s >= 0}
+
+
+def runs_of(hashes: np.ndarray, spans: set[tuple[int, int]]) -> set[int]:
     view = memoryview(hashes.tobytes())
     return {xxhash.xxh3_64_intdigest(view[8 * s:8 * e]) for s, e in spans}
 
@@ -124,7 +131,7 @@ def _running(min_words: int):
         for batch in batches:
             ids, found = [], []
             for rid, h, c in zip(batch.column("rid").to_pylist(), batch.column("hashes"), batch.column("counts")):
-                own = runs_of(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int32), min_words)
+                own = runs_of(np.frombuffer(h.as_buffer(), np.uint64), spans_of(np.frombuffer(c.as_buffer(), np.int32), min_words))
                 ids += [rid] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["rid", "run"])
@@ -132,6 +139,45 @@ def _running(min_words: int):
     return run
 
 
+def _left(min_words: int):
+    """Of the runs asked for, those with a line that no alignment has taken, at any place they stand."""
+    def run(batches):
+        for batch in batches:
+            ids, found = [], []
+            for rid, h, c, asked, gone in zip(batch.column("rid").to_pylist(), batch.column("hashes"), batch.column("counts"), batch.column("asked"), batch.column("gone")):
+                n = np.frombuffer(c.as_buffer(), np.int32)
+                stays = n > 0
+                for g in gone.as_py() or []:
+                    stays[np.frombuffer(g, np.int32)] = False
+                if not stays.any():
+                    continue
+                upto = np.concatenate([[0], np.cumsum(stays)])
+                own = runs_of(np.frombuffer(h.as_buffer(), np.uint64), {(s, e) for s, e in spans_of(n, min_words) if upto[e] > upto[s]})
+                own = np.intersect1d(np.array(list(own), np.uint64).view(np.int64), asked.values.to_numpy())
+                ids += [rid] * len(own)
+                found += own.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["rid", "run"])
+
+    return run
+
+
+def _placed(held: DataFrame) -> DataFrame:
+    """``held`` with place: rows numbered from 0 in the order of run and document, a run over many tasks."""
+    at = F.monotonically_increasing_id()
+    rows = written(held.select("run", "rid", "one").orderBy("run", "one").withColumn("at", at))
+    part = F.shiftright("at", 33)
+    sizes = sorted(rows.groupBy(part.alias("part")).count().collect())  # one row for each task
+    upto, before = [], 0
+    for r in sizes:
+        upto.append((r["part"], before))
+        before += r["count"]
+    starts = held.sparkSession.createDataFrame(upto, "part long, before long")
+    placed = rows.withColumn("part", part).join(F.broadcast(starts), "part")
+    out = written(placed.select("run", "rid", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place")))
+    dropped(rows)
+    return out
+
+
 def _aligned(min_words: int):
     def run(batches):
         for batch in batches:
@@ -191,11 +237,38 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE
     pairs = written(pairs.unionByName(often).distinct())
     a = own.select(F.col("rid").alias("earlier"), F.col("hashes").alias("ha"))
     b = own.select(F.col("rid").alias("later"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    gone = pairs.join(a, "earlier").join(b, "later").select("later", "ha", "hb", "cb").mapInArrow(_aligned(min_words), "rid long, gone binary")
-    gone = gone.groupBy("rid").agg(F.collect_set("gone").alias("gone"))
+
+    def lost(pairs):
+        return written(pairs.join(a, "earlier").join(b, "later").select("later", "ha", "hb", "cb").mapInArrow(_aligned(min_words), "rid long, gone binary"))
+
+    def left(asked):
+        asked = asked.groupBy("rid").agg(F.collect_list("run").alias("asked"))
+        found = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(F.collect_set("gone").alias("gone"))
+        return written(asked.join(own, "rid").join(found, "rid", "left").select("rid", "hashes", "counts", "asked", "gone").mapInArrow(_left(min_words), "rid long, run long"))
+
+    met, parts = [pairs], [lost(pairs)]
+    open_ = left(held.filter((F.col("n") > rare) & (F.col("rid") != F.col("first.rid"))))
+    if not open_.isEmpty():
+        placed = _placed(held.join(open_.select("run").distinct(), "run", "left_semi"))
+        first = placed.groupBy("run").agg(F.min("place").alias("start"))
+        before, after = 1, 3  # of a run's holders, the first has been met
+        asked = written(open_.join(placed, ["rid", "run"]).join(first, "run").filter(F.col("place") > F.col("start") + before))
+        while not asked.isEmpty():
+            ahead = F.sequence(F.col("start") + before, F.least(F.col("start") + after, "place") - 1)
+            wanted = asked.select(F.col("rid").alias("later"), F.explode(ahead).alias("place")).distinct()
+            wanted = wanted.join(placed.select("place", F.col("rid").alias("earlier")), "place").select("later", "earlier").distinct()
+            met.append(written(wanted.join(reduce(DataFrame.unionByName, met), ["later", "earlier"], "left_anti")))
+            parts.append(lost(met[-1]))
+            still = left(asked)
+            before, after = after, 2 * after + 1
+            rest = written(asked.join(still, ["rid", "run"]).filter(F.col("place") > F.col("start") + before))
+            dropped(asked, still)
+            asked = rest
+        dropped(placed, asked)
+    gone = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(F.collect_set("gone").alias("gone"))
     gone = gone.join(own.select("rid", "one", "counts"), "rid").select("one.doc_id", "one.th", "gone", "counts").mapInArrow(_joined, "doc_id long, th long, gone array<int>")
     out = written(gone.select("doc_id", "th", F.lit(False).alias("whole"), "gone").unionByName(copies))
-    dropped(lines, reps, own, runs, held, pairs)
+    dropped(lines, reps, own, runs, held, open_, *met, *parts)
     return out
 
 

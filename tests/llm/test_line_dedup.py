@@ -82,3 +82,30 @@ def test_query_on_the_small_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     want = [(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute(rows, 10)]
     assert sorted((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in op2_line_dedup(spark, folder).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("rare", [0, 5])
+def test_frequent_runs_beyond_the_earliest_holder(spark, rare):
+    x, y, z = ([f"{c}{i} " + " ".join(f"{c}{i}w{k}" for k in range(11)) for i in range(2)] for c in "xyz")
+    rows = [(0, [*y, "a0", *x, "b0", z[0], "c0", z[0]])]  # y and x in crossed order, z twice
+    rows += [(i, [f"a{i}", *x, f"b{i}", *y, f"c{i}", z[0], f"d{i}"]) for i in range(1, 9)]
+    rows += [(9, [*z, "a9", *y, "b9", *x]), (10, ["a10", *x, "b10", *x, "c10", *y]), (11, [*x, "a11", *x, "b11", *y])]
+    rows = [(i, "\n".join(t)) for i, t in rows]
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in remaining_lines(spark.createDataFrame(rows, SCHEMA), rare=rare).collect()), key=repr)
+    assert got == brute(rows, 10)
+    left = {i: t for i, _, _, t in got}
+    assert all(left[i] == f"a{i}\nb{i}\nc{i}\nd{i}" for i in range(2, 9))
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_blocks_in_any_order_against_all_pairs(spark, seed):
+    pick = random.Random(seed)
+    blocks = [[f"{b} {i} " + " ".join("abcdefgh") for i in range(pick.randint(1, 3))] for b in range(4)]
+    rows = []
+    for i in range(60):
+        out = [f"own {i}"]
+        for n, b in enumerate(pick.choices(range(4), k=pick.randint(1, 4))):
+            out += [*blocks[b], f"own {i} {n}"]
+        rows.append((i, "\n".join(out)))
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in remaining_lines(spark.createDataFrame(rows, SCHEMA), rare=0).collect()), key=repr)
+    assert got == brute(rows, 10)
