@@ -5,14 +5,14 @@ words. Every line of a common block with that many words lies in a run inside th
 have a common block only if they share a run. Runs are hashed, and documents that share one are paired:
 all pairs if the run is rare (in ``rare`` documents at most), otherwise each document with the earliest
 one that has the run, and then, as long as a line of the run is left in the document, in rounds with the
-next 2, 4, 8 and so on that have it, until the run is gone or no earlier holder is left. So the lines that
+next 4, 16, 64 and so on that have it, until the run is gone or no earlier holder is left. So the lines that
 go are those of an alignment with every earlier document, whatever ``rare`` is. The number of pairs grows
 with the number of lines times that of the arrangements (order and count of the frequent runs) that
 documents have, as a document looks no further than the first holders arranged like it.
 
 Pairs are aligned by patience diff over line hashes: equal lines at both ends are matched, then lines
-that occur once on either side, in the longest order common to both; the gaps between are treated in the
-same way. Matched lines that follow one another on both sides form a block, and blocks of ``min_words``
+that occur once on either side, in the longest order common to both, or, where no line does, the longest
+common block; the gaps between are treated in the same way. Matched lines that follow one another on both sides form a block, and blocks of ``min_words``
 words or more go from the later document, with blank lines inside what goes. Texts of equal lines are one class; all but its earliest
 document lose every line. Earlier means: lesser doc_id, then lesser hash of the text.
 """
@@ -36,6 +36,58 @@ MIN_WORDS = 10
 RARE = 5
 
 
+def longest_block(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """(place in a, place in b, length) of the common block with the most lines with a word, the first of
+    them in a, then in b. A suffix automaton of b reads a, so time grows with the lines, however often
+    they repeat."""
+    if not (set(a) & set(b)) - {0}:
+        return 0, 0, 0
+    after: list[dict[int, int]] = [{}]
+    length, link, first = [0], [-1], [-1]  # of each state; first: where in b its stretches end first
+    tip = 0
+    for j, x in enumerate(b):
+        new = len(after)
+        after.append({})
+        length.append(length[tip] + 1)
+        link.append(0)
+        first.append(j)
+        p, tip = tip, new
+        while p >= 0 and x not in after[p]:
+            after[p][x] = new
+            p = link[p]
+        if p < 0:
+            continue
+        q = after[p][x]
+        if length[q] != length[p] + 1:
+            own = len(after)
+            after.append(dict(after[q]))
+            length.append(length[p] + 1)
+            link.append(link[q])
+            first.append(first[q])
+            link[q] = own
+            while p >= 0 and after[p].get(x) == q:
+                after[p][x] = own
+                p = link[p]
+            q = own
+        link[new] = q
+    upto = [0]
+    for x in a:
+        upto.append(upto[-1] + (x != 0))
+    best, most = (0, 0, 0), 0
+    state = n = 0
+    for i, x in enumerate(a):
+        while state and x not in after[state]:
+            state = link[state]
+            n = length[state]
+        if x in after[state]:
+            state = after[state][x]
+            n += 1
+        worded = upto[i + 1] - upto[i + 1 - n]
+        if worded > most:
+            best, most = (i + 1 - n, first[state] + 1 - n, n), worded
+    return best
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Pairs of aligned places, ascending in both. Value 0 (a line without a word) only joins others."""
     found = []
@@ -54,6 +106,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at = {x: j for j, x in enumerate(b[blo:bhi], blo) if x and theirs[x] == 1}
         anchors = [(i, at[x]) for i, x in enumerate(a[alo:ahi], alo) if x in at and ours[x] == 1]
         if not anchors:
+            i, j, n = longest_block(a[alo:ahi], b[blo:bhi])
+            if n:
+                i, j = alo + i, blo + j
+                found += zip(range(i, i + n), range(j, j + n))
+                todo += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
             continue
         ends: list[int] = []  # the longest ascending chain of places in b
         last: list[int] = []
@@ -251,7 +308,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE
     if not open_.isEmpty():
         placed = _placed(held.join(open_.select("run").distinct(), "run", "left_semi"))
         first = placed.groupBy("run").agg(F.min("place").alias("start"))
-        before, after = 1, 3  # of a run's holders, the first has been met
+        before, after = 1, 5  # of a run's holders, the first has been met
         asked = written(open_.join(placed, ["rid", "run"]).join(first, "run").filter(F.col("place") > F.col("start") + before))
         while not asked.isEmpty():
             ahead = F.sequence(F.col("start") + before, F.least(F.col("start") + after, "place") - 1)
@@ -260,7 +317,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE
             met.append(written(wanted.join(reduce(DataFrame.unionByName, met), ["later", "earlier"], "left_anti")))
             parts.append(lost(met[-1]))
             still = left(asked)
-            before, after = after, 2 * after + 1
+            before, after = after, 4 * after + 1
             rest = written(asked.join(still, ["rid", "run"]).filter(F.col("place") > F.col("start") + before))
             dropped(asked, still)
             asked = rest

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from riffle.llm.line_dedup import common_blocks, op2_line_dedup, patience, remaining_lines, without_repeated_lines
+from riffle.llm.line_dedup import common_blocks, longest_block, op2_line_dedup, patience, remaining_lines, without_repeated_lines
 
 SCHEMA = "doc_id long, text string"
 
@@ -109,3 +109,30 @@ def test_blocks_in_any_order_against_all_pairs(spark, seed):
         rows.append((i, "\n".join(out)))
     got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in remaining_lines(spark.createDataFrame(rows, SCHEMA), rare=0).collect()), key=repr)
     assert got == brute(rows, 10)
+
+
+def test_blocks_that_repeat_inside_a_document_against_difflib():
+    blocks = lambda a, b, least: sorted(j for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= least for j in range(m.b, m.b + m.size))
+    pick = random.Random(5)
+    for _ in range(300):
+        a, b = ([pick.randint(1, 4) for _ in range(pick.randint(1, 30))] for _ in range(2))
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+        assert longest_block(a, b) == ((m.a, m.b, m.size) if m.size else (0, 0, 0))
+    again = [1, 2, 3]
+    for a, b in [
+        ([10, *again, 11, *again, 12], [20, *again, 21]),  # twice in the earlier document
+        ([10, *again, 11], [20, *again, 21, *again, 22]),  # twice in the later one
+        ([10, *again, 11, *again, 12], [20, *again, 21, *again, 22]),
+    ]:
+        assert common_blocks(a, b, [5] * len(b), 10) == blocks(a, b, 2) != []
+    # 7 stands once in either, so it parts the two gaps: one passage on each side
+    assert common_blocks([10, *again, *again, 11, 7, 12, *again, 13], [20, *again, 21, 7, 22, *again, *again, 23], [5] * 14, 10) == [1, 2, 3, 7, 8, 9]
+    assert patience([1, 0, 9, 0, 9, 2], [3, 0, 8, 0, 8, 4]) == []
+    assert len(patience([8, *[1, 2] * 20000, 9], [7, *[1, 2] * 19000, 6])) == 38000
+
+
+def test_a_rare_pair_with_a_repeated_passage(spark):
+    line = "the passage that stands twice in either text has ten words"
+    rows = [(0, f"a\n{line}\nb\n{line}\nc"), (1, f"d\n{line}\ne\n{line}\nf")]
+    left = {r.doc_id: r.text for r in remaining_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert left == {0: rows[0][1], 1: "d\ne\nf"}
