@@ -17,13 +17,16 @@ from riffle.sources import osm as O
 from riffle.sources import polygons as Pg
 
 
+ARRAY_ROWS = 10_000
+
+
 def folder(t, name):
     return f"{checkpoint_dir(t.spark)}/landed-{name}-{uuid.uuid4().hex}"
 
 
-def landed(t, name, df, fmt="json", **options):
+def landed(t, name, df, fmt="json", by=(), **options):
     path = folder(t, name)
-    df.write.options(**options).format(fmt).save(path)
+    df.write.options(**options).format(fmt).partitionBy(*by).save(path)
     return path
 
 
@@ -415,9 +418,11 @@ def _(t):
 @query("a22_json_array_file", """
     SELECT species, sara_status, jurisdiction FROM ranges""")
 def _(t):
-    # one file that holds one array, as it is delivered
-    each = t.ranges.select("species", "sara_status", F.array("jurisdiction").alias("jurisdictions_present"))
-    path = landed(t, "ranges", each.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")), "text")
+    # files that hold one array each, as they are delivered: one for each range of keys
+    part = F.floor(F.col("scientific_name") / ARRAY_ROWS).alias("part")
+    each = F.struct("species", "sara_status", F.array("jurisdiction").alias("jurisdictions_present"))
+    files = t.ranges.groupBy(part).agg(F.to_json(F.collect_list(each)).alias("value"))
+    path = landed(t, "ranges", files, "text", by=["part"])
     rows = Js.read(t.spark, path, Js.RANGES, whole_files=True)
     return rows.select("species", "sara_status", F.col("jurisdictions_present")[0].alias("jurisdiction"))
 
