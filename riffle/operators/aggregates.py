@@ -57,12 +57,14 @@ def values_at(df: DataFrame, keys: list[str], value: str, positions: dict[str, C
     pieces = pieces.select(
         "_part", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         (F.sum("_size").over(along) - F.col("_size")).alias("_before"), F.sum("_size").over(group).alias("n"))
+    # positions become columns here: an expression of one may hold a scalar subquery, which a lambda may not
+    spots = {name: f"_at{i}" for i, name in enumerate(positions)}
+    pieces = pieces.withColumns({spots[name]: p.cast("bigint") for name, p in positions.items()})
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     end = F.sum("c").over(Window.partitionBy("_part", *keys).orderBy("v"))
     ends = placed.withColumn("_end", end).withColumnRenamed("_part", "_p").join(
         pieces, [F.col("_p") == F.col("_part"), *same]).withColumn("_end", F.col("_before") + F.col("_end"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), p.cast("bigint").alias("pos"))
-                       for name, p in positions.items()])
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.col(at).alias("pos")) for name, at in spots.items()])
     hit = F.filter(wanted, lambda t: (F.col("_end") > t["pos"]) & (F.col("_end") - F.col("c") <= t["pos"]))
     return ends.select(*keys, "v", F.explode(hit).alias("_t")).select(*keys, F.col("_t.name").alias("name"), "v")
 
