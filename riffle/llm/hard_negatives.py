@@ -106,11 +106,12 @@ def _packed(rows: DataFrame, most: int, extra: tuple[str, ...] = ()) -> DataFram
 
 def reached(queries: np.ndarray, thresholds: np.ndarray, rows: np.ndarray):
     """(query, row, score) of all pairs whose score is at least the query's threshold, which is not negative."""
-    exact = np.float64
+    exact, slack = np.float64, 1e-6
     if len(queries) and len(rows):
         most = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1).max()) * np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1).max())
         if most >= EXACT:  # beyond exact floating sums: 64-bit integers
             exact = np.int64
+        slack += most * 1e-12
     width = max(queries.shape[1], rows.shape[1])
     order = np.argsort(-(rows.astype(np.float64) ** 2).sum(axis=0), kind="stable")
     order = np.concatenate([order, np.arange(rows.shape[1], width)]).astype(np.int64)
@@ -134,7 +135,7 @@ def reached(queries: np.ndarray, thresholds: np.ndarray, rows: np.ndarray):
             after = min(width, d + SLICE)
             if after < width and least > 0:
                 k = np.minimum(indexed[r], after)
-                could = sums + x_rest[np.ix_(q, k)] * (y_rest[r, k] * wider) >= t[:, None] - 1e-6
+                could = sums + x_rest[np.ix_(q, k)] * (y_rest[r, k] * wider) >= t[:, None] - slack
                 rows_on, queries_on = could.any(axis=0), could.any(axis=1)
                 if not rows_on.all() or not queries_on.all():
                     sums = sums[queries_on][:, rows_on]
@@ -145,14 +146,15 @@ def reached(queries: np.ndarray, thresholds: np.ndarray, rows: np.ndarray):
             continue
         partial = least > 0 and (indexed[r] < width).any()
         bound = sums + x_rest[np.ix_(q, indexed[r])] * (y_rest[r, indexed[r]] * wider) if partial else sums
-        i, j = np.nonzero(bound >= t[:, None] - (1e-6 if partial else 0))
+        i, j = np.nonzero(bound >= t[:, None] - slack)
         score = sums[i, j]
         if partial:
             left = y[r] - postings[r]
             short = np.flatnonzero(indexed[r[j]] < width)
             score[short] += np.einsum("ij,ij->i", x[q[i[short]]], left[j[short]])
-        ok = score >= t[i]
-        out.append((q[i[ok]], r[j[ok]], score[ok].astype(np.int64)))
+        score = score.astype(np.int64)
+        ok = score >= thresholds[q[i]]
+        out.append((q[i[ok]], r[j[ok]], score[ok]))
     if not out:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -202,6 +204,9 @@ def _looked_up(same: bool, k: int):
     return run
 
 
+FOUND = "anchor_id long, ah long, p long, vec_id long, vh long, score long"
+
+
 def _round(blocks: DataFrame, state: DataFrame, same: bool, k: int) -> DataFrame:
     """Best k rows of every open anchor (and window) at its threshold: anchor_id, ah, p, vec_id, vh, score."""
     asked = _packed(state, ANCHORS, ("t",) if same else ("t", "ps"))
@@ -219,12 +224,12 @@ def _round(blocks: DataFrame, state: DataFrame, same: bool, k: int) -> DataFrame
     pairs = heads.select("*", F.explode(F.sequence(F.lit(1), F.lit(many))).alias("nth")).join(numbered, "nth").filter(could).select("block", "a_block") if many else None
     if pairs is None:
         dropped(asked)
-        return spark.createDataFrame([], "anchor_id long, ah long, p long, vec_id long, vh long, score long")
+        return written(spark.createDataFrame([], FOUND + ", rank int"))
     pairs = written(pairs)
     n = max(spark.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS))
     left = asked.select(*[F.col(c).alias(f"a_{c}") for c in asked.columns])
     both = pairs.join(left, "a_block").join(blocks, "block").repartition(n)
-    found = both.mapInArrow(_looked_up(same, k), "anchor_id long, ah long, p long, vec_id long, vh long, score long")
+    found = both.mapInArrow(_looked_up(same, k), FOUND)
     order = Window.partitionBy("anchor_id", "ah", "p").orderBy(F.desc("score"), "vec_id", "vh")
     out = written(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
     dropped(asked, pairs)

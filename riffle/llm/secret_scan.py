@@ -146,6 +146,8 @@ def _value(text: str, at: int, pair: _Pair, op: str) -> int:
             word = text[start:end]
             if NAME.fullmatch(word):
                 pair.refs.append(_clean(word))
+            if text[end:end + 1] == "[":
+                return end  # an item of something: not a literal
             if end > start:
                 pair.literals.append((start, end, word, True))
         if not (join := JOIN.match(text, at)):
