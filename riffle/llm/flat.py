@@ -93,10 +93,15 @@ def _ranges(sizes: np.ndarray, limit: int):
 def text_slices(batch, column: str = "text", limit: int = 1 << 20):
     """(slice of the batch, its texts) for slices of about ``limit`` bytes of text, so that a task never
     holds a whole Arrow batch as Python strings. Null texts are empty."""
+    for part in slices(batch, column, limit):
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+
+
+def slices(batch, column: str, limit: int):
+    """Slices of the batch with about ``limit`` bytes in a column."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     for s, e in _ranges(sizes.astype(np.int64), limit):
-        part = batch.slice(s, e - s)
-        yield part, [t or "" for t in part.column(column).to_pylist()]
+        yield batch.slice(s, e - s)
 
 
 def spread_ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

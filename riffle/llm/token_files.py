@@ -7,8 +7,9 @@ bytes, two bits a value, four values a byte. A reader looks control bytes up in
 lengths, whose running sum gives the place of every value, and gathers; there is no loop over values.
 Blocks are rows of Parquet files, so that Spark's committer keeps them whole if a task is run twice.
 
-The texts are encoded once: documents are sorted into ranges, encoded and written as blocks of plain ids;
-these are counted (a table bounded by the vocabulary) and then coded anew, block by block.
+The texts are encoded once, in the order they are read, so that no text is shuffled: each task writes plain ids
+and counts them on the way (a table bounded by the vocabulary); the plain ids, two bytes each where the vocabulary
+allows, are sorted into ranges of documents and coded block by block.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riffle.llm.flat import text_slices
+from riffle.llm.flat import slices, text_slices
 from riffle.llm.shared import dropped, keyed, own_folder, table, written
 
 END = 1
 BLOCK = 1 << 18
 #: Distinct words whose ids a worker keeps (some 200 bytes each); beyond, it starts anew.
 KEPT_WORDS = 1_000_000
-#: Signs that make a token of their own behind a letter or digit.
-MARKS = ".,!?;:"
+#: Characters of new pieces that are encoded in one call.
+JOINED = 1 << 16
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
@@ -53,12 +54,12 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file whose tokens never span a blank or a line feed. Texts
-    are cut there and every distinct piece is encoded once.
+    """Ids of whole texts by a tokenizers file whose tokens never span a blank or a line feed. Texts are cut
+    there, and every distinct piece is encoded once, many new pieces in one call: the place in the joined
+    text where a token starts tells the piece it belongs to.
 
-    With a byte-level file that splits letters from all else, a piece of Latin letters alone is one word
-    for the model, and a mark behind a letter or digit starts a word of its own. Whether the file is of
-    this kind is tried out; otherwise every piece goes through the whole tokenizer.
+    Whether the file is of this kind, and whether it folds case, is tried out; a file that is not has its
+    texts encoded whole.
     """
 
     _of: dict[str, Encoder] = {}
@@ -68,12 +69,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        hidden = iter(range(256, 512))
-        self.signs = {b: b if b in shown else next(hidden) for b in range(256)}
         full = self._full
-        self.simple = all(full(f"{a}{m}") == full(a) + full(m) for a in ("word", "x1", "n\u00e9") for m in (".", "...", ",!?;:"))
-        self.simple = self.simple and all(full(w.upper()) == full(w) == self._word(w) for w in ("word", "\u00e9t\u00e9", "q", "stra\u00dfe"[:4], "zzxqvw"))
+        tries = ("word", "x1", "n\u00e9", "don't", "...", "a.b", "\u4e2d\u6587", "\U0001f600", "<|endoftext|>")
+        self.cuts = all(full(a) + full(b) == full(f"{a} {b}") == full(f"{a}\n{b}") == full(f" {a}  {b}\n ") for a in tries for b in tries)
+        self.folds = all(full(w.upper()) == full(w) for w in ("word", "\u00e9t\u00e9", "q", "stra", "zzxqvw"))
         self._clear()
 
     @classmethod
@@ -90,30 +89,26 @@ class Encoder:
     def _full(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.signs))]
-
-    def _piece(self, piece: str) -> list[int]:
-        if not self.simple:
-            return self._full(piece)
-        if piece.isalpha() and piece.isascii():
-            return [t.id for t in self.tokenizer.model.tokenize(piece)]
-        if piece.isalpha() and max(piece) < "\u0100" and piece == piece.lower():
-            return self._word(piece)
-        stem = piece.rstrip(MARKS)
-        if stem and len(stem) < len(piece) and stem[-1] < "\u0100" and stem[-1].isalnum():
-            return self._known(stem) + self._known(piece[len(stem):])
-        return self._full(piece)
-
-    def _known(self, piece: str) -> list[int]:
-        at = self.number.get(piece, len(self.starts))
-        if at < len(self.starts) - 1:
-            return self.ids[self.starts[at]:self.starts[at + 1]].tolist()
-        return self._piece(piece)
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and how many each has."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        starts = np.cumsum(sizes) - sizes
+        ids, counts, s = [], np.zeros(len(pieces), np.int64), 0
+        while s < len(pieces):
+            e = max(s + 1, int(np.searchsorted(starts, starts[s] + JOINED)))
+            got = self.tokenizer.encode(" ".join(pieces[s:e]), add_special_tokens=False)
+            ids.append(np.array(got.ids, np.uint32))
+            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids[-1])) + starts[s]
+            counts[s:e] = np.bincount(np.searchsorted(starts[s:e], at, "right") - 1, minlength=e - s)
+            s = e
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
-        if self.simple:  # the tokenizer folds case anyhow; done here, fewer pieces differ. A special token keeps its case.
+        if not self.cuts:
+            whole = [self._full(t) for t in texts]
+            return np.fromiter(chain.from_iterable(whole), np.uint32), np.fromiter(map(len, whole), np.int64, len(whole))
+        if self.folds:  # done here, fewer pieces differ. A special token keeps its case.
             texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.number) > KEPT_WORDS:
@@ -121,9 +116,8 @@ class Encoder:
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64)
         if new := self.number.new:
             self.number.new = []
-            found = list(map(self._piece, new))
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))])
+            found, counts = self._pieces(new)
+            self.ids = np.concatenate([self.ids, found])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         first = self.starts[at]
         counts = self.starts[at + 1] - first
@@ -166,71 +160,69 @@ def unpacked(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _blocked(path: str, end: int | None, block: int):
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _encoded(path: str, end: int | None, size: int):
+    """Plain ids of each text, and, as a last row of each task, how often it has met each id."""
     def run(batches):
         coder = Encoder.of(path)
-        width = "<u2" if coder.size <= 1 << 16 else "<u4"
-        number = before = 0
+        width, total = np.dtype(_width(size)), np.zeros(size, np.int64)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            for part, texts in text_slices(batch, limit=4 * block):
+            for part, texts in text_slices(batch):
                 ids, counts = coder.encode(texts)
                 if end is not None:
                     ids, counts = with_end(ids, counts, end)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("part").slice(0, 1), pa.array([number]), pa.array([before]), pa.array([len(ids)]),
-                    pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([ids.astype(width).tobytes()])],
-                    names=["part", "block", "before", "n", "doc_ids", "counts", "plain"])
-                number, before = number + 1, before + len(ids)
+                total += np.bincount(ids, minlength=size)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * width.itemsize
+                own = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(width))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(counts), own, pa.nulls(len(texts), pa.binary())], names=PLAIN_NAMES)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, np.stack([some, total[some]]).tobytes()), kinds)], names=PLAIN_NAMES)
 
     return run
 
 
-def _plain(scalar, n: int) -> np.ndarray:
-    raw = scalar.as_buffer()
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
-
-
-def _counted(size: int):
-    def run(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for ids, n in zip(batch.column("plain"), batch.column("n").to_pylist()):
-                total += np.bincount(_plain(ids, n), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
-
-    return run
+def _counted(batches):
+    for batch in batches:
+        for raw in batch.column("times"):
+            ids, n = np.frombuffer(raw.as_buffer(), np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
 
 
-def _coded(rank: np.ndarray):
+def _coded(rank: np.ndarray, width: str, block: int):
     def run(batches):
+        number = before = 0
         for batch in batches:
-            both = [packed(rank[_plain(ids, n)]) for ids, n in zip(batch.column("plain"), batch.column("n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in HEAD), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())],
-                                             names=[*HEAD, "control", "data"])
+            for part in slices(batch, "ids", block * np.dtype(width).itemsize):
+                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), width)
+                control, data = packed(rank[ids])
+                yield pa.RecordBatch.from_arrays([
+                    part.column("part").slice(0, 1), pa.array([number]), pa.array([before]), pa.array([len(ids)]),
+                    pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("n").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=[*HEAD, "control", "data"])
+                number, before = number + 1, before + len(ids)
 
     return run
 
 
+PLAIN_NAMES = ["doc_id", "th", "n", "ids", "times"]
 HEAD = ["part", "block", "before", "n", "doc_ids", "counts"]
-HEADS = "part int, block long, before long, n long, doc_ids array<long>, counts array<long>"
-BLOCKS = HEADS + ", control binary, data binary"
+BLOCKS = "part int, block long, before long, n long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int | None = END, block: int = BLOCK) -> None:
     """Write the ids of all texts to ``folder``. Null texts are empty; null ids come first; rows equal in
-    id are ordered by the hash of their text; an empty table gives empty files. ``path``: a tokenizers
-    file whose tokens never span a blank or a line feed, and in which marks behind a letter or digit are
-    tokens of their own."""
+    id are ordered by the hash of their text; an empty table gives empty files. ``path``: a tokenizers file; one
+    whose tokens never span a blank or a line feed is read piece by piece, others text by text."""
     path = path or tokenizer_path()
     size = max(Encoder.of(path).size, (end or 0) + 1)
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    order = [F.asc_nulls_first("doc_id"), F.asc("th")]
-    plain = written(keyed(docs, "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
-                    .select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_blocked(path, end, block), HEADS + ", plain binary"))
-    freq = plain.select("n", "plain").mapInArrow(_counted(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    plain = written(keyed(docs, "text").mapInArrow(_encoded(path, end, size), "doc_id long, th long, n long, ids binary, times binary"))
+    freq = plain.select("times").filter("times is not null").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     times = np.zeros(size, np.int64)
     for r in freq.collect():  # at most one row for each id of the vocabulary
         times[r.id] = r.n
@@ -238,7 +230,9 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int |
     rank = np.empty(size, np.uint32)
     rank[by_rank] = np.arange(size, dtype=np.uint32)
     spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
-    plain.mapInArrow(_coded(rank), BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    order = [F.asc_nulls_first("doc_id"), F.asc("th")]
+    rows = plain.filter("n is not null").select("doc_id", "th", "n", "ids").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows.select(F.spark_partition_id().alias("part"), "doc_id", "n", "ids").mapInArrow(_coded(rank, _width(size), block), BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     dropped(plain)
 
 
