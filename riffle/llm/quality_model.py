@@ -77,15 +77,17 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, signs: np.ndarray, c
     """Weights of the linear hinge-loss model over rows of scaled indicators. The last weight is the bias."""
     weights = np.zeros(len(scale) + 1)
     dual = np.zeros(len(rows))
-    values = [scale[r] / max(1.0, np.sqrt(len(r))) for r in rows]
-    square = np.array([v @ v + 1.0 for v in values])
+    root = np.sqrt(np.maximum(1, np.fromiter(map(len, rows), np.int64, len(rows))))
+    scale2 = scale * scale  # scaled rows are made when their turn comes: only the indicators are held
+    square = np.array([scale2[r].sum() for r in rows]) / root**2 + 1.0
     order = np.arange(len(rows))
     pick = np.random.default_rng(seed)
     for _ in range(passes):
         pick.shuffle(order)
         moved = 0.0
         for i in order:
-            r, v, y = rows[i], values[i], signs[i]
+            r, y = rows[i], signs[i]
+            v = scale[r] / root[i]
             slope = y * (weights[r] @ v + weights[-1]) - 1.0
             new = min(max(dual[i] - slope / square[i], 0.0), cost)
             if (step := new - dual[i]) != 0.0:
@@ -116,6 +118,20 @@ def curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.0), float(b)
 
 
+def _sampled(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features (views of one array) and labels of some rows, in the order of pick and features."""
+    got = rows.select("pick", "label", "features").toArrow()
+    packed = got.column("features").combine_chunks()
+    _, offsets, data = packed.buffers()
+    ends = np.frombuffer(offsets, np.int32)[packed.offset:packed.offset + len(packed) + 1] // 4
+    flat = np.frombuffer(data, np.uint32).copy() if data is not None else np.zeros(0, np.uint32)
+    pick, labels = got.column("pick").to_numpy(), got.column("label").to_numpy()
+    found = [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    _, at, times = np.unique(pick, return_inverse=True, return_counts=True)
+    order = sorted(range(len(found)), key=lambda i: (int(pick[i]), found[i].tobytes() if times[at[i]] > 1 else b""))
+    return [found[i] for i in order], labels[order]
+
+
 def fitted(labelled: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, cost: float = COST):
     """(weights of the features, bias, slope, offset) from rows of (doc_id, text, label), label 0 or 1;
     other labels and null are left out. With one label only, or none, everything scores its share."""
@@ -136,16 +152,16 @@ def fitted(labelled: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS
         counts[1, at] += part.column("good").to_numpy()
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     limit = int((1 << 30) * min(1.0, fit_rows / total))
-    sample = kept.filter(F.col("pick") < limit).orderBy("pick", "features").toArrow()  # about fit_rows rows
+    found, labels = _sampled(kept.filter(F.col("pick") < limit))  # about fit_rows rows
     dropped(kept)
-    found = [np.frombuffer(f.as_buffer(), np.uint32) for f in sample.column("features")]
-    labels = sample.column("label").to_numpy()
     aside = np.arange(len(labels)) % 4 == 3
     use = np.flatnonzero(~aside) if len(set(labels[aside])) == len(set(labels[~aside])) == 2 else np.arange(len(labels))
     weights = dual_descent([found[i] for i in use], ratio, np.where(labels[use] == 1, 1.0, -1.0), cost)
     vector = weights[:-1] * ratio
     test = np.flatnonzero(aside) if len(use) < len(labels) else use
     margins = np.array([vector[found[i]].sum() / max(1.0, np.sqrt(len(found[i]))) for i in test]) + weights[-1]
+    del found
+    pa.default_memory_pool().release_unused()
     return vector.astype(np.float32), float(weights[-1]), *curve(margins, labels[test].astype(float))
 
 
