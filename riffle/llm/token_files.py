@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ END = 1
 BLOCK = 1 << 18
 #: Distinct words whose ids a worker keeps (some 200 bytes each); beyond, it starts anew.
 KEPT_WORDS = 1_000_000
+#: Signs that may be tokens of their own behind a letter or digit.
+MARKS = ".,!?;:#$%&*"
 #: Characters of new pieces that are encoded in one call.
 JOINED = 1 << 16
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -40,26 +43,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Numbers(dict):
-    """Gives every new piece the next number and notes it."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.new.append(piece)
-        return number
-
-
 class Encoder:
     """Ids of whole texts by a tokenizers file whose tokens never span a blank or a line feed. Texts are cut
-    there, and every distinct piece is encoded once, many new pieces in one call: the place in the joined
-    text where a token starts tells the piece it belongs to.
+    there, the pieces of a slice are told apart by Arrow, and every distinct piece is encoded once: a stem of
+    letters or digits and the marks behind it apart, plain words by the tokenizer's model, the rest many in one
+    call, where the place a token starts at tells the piece it belongs to.
 
-    Whether the file is of this kind, and whether it folds case, is tried out; a file that is not has its
-    texts encoded whole.
+    Whether the file is of this kind, folds case, keeps marks apart and takes plain words as they are is tried out;
+    the texts of a file that joins pieces are encoded whole.
     """
 
     _of: dict[str, Encoder] = {}
@@ -73,6 +64,9 @@ class Encoder:
         tries = ("word", "x1", "n\u00e9", "don't", "...", "a.b", "\u4e2d\u6587", "\U0001f600", "<|endoftext|>")
         self.cuts = all(full(a) + full(b) == full(f"{a} {b}") == full(f"{a}\n{b}") == full(f" {a}  {b}\n ") for a in tries for b in tries)
         self.folds = all(full(w.upper()) == full(w) for w in ("word", "\u00e9t\u00e9", "q", "stra", "zzxqvw"))
+        runs = [*MARKS, *(a + b for a in MARKS for b in MARKS), MARKS]
+        self.marks = MARKS if all(full(w + m) == full(w) + full(m) for w in ("word", "x1", "n\u00e9") for m in runs) else ""
+        self.plain = all(full(w) == self._word(w) for w in ("word", "q", "zzxqvw", "internationalisation"))
         self._clear()
 
     @classmethod
@@ -83,17 +77,20 @@ class Encoder:
         return cls._of[path]
 
     def _clear(self) -> None:
-        self.number = _Numbers()
+        self.number: dict[str, int] = {}
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _full(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces end to end, and how many each has."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
         starts = np.cumsum(sizes) - sizes
-        ids, counts, s = [], np.zeros(len(pieces), np.int64), 0
+        ids, counts, s = [np.zeros(0, np.uint32)], np.zeros(len(pieces), np.int64), 0
         while s < len(pieces):
             e = max(s + 1, int(np.searchsorted(starts, starts[s] + JOINED)))
             got = self.tokenizer.encode(" ".join(pieces[s:e]), add_special_tokens=False)
@@ -101,30 +98,64 @@ class Encoder:
             at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids[-1])) + starts[s]
             counts[s:e] = np.bincount(np.searchsorted(starts[s:e], at, "right") - 1, minlength=e - s)
             s = e
-        return np.concatenate([*ids, np.zeros(0, np.uint32)]), counts
+        return np.concatenate(ids), counts
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces that are not known yet."""
+        stems, parts = [], {}
+        for p in pieces:
+            stem = p.rstrip(self.marks) if self.marks else p
+            if len(stem) < len(p) and stem and stem[-1].isalnum() and stem[-1] < "\u0100":
+                parts[p] = stem, p[len(stem):]
+                stems += parts[p]
+            else:
+                stems.append(p)
+        atoms = [x for x in dict.fromkeys(stems) if x not in self.number]
+        words = [x for x in atoms if x.isascii() and x.isalpha()] if self.plain and self.folds else []
+        own = set(words)
+        rest = [x for x in atoms if x not in own]
+        found = [self._word(w.lower()) for w in words]
+        self._keep(words, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        self._keep(rest, *self._joined(rest))
+        if parts := {p: x for p, x in parts.items() if p not in self.number}:
+            both = np.fromiter((self.number[x] for pair in parts.values() for x in pair), np.int64, 2 * len(parts))
+            ids, counts = self._gathered(both)
+            self._keep(list(parts), ids, counts.reshape(-1, 2).sum(axis=1))
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known pieces end to end, and how many each has."""
+        first = self.starts[at]
+        counts = self.starts[at + 1] - first
+        upto = np.cumsum(counts)
+        return self.ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - (upto - counts), counts)], counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
         if not self.cuts:
             whole = [self._full(t) for t in texts]
             return np.fromiter(chain.from_iterable(whole), np.uint32), np.fromiter(map(len, whole), np.int64, len(whole))
+        column = pa.array(texts, pa.large_string())
         if self.folds:  # done here, fewer pieces differ. A special token keeps its case.
-            texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+            column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        kinds = lists.flatten().dictionary_encode()
         if len(self.number) > KEPT_WORDS:
             self._clear()
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64)
-        if new := self.number.new:
-            self.number.new = []
-            found, counts = self._pieces(new)
-            self.ids = np.concatenate([self.ids, found])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-        first = self.starts[at]
-        counts = self.starts[at + 1] - first
+        names = kinds.dictionary.to_pylist()
+        found = np.fromiter((self.number.get(x, -1) for x in names), np.int64, len(names))
+        if len(new := np.flatnonzero(found < 0)):
+            new_names = [names[i] for i in new.tolist()]
+            self._learn(new_names)
+            found[new] = np.fromiter(map(self.number.__getitem__, new_names), np.int64, len(new))
+        at = found[kinds.indices.to_numpy()]
+        ids, counts = self._gathered(at)
         upto = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(first - upto[:-1], counts)]
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        return ids, np.diff(upto[np.concatenate([[0], ends])])
+        return ids, np.diff(upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
