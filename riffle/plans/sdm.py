@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ from riffle.functions.predicates import at_most, real_coordinates
 from riffle.operators import spatial as S
 from riffle.operators.aggregates import BASS_POOL, values_at
 from riffle.operators.joins import soft_labels
-from riffle.plans.habitat import confidence_tier
+from riffle.plans.fills import Median, MostFrequent, StandardScores, TextFill
 from riffle.session import cut
 
 # Feature names, species with stocking as a confound, species trained.
@@ -86,7 +86,8 @@ def sample_exact(rows: DataFrame, key: str, wanted, seed: int = SEED) -> DataFra
 
     ``wanted`` may be a scalar subquery column; fewer rows than wanted are all kept.
     """
-    h = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11).cast("double")
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    h = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")  # 52 bits
     hashed = cut(rows.withColumn("_h", h).withColumn("_g", F.lit(1)))
     w = F.lit(wanted) if isinstance(wanted, int) else wanted
     last = values_at(hashed, ["_g"], "_h", {"cut": F.least(F.col("n"), w) - 1})
@@ -135,34 +136,43 @@ def training_rows(matrix: DataFrame, present: DataFrame, absent: DataFrame,
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """Model columns typed: numbers as double, categories with their missing value spelled out."""
+    """Model columns typed: numbers as double, categories as text, columns that are not there as nulls."""
     have = set(df.columns)
     num = {c: F.col(c).cast("double") if c in have else F.lit(None).cast("double") for c in NUMERIC}
-    cat = {c: F.coalesce(F.col(c), F.lit("missing")) if c in have else F.lit("missing")
-           for c in CATEGORICAL}
+    cat = {c: F.col(c).cast("string") if c in have else F.lit(None).cast("string") for c in CATEGORICAL}
     return df.withColumns({**num, **cat})
 
 
 def preprocessing(train: DataFrame, one_hot: bool = True) -> list:
-    """Median imputation and category encoding of the columns that vary.
+    """Fills and encodings of the columns that vary. Numbers get their median, and standard scores if ``one_hot``;
+    categories get their most frequent value and one column each if ``one_hot``, else 'missing' and a code.
 
     A forest node tries a few columns only and becomes a leaf when none of them can split, so
     columns with one value, and the empty code of unseen categories, are left out.
     """
     seen = train.agg(
         *[F.min(c).alias(f"lo_{c}") for c in NUMERIC], *[F.max(c).alias(f"hi_{c}") for c in NUMERIC],
-        *[F.count(c).alias(f"n_{c}") for c in NUMERIC], F.count("*").alias("n"),
+        *[F.count(c).alias(f"n_{c}") for c in [*NUMERIC, *CATEGORICAL]], F.count("*").alias("n"),
         *[F.min(c).alias(f"lo_{c}") for c in CATEGORICAL],
         *[F.max(c).alias(f"hi_{c}") for c in CATEGORICAL]).first()
     varies = lambda c: seen[f"lo_{c}"] != seen[f"hi_{c}"]
     used = [c for c in NUMERIC if seen[f"n_{c}"] and varies(c)] or [
         c for c in NUMERIC if seen[f"n_{c}"]][:1]
     filled = [f"{c}_filled" for c in used]
-    stages = [Imputer(strategy="median", inputCols=used, outputCols=filled)]
-    kinds = [c for c in CATEGORICAL if varies(c)]
+    stages = [Median(inputCols=used, outputCols=filled)] if used else []
+    if one_hot and used:
+        scores = [f"{c}_score" for c in used]
+        stages.append(StandardScores(inputCols=filled, outputCols=scores))
+        filled = scores
+    kinds = [c for c in CATEGORICAL if varies(c) or not one_hot and 0 < seen[f"n_{c}"] < seen["n"]]
     codes = [f"{c}_code" for c in kinds]
     if kinds:
-        stages.append(StringIndexer(inputCols=kinds, outputCols=codes, handleInvalid="keep"))
+        whole = [f"{c}_whole" for c in kinds]
+        if one_hot:
+            stages.append(MostFrequent(inputCols=kinds, outputCols=whole))
+        else:
+            stages.append(TextFill(inputCols=kinds, outputCols=whole)._set(values=["missing"] * len(kinds)))
+        stages.append(StringIndexer(inputCols=whole, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"))
         if one_hot:
             hot = [f"{c}_hot" for c in kinds]
             stages.append(OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True))
@@ -173,7 +183,7 @@ def preprocessing(train: DataFrame, one_hot: bool = True) -> list:
 
 def forest(trees: int = 200, leaf: int = 5, depth: int = 12) -> RandomForestClassifier:
     return RandomForestClassifier(
-        numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=leaf, maxDepth=depth,
+        numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=leaf, maxDepth=depth, maxMemoryInMB=1024,
         weightCol="weight", seed=SEED, cacheNodeIds=False)
 
 
@@ -252,7 +262,7 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
             # the last code stands for unseen categories and has no column
             sizes = {c: n - 1 for c, n in zip(stage.getOutputCols(), stage.categorySizes)}
     for c in assembler.getInputCols():
-        source = c.removesuffix("_filled").removesuffix("_hot").removesuffix("_code")
+        source = c.removesuffix("_score").removesuffix("_filled").removesuffix("_hot").removesuffix("_code")
         columns += [source] * int(sizes.get(c, 1))
     total: dict[str, float] = {}
     for name, v in zip(columns, trees.featureImportances.toArray()):
@@ -262,16 +272,18 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
 
 def train_species(rows: DataFrame, matrix: DataFrame, species: str, trees: int = 200,
                   calibrated: bool = True):
-    """Model, training rows and a metadata dict; None when there are too few presences."""
+    """Model, training rows and a metadata dict; None when there are too few presences or no absence."""
     present = cut(presence(rows, matrix, species))
     n = present.count()
     if n < MIN_PRESENCES:
         return None
-    absent = target_group_absence(rows, matrix, present)
+    absent = cut(target_group_absence(rows, matrix, present))
+    if absent.isEmpty():
+        return None
     train = training_rows(matrix, present, absent)
     model = fit(train, trees)
     final = fit_calibrated(train, trees=trees) if calibrated else model
-    meta = {"species": species, "n_presence": n, "n_training": train.count(),
+    meta = {"species": species, "n_presence": n, "n_absence": absent.count(), "n_training": train.count(), "trees": trees,
             "auc": spatial_cv_auc(train, trees), "importances": importances(model)}
     return final, train, meta
 
@@ -287,29 +299,3 @@ def train_soft(rows: DataFrame, matrix: DataFrame, species: str, trees: int = 20
     absent = random_background(matrix, present)
     train = training_rows(matrix, present, absent, weights)
     return fit(train, trees, leaf, one_hot=False), train
-
-
-def train_all(rows: DataFrame, matrix: DataFrame, species: list[str] | None = None,
-              trees: int = 200, parallel: int = 3) -> DataFrame:
-    """Train every species with enough data; one row of predictions per segment and species,
-    with the metadata as columns."""
-    names = species or SPECIES_TO_TRAIN
-
-    def one(name: str):
-        got = train_species(rows, matrix, name, trees)
-        if got is None:
-            return None
-        model, _, meta = got
-        scored = model.score(matrix)
-        return scored.select(
-            "ogf_id", F.lit(name).alias("species"), "probability",
-            F.lit(float(meta["auc"])).alias("auc"),
-            F.lit(int(meta["n_presence"])).cast("bigint").alias("n_presence"),
-            confidence_tier(F.lit(int(meta["n_presence"]))).alias("confidence"))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        parts = [p for p in pool.map(one, names) if p is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
