@@ -201,7 +201,38 @@ def _(t):
     return out.select("gbif_key", F.col("near_node").alias("node"))
 
 
-@query("h13_watershed")
+_BOX = "lat BETWEEN 44.0 - 60.0 / 111.0 AND 44.0 + 60.0 / 111.0 AND lng BETWEEN -79.5 - 60.0 / 111.0 AND -79.5 + 60.0 / 111.0"
+
+
+def _connected_sql(chosen: str, blocks: str) -> str:
+    """Nearest nodes of the records around, and the path from the question's node: the network is a tree."""
+    return f"""WITH RECURSIVE {EDGES}, {_UND}, pos AS ({_pos_sql()}),
+    rec AS (SELECT 'i' || observation_id AS obs_id, species, common_name, lat, lng, coalesce(nullif(place_guess, ''), 'nearby') AS place_guess
+        FROM observations WHERE {_BOX}
+      UNION ALL SELECT 'g' || gbif_key, species, common_name, lat, lng, 'nearby' FROM gbif WHERE {_BOX}),
+    asked AS ({chosen}),
+    snapped AS (SELECT asked.*, pos.node, row_number() OVER (PARTITION BY obs_id ORDER BY
+        sqrt(power(asked.lat - pos.lat, 2) + power(asked.lng - pos.lng, 2)), pos.node) AS rn
+      FROM asked JOIN pos ON abs(asked.lat - pos.lat) <= 0.2 AND abs(asked.lng - pos.lng) <= 0.2
+        AND sqrt(power(asked.lat - pos.lat, 2) + power(asked.lng - pos.lng, 2)) <= 0.2),
+    origin AS (SELECT node FROM pos WHERE sqrt(power(lat - 44.0, 2) + power(lng + 79.5, 2)) <= 0.2
+      ORDER BY sqrt(power(lat - 44.0, 2) + power(lng + 79.5, 2)), node LIMIT 1),
+    p AS (SELECT node, CAST(-1 AS BIGINT) AS prev, 0.0E0 AS d, CAST([] AS VARCHAR[]) AS met FROM origin
+      UNION ALL SELECT u.dst, p.node, d + km, list_append(met, barrier_type) FROM p JOIN u ON u.src = p.node WHERE u.dst <> p.prev),
+    connected AS (SELECT s.species, obs_id, lat, lng, place_guess, round(d, 2) AS distance_km,
+        list_filter(met, lambda k: {blocks})[1] AS blocking_barrier
+      FROM snapped s JOIN p ON s.node = p.node WHERE rn = 1)"""
+
+
+_TOP = """SELECT * FROM rec WHERE species IN (SELECT species FROM (SELECT species, count(*) AS n FROM rec GROUP BY 1)
+      ORDER BY n DESC, species LIMIT 3)"""
+_NAMED = """SELECT * REPLACE ('4-NOT SPECIFIED' AS species) FROM rec
+      WHERE lower(species) LIKE '%4-not specified%' OR lower(common_name) LIKE '%4-not specified%'"""
+#: None of the species' names is a strong swimmer's or a lamprey's.
+_WEAK = "k IN ('Falls', 'Rapids')"
+
+
+@query("h13_watershed", _connected_sql(_TOP, _WEAK) + " SELECT * FROM connected")
 def _(t):
     from riffle.plans.watershed import analyze
 
@@ -209,7 +240,17 @@ def _(t):
                    snap_deg=0.2, radius_km=60.0)
 
 
-@query("h14_connectivity_text")
+@query("h14_connectivity_text", _connected_sql(_NAMED, _WEAK) + """,
+    free AS (SELECT species, distance_km, place_guess FROM connected WHERE blocking_barrier IS NULL ORDER BY distance_km, obs_id LIMIT 1),
+    shut AS (SELECT species, distance_km, place_guess, blocking_barrier FROM connected WHERE blocking_barrier IS NOT NULL ORDER BY distance_km, obs_id LIMIT 1),
+    g AS (SELECT species, count(*) AS records FROM connected GROUP BY 1)
+    SELECT species, records, f.distance_km AS open_km, s.distance_km AS blocked_km, s.blocking_barrier AS nearest_barrier, concat_ws(' ',
+      '4-not Specified confirmed ' || printf('%.1f', f.distance_km) || 'km away near ' || f.place_guess ||
+        ' — no barriers detected on the connecting reach. Stream connectivity is intact between that record and this location.',
+      '4-not Specified also recorded ' || printf('%.1f', s.distance_km) || 'km away near ' || s.place_guess || ', but ' ||
+        CASE s.blocking_barrier WHEN 'Falls' THEN 'a waterfall that is impassable for this species'
+          ELSE 'rapids that may limit upstream movement for small-bodied fish' END || ' lies on the intervening reach.') AS summary
+    FROM g LEFT JOIN free f USING (species) LEFT JOIN shut s USING (species)""")
 def _(t):
     from riffle.plans.watershed import analyze, narrative
 

@@ -91,17 +91,20 @@ def near_sources(edges: DataFrame, positions: DataFrame, sources: DataFrame,
 
 
 def _spread(edges: DataFrame, start: DataFrame, keys: list[str], step, allowed: Column | None,
-            hops: int = HOPS_PER_ROUND) -> DataFrame:
+            hops: int = HOPS_PER_ROUND, until=None) -> DataFrame:
     """Smallest label per (keys, node) reachable from ``start`` over the edges.
 
     ``start`` has keys, node and a struct ``label``; ``step`` makes the next label from ``label``
-    and the edge columns. A label is only replaced by a strictly smaller one.
+    and the edge columns. A label is only replaced by a strictly smaller one. ``until`` (round,
+    frames with the labels so far) may end the search early, which is right where a node's first label
+    is its last, as with hops.
     """
     edges = cut(edges)
     frontier = cut(start)
     parts = [frontier]
     on = [*keys, "node"]
     best = lambda fs: _union(fs).groupBy(*on).agg(F.min("label").alias("label"))
+    rounds = 0
     while True:
         wave, waves = frontier, []
         for _ in range(hops):
@@ -117,6 +120,9 @@ def _spread(edges: DataFrame, start: DataFrame, keys: list[str], step, allowed:
         if frontier.isEmpty():
             return best(parts)
         parts.append(frontier)
+        rounds += 1
+        if until is not None and until(rounds, _union(parts).select("node")):
+            return best(parts)
         if len(parts) > 8:
             parts = [cut(best(parts))]
 
@@ -226,22 +232,59 @@ def tributary_report(found: DataFrame) -> DataFrame:
         F.count("*").alias("segments"), F.round(F.sum("km"), 3).alias("km"))
 
 
-def paths_from(edges: DataFrame, sources: DataFrame, species: Column) -> DataFrame:
-    """Fewest-hop path from the source to each connected node: hops, km, first blocking barrier.
+# The kinds of barriers that stop some species or all.
+BARRIER_KINDS = {"falls": "Falls", "lamprey": "Sea Lamprey Barrier", "rapids": "Rapids"}
+PATIENCE = 6
+
+
+def barrier_labels(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Fewest-hop path from the sources to each connected node: hops, path_km, and for each kind of barrier
+    the number of the first edge that has it (``falls``, ``lamprey``, ``rapids``; null for none).
 
-    Flow direction is ignored; among equal hops the shorter path is taken.
+    One search answers for every species: which barrier blocks it first follows from the three numbers
+    (``first_blocking``). Flow direction is ignored; among equal hops the shorter path is taken. With
+    ``targets`` (node) the search ends once all of them are labelled: a node's first label is its last, as
+    hops come first. After ``PATIENCE`` rounds targets in other components than the sources are
+    given up, so they never make it walk a whole network.
     """
     both = undirected(edges)
+    none = F.lit(None).cast("int")
     start = sources.select("node").distinct().withColumn("label", F.struct(
-        F.lit(0).alias("hops"), F.lit(0.0).alias("km"), F.lit(None).cast("string").alias("barrier")))
-    blocked = F.when(~can_pass(species, F.col("barrier_type")), F.col("barrier_type"))
+        F.lit(0).alias("hops"), F.lit(0.0).alias("km"), *[none.alias(k) for k in BARRIER_KINDS]))
+    number = F.col("label.hops") + 1
     step = lambda: F.struct(
-        (F.col("label.hops") + 1).alias("hops"), (F.col("label.km") + F.col("km")).alias("km"),
-        F.coalesce(F.col("label.barrier"), blocked).alias("barrier"))
-    labels = _spread(both, start, [], step, None)
-    return labels.select("node", F.col("label.hops").alias("hops"),
-                         F.col("label.km").alias("path_km"),
-                         F.col("label.barrier").alias("blocking_barrier"))
+        number.alias("hops"), (F.col("label.km") + F.col("km")).alias("km"),
+        *[F.coalesce(F.col(f"label.{k}"), F.when(F.col("barrier_type") == kind, number)).alias(k)
+          for k, kind in BARRIER_KINDS.items()])
+    wanted = None if targets is None else [cut(targets.select("node").where("node IS NOT NULL").distinct())]
+
+    def settled(rounds: int, known: DataFrame) -> bool:
+        left = wanted[0].join(known, "node", "left_anti")
+        if rounds == PATIENCE and not left.isEmpty():
+            comp = components(both.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+            mine = comp.join(sources.select("node"), "node", "left_semi").select("comp").distinct()
+            wanted[0] = cut(wanted[0].join(comp.join(mine, "comp", "left_semi"), "node", "left_semi"))
+            left = wanted[0].join(known, "node", "left_anti")
+        return left.isEmpty()
+
+    labels = _spread(both, start, [], step, None, until=settled if wanted else None)
+    return labels.select("node", F.col("label.hops").alias("hops"), F.col("label.km").alias("path_km"),
+                         *[F.col(f"label.{k}").alias(k) for k in BARRIER_KINDS])
+
+
+def first_blocking(species: Column) -> Column:
+    """The first barrier on a path of ``barrier_labels`` that the species cannot pass; null for none."""
+    met = [F.when(F.col(k).isNotNull() & ~can_pass(species, F.lit(kind)), F.struct(F.col(k).alias("at"), F.lit(kind).alias("kind")))
+           for k, kind in BARRIER_KINDS.items()]
+    return F.array_min(F.array_compact(F.array(*met)))["kind"]
+
+
+def paths_from(edges: DataFrame, sources: DataFrame, species: Column,
+               targets: DataFrame | None = None) -> DataFrame:
+    """Fewest-hop path from the source to each connected node (to ``targets`` at least, where given): hops,
+    km, first blocking barrier."""
+    return barrier_labels(edges, sources, targets).select(
+        "node", "hops", "path_km", first_blocking(species).alias("blocking_barrier"))
 
 
 # --- stream order ---------------------------------------------------------------------------

@@ -34,36 +34,26 @@ def analyze(edges: DataFrame, positions: DataFrame, inat: DataFrame, gbif: DataF
     """Connected records per species: path km and the first barrier the species cannot pass.
 
     Without a species, the most recorded ones around are taken. One breadth-first search from the
-    question's node serves all records of a species.
+    question's node serves all species, and ends when it has met the node of every record.
     """
     records = nearby_observations(inat, gbif, lat, lng, radius_km, species)
     if species:
-        names = [species]
         records = records.withColumn("asked", F.lit(species))
     else:
         best = records.groupBy("species").agg(F.count("*").alias("n")).orderBy(
             F.desc("n"), "species").limit(top)
-        names = [r["species"] for r in best.collect()]
-        records = records.withColumn("asked", F.col("species"))
+        # the best few are a table of ``top`` rows
+        records = records.join(best.select("species"), "species", "left_semi").withColumn("asked", F.col("species"))
     d = geo.euclid("lat", "lng", F.lit(lat), F.lit(lng))
     start = positions.where(geo.in_box("lat", "lng", lat, lng, snap_deg) & (d <= snap_deg)).orderBy(
         d, "node").limit(1).select("node")
     snapped = cut(S.with_nearest(records, positions, S.DEGREES, "node", bound=snap_deg, how="inner"))
-    out = None
-    for name in names:
-        paths = G.paths_from(edges, start, F.lit(name))
-        part = snapped.where(F.col("asked") == name).join(
-            paths, F.col("near_node") == F.col("node")).select(
-            F.col("asked").alias("species"), "obs_id", "lat", "lng",
-            F.coalesce(F.nullif("place_guess", F.lit("")), F.lit("nearby")).alias("place_guess"),
-            F.round("path_km", 2).alias("distance_km"), "blocking_barrier")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return snapped.limit(0).select(
-            F.col("asked").alias("species"), "obs_id", "lat", "lng", "place_guess",
-            F.lit(None).cast("double").alias("distance_km"),
-            F.lit(None).cast("string").alias("blocking_barrier"))
-    return out
+    targets = snapped.select(F.col("near_node").alias("node"))
+    paths = G.barrier_labels(edges, start, targets)
+    return snapped.join(paths, F.col("near_node") == F.col("node")).select(
+        F.col("asked").alias("species"), "obs_id", "lat", "lng",
+        F.coalesce(F.nullif("place_guess", F.lit("")), F.lit("nearby")).alias("place_guess"),
+        F.round("path_km", 2).alias("distance_km"), G.first_blocking(F.col("asked")).alias("blocking_barrier"))
 
 
 # Wording of barriers.
