@@ -4,8 +4,9 @@ Training is a sum over all labelled documents: each task counts the hashed 1- to
 language, Spark adds the counts up, and the table of (language, bucket) is bounded by its two sides. Its
 logarithms, smoothed, are the matrix that goes to all tasks. A batch of texts is scored by gathering the
 matrix rows of all n-grams at once and adding them up text by text: only the n-grams that occur are
-touched. The score is the posterior of the language, from the mean log probability of an n-gram times
-``EVIDENCE``, as if a text had that many independent n-grams at most.
+touched. The language is the one with the greatest sum of log prior and log probabilities of all n-grams. Its
+score is its posterior from the mean log probability of an n-gram times ``EVIDENCE``, as if a text had that many
+independent n-grams at most; the evidence is scaled for the score alone.
 """
 
 from __future__ import annotations
@@ -27,9 +28,14 @@ EVIDENCE = 100
 #: Languages a model may tell apart; the matrix holds this many columns at most.
 MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
+#: Letters, and numbers that are not digits, such as fractions.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def ngrams(texts: list[str], buckets: int = BUCKETS, orders=ORDERS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of lower-case texts, grouped by text (white space is one blank, one at either
     end), and how many each text has."""
@@ -111,11 +117,11 @@ def predicted(docs: DataFrame, model, buckets: int = BUCKETS) -> DataFrame:
                 if len(some):
                     first = (np.cumsum(counts) - counts)[some]
                     sums = np.add.reduceat(np.take(matrix, found, axis=0), first, axis=0, dtype=np.float64)
+                    top = (prior + sums).argmax(axis=1)
                     logs = prior + sums * (np.minimum(counts[some], EVIDENCE) / counts[some])[:, None]
-                    top = logs.argmax(axis=1)
-                    post = 1 / np.exp(logs - logs[np.arange(len(top)), top][:, None]).sum(axis=1)
+                    post = 1 / np.exp(np.minimum(logs - logs[np.arange(len(top)), top][:, None], 700)).sum(axis=1)
                     for i, k, p in zip(some.tolist(), top.tolist(), post.tolist()):
-                        if LETTER.search(texts[i]):
+                        if has_letter(texts[i]):
                             lang[i], score[i] = names[k], p
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
