@@ -127,8 +127,11 @@ def slow_language(train, texts):
     out = []
     for t in texts:
         g = ngrams([t])[0]
-        logs = [np.log(sum(x == y for _, y in train) / len(train)) + np.log(counts[x] / counts[x].sum())[g].sum() * min(1, 100 / len(g)) for x in langs]
-        out.append((langs[int(np.argmax(logs))], 1 / sum(np.exp(np.array(logs) - max(logs)))))
+        prior = np.array([np.log(sum(x == y for _, y in train) / len(train)) for x in langs])
+        own = np.array([np.log(counts[x] / counts[x].sum())[g].sum() for x in langs])
+        top = int(np.argmax(prior + own))
+        logs = prior + own * min(1, 100 / len(g))
+        out.append((langs[top], np.exp(logs[top]) / np.exp(logs).sum() if logs.max() > -600 else np.exp(logs[top] - logs.max()) / np.exp(logs - logs.max()).sum()))
     return out
 
 
@@ -142,10 +145,24 @@ def test_language_model_against_plain_counts(spark):
     for i, (lang, score) in enumerate(slow_language([*train, ("", "en")], texts)):
         assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4
     assert got[50] == got[51] == got[52] == ("und", 0.0) and got[None][0] == "en"
+    for text in ("\u00bd", "\u00b2 \u2460", "_1_"):
+        one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert predicted(one, model).first().lang_pred == "und"
     nothing = fit_language(df.limit(0))
     assert {r.lang_pred for r in predicted(spark.createDataFrame(rows, "doc_id long, text string"), nothing).collect()} == {"und"}
 
 
+def test_much_text_outweighs_a_common_language(spark):
+    """A long text that speaks for a rare language by a little an n-gram gets it, whatever the prior."""
+    train = [("ab " * 40, "common")] * 400 + [("ab " * 8000 + "abx " * 8000, "rare")]
+    model = fit_language(spark.createDataFrame(train, "text string, lang string"))
+    texts = [("ab " * k + "abx ") * (4000 // k) for k in (1, 5, 12, 14, 16, 18, 40)]
+    want = slow_language(train, texts)
+    rows = predicted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows] == [lang for lang, _ in want] and all(abs(r.score - s) < 1e-3 for r, (_, s) in zip(rows, want))
+    assert any(lang == "rare" and score < 0.5 for lang, score in want)  # the scaled evidence alone would have said common
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     d = op9_language_id(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
     r = d.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")).alias("right"), F.count("*").alias("n"), F.min("score"), F.max("score")).collect()[0]
