@@ -16,6 +16,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riffle.functions import geo
 from riffle.session import cut, spread
@@ -377,61 +378,123 @@ def nearest_line(points: DataFrame, lines: DataFrame, bound_deg: float, line_key
     return found.select("l_lat", "l_lng", "distance", F.col("best.k").alias(line_key))
 
 
-RING_CELLS = 8
+#: Cells along the longer side of a polygon: few for plain ones, more for rings of many vertices.
+FEWEST_CELLS, MOST_CELLS = 8, 64
+#: Edges of one cell beyond this are kept in several rows.
+EDGES_PER_ROW = 4096
+#: Where in a cell its reference point lies: off the places that vertices like to have.
+_REF_X, _REF_Y = 0.51374692, 0.48710358
 
 
-def _ring_cells(polygons: DataFrame, ring: str) -> DataFrame:
-    """Cells covering each ring at a level fitting its size, marked whole or partial.
+def _polygon_edges(polygons: DataFrame, ring: str) -> DataFrame:
+    """pg and x1, y1, x2, y2 of every edge of every ring; rings that are not closed get their last edge.
 
-    Each polygon gets cells a little under 1/8 of its longer side, so at most about 100 cells.
+    ``ring`` is one array of vertices, or an array of these: outer rings of all parts and holes alike.
     """
-    p = polygons.withColumn("edges", geo.edges_of(ring)).withColumn("bb", geo.bbox(ring))
-    span = F.greatest(
-        F.col("bb.maxx") - F.col("bb.minx"), F.col("bb.maxy") - F.col("bb.miny"), F.lit(1e-6)
-    )
-    p = p.withColumn("lvl", F.floor(F.log2(span / RING_CELLS)).cast("int"))
-    p = p.withColumn("size", F.pow(F.lit(2.0), F.col("lvl").cast("double")))
-    for axis, lo, hi in (("cx", "minx", "maxx"), ("cy", "miny", "maxy")):
-        p = p.withColumn(axis, F.explode(F.sequence(
-            F.floor(F.col(f"bb.{lo}") / F.col("size")), F.floor(F.col(f"bb.{hi}") / F.col("size"))
-        )))
-    x0, y0 = F.col("cx") * F.col("size"), F.col("cy") * F.col("size")
-    x1, y1 = x0 + F.col("size"), y0 + F.col("size")
-    touched = F.exists("edges", lambda e: (
-        (F.least(e["x1"], e["x2"]) <= x1) & (F.greatest(e["x1"], e["x2"]) >= x0)
-        & (F.least(e["y1"], e["y2"]) <= y1) & (F.greatest(e["y1"], e["y2"]) >= y0)
-    ))
-    centre = geo.point_in_ring(y0 + F.col("size") / 2, x0 + F.col("size") / 2, "edges")
-    return p.withColumn("partial", touched).where(F.col("partial") | centre)
+    many = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
+    rings = polygons.select("pg", F.explode(ring).alias("v")) if many else polygons.select("pg", F.col(ring).alias("v"))
+    rings = rings.where(F.size("v") >= 3)
+    open_ = F.element_at("v", 1) != F.element_at("v", -1)
+    closed = rings.withColumn("v", F.when(open_, F.concat("v", F.slice("v", 1, 1))).otherwise(F.col("v")))
+    return closed.select("pg", F.explode(geo.edges_of("v")).alias("e")).select("pg", "e.*")
+
+
+def _ring_cells(polygons: DataFrame, ring: str) -> tuple[DataFrame, DataFrame]:
+    """Cells of each polygon (pg) at a level (lvl) fitting its size and number of edges.
+
+    The first table has the cells wholly inside: lvl, cx, cy, best. The second has those an edge may cross, with
+    the edges that touch the cell and no others, and ``odd``: whether the cell's reference point lies inside, by
+    the even-odd rule over all rings. A cell with very many edges has several rows; the first has ``odd``.
+    """
+    numbered = cut(polygons.withColumn("pg", F.monotonically_increasing_id()))
+    edges = cut(_polygon_edges(numbered, ring))
+    lo, hi = F.least, F.greatest
+    box = edges.groupBy("pg").agg(
+        F.min(lo("x1", "x2")).alias("minx"), F.max(hi("x1", "x2")).alias("maxx"), F.min(lo("y1", "y2")).alias("miny"),
+        F.max(hi("y1", "y2")).alias("maxy"), F.count("*").alias("n"))
+    span = hi(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(1e-6))
+    side = lo(hi(F.sqrt("n") / 2, F.lit(float(FEWEST_CELLS))), F.lit(float(MOST_CELLS)))
+    size = F.col("size")
+    box = cut(box.withColumn("lvl", F.floor(F.log2(span / side)).cast("int")).withColumn("size", F.pow(F.lit(2.0), F.col("lvl").cast("double"))).select(
+        "pg", "lvl", "size", "n", *[F.floor(F.col(c) / size).alias(f"c_{c}") for c in ("minx", "maxx", "miny", "maxy")]))
+    sized = edges.join(box.select("pg", "lvl", "size", "n"), "pg")
+
+    # columns an edge passes, and in each the rows between where it enters and leaves, taken a little wide
+    wide = size * 1e-9
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    columns = F.sequence(F.floor((lo("x1", "x2") - wide) / size), F.floor((hi("x1", "x2") + wide) / size))
+    passed = sized.withColumn("cx", F.explode(columns))
+    at = lambda x: lo(hi(F.when(dx == 0, F.col("y1")).otherwise(F.col("y1") + (x - F.col("x1")) / dx * dy), lo("y1", "y2")), hi("y1", "y2"))
+    left, right = F.col("cx") * size - wide, (F.col("cx") + 1) * size + wide
+    low = F.when(dx == 0, lo("y1", "y2")).otherwise(lo(at(left), at(right)))
+    high = F.when(dx == 0, hi("y1", "y2")).otherwise(hi(at(left), at(right)))
+    rows = F.sequence(F.floor((low - wide) / size), F.floor((high + wide) / size))
+    touched = passed.withColumn("cy", F.explode(rows))
+    edge = F.struct("x1", "y1", "x2", "y2")
+    piece = F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.floor(F.col("n") / EDGES_PER_ROW) + 1)
+    partial = touched.groupBy("pg", "lvl", "cx", "cy", piece.alias("piece")).agg(F.collect_list(edge).alias("edges"))
+
+    # reference points: edges that cross a row's reference line toggle all cells whose point lies left of the crossing
+    first = F.ceil(lo("y1", "y2") / size - _REF_Y - 1e-9)
+    lines = sized.withColumn("cy", F.explode(F.when(
+        first <= F.floor(hi("y1", "y2") / size - _REF_Y + 1e-9), F.sequence(first, F.floor(hi("y1", "y2") / size - _REF_Y + 1e-9)))))
+    ref_y = (F.col("cy") + _REF_Y) * size
+    cross = (F.col("x2") - F.col("x1")) * (ref_y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    crossed = lines.where((F.col("y1") > ref_y) != (F.col("y2") > ref_y)).select(
+        "pg", "cy", (F.ceil(cross / size - _REF_X) - 1).alias("cx")).groupBy("pg", "cy", "cx").agg(F.count("*").alias("t"))
+    grid = box.withColumn("cy", F.explode(F.sequence("c_miny", "c_maxy"))).withColumn("cx", F.explode(F.sequence("c_minx", "c_maxx")))
+    both = grid.select("pg", "cy", "cx", F.lit(0).cast("long").alias("t"), "lvl").unionByName(crossed.withColumn("lvl", F.lit(None).cast("int")))
+    right_of = Window.partitionBy("pg", "cy").orderBy(F.desc("cx")).rangeBetween(Window.unboundedPreceding, 0)
+    refs = both.withColumn("odd", F.sum("t").over(right_of) % 2 == 1).where("lvl IS NOT NULL").select("pg", "lvl", "cx", "cy", "odd")
+
+    cells = cut(refs.join(partial, ["pg", "lvl", "cx", "cy"], "left").where("odd OR edges IS NOT NULL").join(
+        numbered.select("pg", "best"), "pg"))
+    whole = cells.where("edges IS NULL").groupBy("lvl", "cx", "cy").agg(F.max("best").alias("best"))
+    one = Window.partitionBy("pg", "cx", "cy").orderBy("piece")
+    return whole, cells.where("edges IS NOT NULL").withColumn("odd", F.col("odd") & (F.row_number().over(one) == 1))
+
+
+def _crossings(lat, lng, size: Column) -> Column:
+    """Edges of a cell on the way from a point to the cell's reference point: along the point's latitude first, then
+    along the reference's longitude."""
+    x, y = geo.num(lng), geo.num(lat)
+    rx, ry = (F.col("cx") + _REF_X) * size, (F.col("cy") + _REF_Y) * size
+
+    def crossed(e: Column) -> Column:
+        at_x = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        at_y = (e["y2"] - e["y1"]) * (rx - e["x1"]) / (e["x2"] - e["x1"]) + e["y1"]
+        across = F.when((e["y1"] > y) != (e["y2"] > y), ((x < at_x) != (rx < at_x)).cast("long")).otherwise(0)
+        up = F.when((e["x1"] > rx) != (e["x2"] > rx), ((y < at_y) != (ry < at_y)).cast("long")).otherwise(0)
+        return across + up
+
+    return F.aggregate("edges", F.lit(0).cast("long"), lambda n, e: n + crossed(e))
 
 
 def containing_polygons(points: DataFrame, polygons: DataFrame, ring: str, best: Column,
                         at=("lat", "lng")) -> DataFrame:
-    """Largest ``best`` value among the polygons whose outer ring holds each distinct location.
+    """Largest ``best`` value among the polygons that hold each distinct location.
 
-    Cells wholly inside a ring answer for all their points from one pre-aggregated row; the ray
-    cast runs only for points in cells that an edge may cross.
+    ``ring`` holds one ring, or all rings of all parts, holes too: a location is inside where a ray crosses an odd
+    number of edges. Cells wholly inside a polygon answer for all their points from one pre-aggregated row; points
+    in other cells are held against the edges of their own cell alone, whatever the size of the ring.
     """
-    cells = _ring_cells(polygons.withColumn("best", best), ring)
+    whole, partial = _ring_cells(polygons.withColumn("best", best), ring)
     # polygon sizes span few powers of two, so the distinct levels are a bounded handful
-    levels = cells.agg(F.sort_array(F.collect_set("lvl")).alias("levels")).first()["levels"]
+    levels = sorted({r["lvl"] for r in whole.select("lvl").union(partial.select("lvl")).distinct().collect()})
     sites = _sites(points, *at, "l", [])
     if not levels:
-        return sites.limit(0).join(cells.select("best").limit(0))
+        return sites.limit(0).join(whole.select("best").limit(0))
     placed = sites.withColumn("lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
     size = F.pow(F.lit(2.0), F.col("lvl").cast("double"))
     placed = placed.withColumn("cx", F.floor(F.col("l_lng") / size)).withColumn(
         "cy", F.floor(F.col("l_lat") / size)
     )
     keys = ["lvl", "cx", "cy"]
-    whole = cells.where(~F.col("partial")).groupBy(*keys).agg(F.max("best").alias("best"))
     inside = placed.join(whole, keys).select("l_lat", "l_lng", "best")
-    edge = (
-        placed.join(cells.where("partial").select(*keys, "edges", "best"), keys)
-        .where(geo.point_in_ring("l_lat", "l_lng", "edges"))
-        .select("l_lat", "l_lng", "best")
-    )
-    return inside.unionByName(edge).groupBy("l_lat", "l_lng").agg(F.max("best").alias("best"))
+    met = placed.join(partial, keys).select(
+        "l_lat", "l_lng", "pg", "best", (_crossings("l_lat", "l_lng", size) + F.col("odd").cast("long")).alias("n"))
+    edge = met.groupBy("l_lat", "l_lng", "pg").agg(F.sum("n").alias("n"), F.first("best").alias("best")).where("n % 2 = 1")
+    return inside.unionByName(edge.select("l_lat", "l_lng", "best")).groupBy("l_lat", "l_lng").agg(F.max("best").alias("best"))
 
 
 def thin_by_distance(ranked: DataFrame, limit: int, min_km: float, group: list[str],
