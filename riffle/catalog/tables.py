@@ -305,16 +305,41 @@ def _(t):
                       F.round("centroid_lng", 6).alias("centroid_lng"))
 
 
-@query("a15_crown_land_polygons", """
+_AREA = 4 * 0.4503**2 - 2 * (0.4503 - 0.2303) ** 2
+
+
+@query("a15_crown_land_polygons", f"""
+    WITH shapes AS (SELECT *, park_id % 2 = 0 AS many FROM parks),
+    points AS (SELECT DISTINCT lat, lng FROM observations),
+    held AS (SELECT park_id, count(*) AS n FROM points a JOIN shapes b ON
+        (abs(a.lng - clng) < 0.4503 AND abs(a.lat - clat) < 0.4503 AND abs(a.lng - clng) + abs(a.lat - clat) < 0.6806
+          AND NOT (many AND abs(a.lng - clng) < 0.1007 AND abs(a.lat - clat) < 0.1007))
+        OR (many AND abs(a.lng - clng - 1) < 0.0503 AND abs(a.lat - clat) < 0.0503) GROUP BY 1)
     SELECT CAST(park_id AS VARCHAR) AS crown_id, 'General Use' AS land_use_type, round(clat, 6) AS centroid_lat,
-      round(clng, 6) AS centroid_lng, round(clng - 0.4503, 6) AS bbox_minx, round(clat + 0.4503, 6) AS bbox_maxy
-    FROM parks""")
-def _(t):
-    props = F.create_map(F.lit("OBJECTID"), F.col("park_id").cast("string"),
-                         F.lit("Land_Class"), F.lit("General Use"))
-    out = Pg.crown_land(polygon_docs(t, props))
-    return out.select("crown_id", "land_use_type", *[
-        F.round(c, 6).alias(c) for c in ("centroid_lat", "centroid_lng", "bbox_minx", "bbox_maxy")])
+      round(clng + CASE WHEN many THEN 4 * 0.0503 * 0.0503 / ({_AREA} - 4 * 0.1007 * 0.1007 + 4 * 0.0503 * 0.0503) ELSE 0 END, 6) AS centroid_lng,
+      round(clng - 0.4503, 6) AS bbox_minx, round(clng + CASE WHEN many THEN 1.0503 ELSE 0.4503 END, 6) AS bbox_maxx,
+      round(clat + 0.4503, 6) AS bbox_maxy, CASE WHEN many THEN 'MULTIPOLYGON' ELSE 'POLYGON' END AS kind,
+      CAST(CASE WHEN many THEN 3 ELSE 1 END AS INTEGER) AS n_rings, coalesce(n, 0) AS places_inside
+    FROM shapes LEFT JOIN held USING (park_id)""")
+def _(t):
+    """Every second area has two parts, the first with a hole; places inside are counted over the whole geometry."""
+    from riffle.catalog.joins import octagon
+    from riffle.operators import spatial as S
+
+    pairs = lambda ring: F.transform(ring, lambda p: F.array(p["lng"], p["lat"]))
+    square = lambda half, dx: F.array(*[F.array(F.col("clng") + dx + half * x, F.col("clat") + half * y)
+                                        for x, y in ((-1, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))])
+    ring = pairs(octagon(0.4503, 0.2303))
+    g = F.when(F.col("park_id") % 2 == 0, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(
+        F.array(ring, square(0.1007, 0.0)), F.array(square(0.0503, 1.0))).alias("coordinates")))).otherwise(F.to_json(F.struct(
+            F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
+    props = F.create_map(F.lit("OBJECTID"), F.col("park_id").cast("string"), F.lit("Land_Class"), F.lit("General Use"))
+    f = F.struct(props.alias("properties"), g.alias("geometry")).alias("feature")
+    out = Pg.crown_land(Js.read(t.spark, features(t, "areas", t.parks.select("park_id", f), "park_id"), Pg.FEATURES))
+    held = S.polygon_pairs(t.observations, out, "rings", F.col("crown_id")).groupBy("best").agg(F.count("*").alias("places_inside"))
+    return out.join(held.withColumnRenamed("best", "crown_id"), "crown_id", "left").select(
+        "crown_id", "land_use_type", *[F.round(c, 6).alias(c) for c in ("centroid_lat", "centroid_lng", "bbox_minx", "bbox_maxx", "bbox_maxy")],
+        F.substring_index("geom_wkt", " ", 1).alias("kind"), F.size("rings").alias("n_rings"), F.coalesce("places_inside", F.lit(0)).alias("places_inside"))
 
 
 def watercourse_docs(t, copies=1):

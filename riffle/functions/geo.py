@@ -278,6 +278,33 @@ def ring_centroid(points) -> Column:
     )).otherwise(vertex_mean(p))
 
 
+def shape_centroid(parts) -> Column:
+    """Area-weighted centroid of a shape: an array of parts, each an array of rings, the first its outline and the
+    others its holes, wound either way; the mean of the first outline's vertices when there is no area."""
+    p = col(parts)
+    first = F.element_at(F.element_at(p, 1), 1)
+    origin = F.element_at(first, 1)
+    rings = F.flatten(F.transform(p, lambda part: F.transform(part, lambda r, i: F.struct(r.alias("v"), (i > 0).alias("hole")))))
+    nothing = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def step(acc: Column, e: Column) -> Column:
+        x1, x2 = e["x1"] - origin["lng"], e["x2"] - origin["lng"]
+        y1, y2 = e["y1"] - origin["lat"], e["y2"] - origin["lat"]
+        cross = x1 * y2 - x2 * y1
+        return F.struct((acc["a"] + cross).alias("a"), (acc["x"] + (x1 + x2) * cross).alias("x"), (acc["y"] + (y1 + y2) * cross).alias("y"))
+
+    def add(acc: Column, ring: Column) -> Column:
+        m = F.aggregate(edges_of(F.concat(ring["v"], F.slice(ring["v"], 1, 1))), nothing, step)
+        way = F.signum(m["a"]) * F.when(ring["hole"], -1.0).otherwise(1.0)
+        return F.struct((acc["a"] + way * m["a"]).alias("a"), (acc["x"] + way * m["x"]).alias("x"), (acc["y"] + way * m["y"]).alias("y"))
+
+    s = F.aggregate(rings, nothing, add)
+    return F.when(s["a"] > 0, F.struct(
+        (origin["lng"] + s["x"] / (3 * s["a"])).alias("lng"),
+        (origin["lat"] + s["y"] / (3 * s["a"])).alias("lat"),
+    )).otherwise(vertex_mean(first))
+
+
 def point_in_ring(lat, lng, edges) -> Column:
     """Even-odd ray cast over the edge array of an outer ring (half-open in latitude)."""
     x, y = num(lng), num(lat)

@@ -449,7 +449,7 @@ def _ring_cells(polygons: DataFrame, ring: str) -> tuple[DataFrame, DataFrame]:
 
     cells = cut(refs.join(partial, ["pg", "lvl", "cx", "cy"], "left").where("odd OR edges IS NOT NULL").join(
         numbered.select("pg", "best"), "pg"))
-    whole = cells.where("edges IS NULL").groupBy("lvl", "cx", "cy").agg(F.max("best").alias("best"))
+    whole = cells.where("edges IS NULL").select("lvl", "cx", "cy", "best")
     one = Window.partitionBy("pg", "cx", "cy").orderBy("piece")
     return whole, cells.where("edges IS NOT NULL").withColumn("odd", F.col("odd") & (F.row_number().over(one) == 1))
 
@@ -470,17 +470,13 @@ def _crossings(lat, lng, size: Column) -> Column:
     return F.aggregate("edges", F.lit(0).cast("long"), lambda n, e: n + crossed(e))
 
 
-def containing_polygons(points: DataFrame, polygons: DataFrame, ring: str, best: Column,
-                        at=("lat", "lng")) -> DataFrame:
-    """Largest ``best`` value among the polygons that hold each distinct location.
-
-    ``ring`` holds one ring, or all rings of all parts, holes too: a location is inside where a ray crosses an odd
-    number of edges. Cells wholly inside a polygon answer for all their points from one pre-aggregated row; points
-    in other cells are held against the edges of their own cell alone, whatever the size of the ring.
-    """
+def _in_polygons(points: DataFrame, polygons: DataFrame, ring: str, best: Column, at, whole_cells) -> DataFrame:
+    """l_lat, l_lng, best of each distinct location and polygon that holds it; cells wholly inside answer by
+    ``whole_cells`` of their rows."""
     whole, partial = _ring_cells(polygons.withColumn("best", best), ring)
     # polygon sizes span few powers of two, so the distinct levels are a bounded handful
     levels = sorted({r["lvl"] for r in whole.select("lvl").union(partial.select("lvl")).distinct().collect()})
+    whole = whole_cells(whole)
     sites = _sites(points, *at, "l", [])
     if not levels:
         return sites.limit(0).join(whole.select("best").limit(0))
@@ -494,7 +490,25 @@ def containing_polygons(points: DataFrame, polygons: DataFrame, ring: str, best:
     met = placed.join(partial, keys).select(
         "l_lat", "l_lng", "pg", "best", (_crossings("l_lat", "l_lng", size) + F.col("odd").cast("long")).alias("n"))
     edge = met.groupBy("l_lat", "l_lng", "pg").agg(F.sum("n").alias("n"), F.first("best").alias("best")).where("n % 2 = 1")
-    return inside.unionByName(edge.select("l_lat", "l_lng", "best")).groupBy("l_lat", "l_lng").agg(F.max("best").alias("best"))
+    return inside.unionByName(edge.select("l_lat", "l_lng", "best"))
+
+
+def polygon_pairs(points: DataFrame, polygons: DataFrame, ring: str, best: Column, at=("lat", "lng")) -> DataFrame:
+    """A row for every distinct location and polygon that holds it: l_lat, l_lng, best. See ``containing_polygons``."""
+    return _in_polygons(points, polygons, ring, best, at, lambda cells: cells)
+
+
+def containing_polygons(points: DataFrame, polygons: DataFrame, ring: str, best: Column,
+                        at=("lat", "lng")) -> DataFrame:
+    """Largest ``best`` value among the polygons that hold each distinct location.
+
+    ``ring`` holds one ring, or all rings of all parts, holes too: a location is inside where a ray crosses an odd
+    number of edges. Cells wholly inside a polygon answer for all their points from one pre-aggregated row; points
+    in other cells are held against the edges of their own cell alone, whatever the size of the ring.
+    """
+    top = lambda cells: cells.groupBy("lvl", "cx", "cy").agg(F.max("best").alias("best"))
+    found = _in_polygons(points, polygons, ring, best, at, top)
+    return found.groupBy("l_lat", "l_lng").agg(F.max("best").alias("best"))
 
 
 def thin_by_distance(ranked: DataFrame, limit: int, min_km: float, group: list[str],

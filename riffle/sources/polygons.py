@@ -47,8 +47,8 @@ def _exact(props: Column, names: list[str]) -> Column:
 
 
 def _with_rings(docs: DataFrame) -> DataFrame:
-    """Features with ``rings`` as arrays of [lng, lat]: of several polygons the one whose outer
-    ring has most points."""
+    """Features with ``parts`` (all polygons, each an array of rings of vertices) and ``rings`` as arrays of
+    [lng, lat]: of several polygons the one whose outer ring has most points."""
     x = docs.select(F.explode("features").alias("x")).select(
         F.col("x.properties").alias("props"), F.col("x.geometry").alias("geometry"))
     kind = F.get_json_object("geometry", "$.type")
@@ -61,7 +61,10 @@ def _with_rings(docs: DataFrame) -> DataFrame:
         F.size(F.try_element_at("rings", F.lit(1))) > 0)
     ring = F.transform(F.element_at("rings", 1), lambda p: F.struct(
         p[0].alias("lng"), p[1].alias("lat")))
-    return out.withColumn("ring", ring)
+    vertices = lambda r: F.transform(r, lambda v: F.struct(v[0].alias("lng"), v[1].alias("lat")))
+    whole = F.when(kind == "Polygon", F.array(single)).otherwise(multi)
+    parts = F.filter(F.transform(whole, lambda p: F.filter(F.transform(p, vertices), lambda r: F.size(r) > 0)), lambda p: F.size(p) > 0)
+    return out.withColumn("ring", ring).withColumn("parts", parts)
 
 
 def parks(docs: DataFrame) -> DataFrame:
@@ -88,16 +91,21 @@ def authorities(docs: DataFrame) -> DataFrame:
 
 
 def crown_land(docs: DataFrame) -> DataFrame:
-    """Outer rings as stored (no simplification), with box and area-weighted centroid."""
+    """Whole geometry as stored (no simplification): all parts and holes as text and as ``rings``, with the
+    box and the area-weighted centroid of them all."""
     p = F.col("props")
-    c, b = geo.ring_centroid("ring"), geo.bbox("ring")
+    c = geo.shape_centroid("parts")
+    every = F.flatten("parts")
+    b = geo.bbox(F.flatten(every))
     pair = lambda v: F.concat_ws(" ", v["lng"].cast("string"), v["lat"].cast("string"))
-    wkt = F.concat(F.lit("POLYGON (("), F.array_join(F.transform("ring", pair), ", "), F.lit("))"))
+    listed = lambda items: F.concat(F.lit("("), F.array_join(items, ", "), F.lit(")"))
+    text = F.transform("parts", lambda part: listed(F.transform(part, lambda r: listed(F.transform(r, pair)))))
+    wkt = F.when(F.size("parts") == 1, F.concat(F.lit("POLYGON "), text[0])).otherwise(F.concat(F.lit("MULTIPOLYGON "), listed(text)))
     return _with_rings(docs).select(
         _exact(p, CROWN_ID_FIELDS).alias("crown_id"),
         F.coalesce(_first(p, CROWN_TYPE_FIELDS), F.lit("Crown Land")).alias("land_use_type"),
         wkt.alias("geom_wkt"), c["lat"].alias("centroid_lat"), c["lng"].alias("centroid_lng"),
-        *[b[k].alias(f"bbox_{k}") for k in ("minx", "miny", "maxx", "maxy")], "ring",
+        *[b[k].alias(f"bbox_{k}") for k in ("minx", "miny", "maxx", "maxy")], "ring", every.alias("rings"),
     ).where("crown_id IS NOT NULL")
 
 
