@@ -14,8 +14,6 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.operators.aggregates import exact_median
-
 
 class _Stage(HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
@@ -62,15 +60,21 @@ class MostFrequent(_Stage, Estimator):
 
 
 class Median(_Stage, Estimator):
-    """Fits ``NumberFill`` to each column's exact median (the mean of the two middle values of an even number); a
-    column without values gets 0."""
+    """Fits ``NumberFill`` to each column's median, the mean of the two middle values of an even number; a column
+    without values gets 0. Two passes whatever the number of columns, with sketches of bounded size: exact up to
+    ``ACCURACY`` rows, beyond that within one row in ``ACCURACY`` of the middle."""
+
+    ACCURACY = 10_000
 
     def _fit(self, df: DataFrame) -> NumberFill:
         columns = self.getInputCols()
-        given = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]
-        found = exact_median(df.select(F.lit(1).alias("_all"), *given), ["_all"], columns).first()
+        given = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+        sizes = given.agg(*[F.count(c).alias(c) for c in given.columns]).first()
+        some = [c for c in given.columns if sizes[c]]
+        spots = {c: (((sizes[c] + 1) // 2 - 0.5) / sizes[c], (sizes[c] // 2 + 0.5) / sizes[c]) for c in some}
+        found = given.agg(*[F.percentile_approx(c, list(spots[c]), self.ACCURACY).alias(c) for c in some]).first() if some else {}
         model = NumberFill(inputCols=columns, outputCols=self.getOutputCols())
-        return model._set(values=[0.0 if found is None or found[c] is None else float(found[c]) for c in columns])
+        return model._set(values=[sum(found[c]) / 2 if c in spots else 0.0 for c in given.columns])
 
 
 class Scores(_Stage, Model):

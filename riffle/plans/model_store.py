@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riffle.plans import sdm as M
+from riffle.session import cut
 
 SCHEMA = ("species string, slug string, version string, trained_at timestamp, n_presence bigint, n_absence bigint, n_training bigint, auc double, trees int, "
           "calibrated boolean, confidence_tier string, parts int, importances map<string,double>, path string")
@@ -111,8 +112,10 @@ class ModelStore:
 def train_and_save(store: ModelStore, rows: DataFrame, matrix: DataFrame, species: list[str], version: str, trees: int = 200,
                    calibrated: bool = True, parallel: int = 6) -> list[str]:
     """Train and save every named species with enough presences; the names saved, in order."""
+    snapped = cut(M.snapped_records(rows, matrix))
+
     def one(name: str) -> str | None:
-        got = M.train_species(rows, matrix, name, trees, calibrated)
+        got = M.train_species(rows, matrix, name, trees, calibrated, snapped)
         if got is None:
             return None
         model, _, meta = got

@@ -71,10 +71,19 @@ def snapped_segments(rows: DataFrame, matrix: DataFrame) -> DataFrame:
         "ogf_id").distinct()
 
 
+def snapped_records(rows: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(species, ogf_id) of all occurrences that snap, once each: training many species snaps them all at once."""
+    found = S.with_nearest(rows.select("species", "lat", "lng"), matrix, S.DEGREES, "ogf_id", bound=SNAP_DEG, right_at=AT, how="inner")
+    return found.select("species", F.col("near_ogf_id").alias("ogf_id")).distinct()
+
+
 def presence(rows: DataFrame, matrix: DataFrame, species: str,
-             stocking_exclusion: bool = True) -> DataFrame:
+             stocking_exclusion: bool = True, snapped: DataFrame | None = None) -> DataFrame:
     """Segments with the species; stocked ones are left out for stocked salmonids."""
-    out = snapped_segments(of_species(rows, species), matrix)
+    if snapped is None:
+        out = snapped_segments(of_species(rows, species), matrix)
+    else:
+        out = of_species(snapped, species).select("ogf_id").distinct()
     if stocking_exclusion and species in STOCKING_CONFOUND:
         stocked = matrix.where("is_stocked_within_5yr").select("ogf_id")
         out = out.join(stocked, "ogf_id", "left_anti")
@@ -96,9 +105,10 @@ def sample_exact(rows: DataFrame, key: str, wanted, seed: int = SEED) -> DataFra
 
 
 def target_group_absence(rows: DataFrame, matrix: DataFrame, present: DataFrame,
-                         ratio: int = TARGET_GROUP_RATIO) -> DataFrame:
+                         ratio: int = TARGET_GROUP_RATIO, snapped: DataFrame | None = None) -> DataFrame:
     """Segments where other species were recorded, at least 10 km (in degrees) from presences."""
-    anywhere = snapped_segments(rows, matrix).join(present, "ogf_id", "left_anti")
+    anywhere = snapped_segments(rows, matrix) if snapped is None else snapped.select("ogf_id").distinct()
+    anywhere = anywhere.join(present, "ogf_id", "left_anti")
     spots = matrix.select("ogf_id", *AT)
     near = S.with_radius_count(
         spots.join(anywhere, "ogf_id", "left_semi"), spots.join(present, "ogf_id", "left_semi"),
@@ -271,13 +281,13 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
 
 
 def train_species(rows: DataFrame, matrix: DataFrame, species: str, trees: int = 200,
-                  calibrated: bool = True):
+                  calibrated: bool = True, snapped: DataFrame | None = None):
     """Model, training rows and a metadata dict; None when there are too few presences or no absence."""
-    present = cut(presence(rows, matrix, species))
+    present = cut(presence(rows, matrix, species, snapped=snapped))
     n = present.count()
     if n < MIN_PRESENCES:
         return None
-    absent = cut(target_group_absence(rows, matrix, present))
+    absent = cut(target_group_absence(rows, matrix, present, snapped=snapped))
     if absent.isEmpty():
         return None
     train = training_rows(matrix, present, absent)

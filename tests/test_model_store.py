@@ -1,6 +1,7 @@
 """Savable preprocessing, stored models, and the exact sample."""
 
 import datetime
+import statistics
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -32,6 +33,13 @@ def test_fills_of_columns_without_values(spark):
     assert Median(inputCols=["x"], outputCols=["f"]).fit(df.limit(0)).transform(df).first().f == 0.0
 
 
+def test_medians_of_many_rows(spark):
+    for n in (1, 2, 999, 1000):
+        df = spark.range(n).selectExpr("CAST(id * id AS DOUBLE) AS x", "IF(id % 3 = 0, CAST(-id AS DOUBLE), NULL) AS y")
+        got = Median(inputCols=["x", "y"], outputCols=["a", "b"]).fit(df).getOrDefault("values")
+        assert got == [statistics.median(i * i for i in range(n)), statistics.median(-i for i in range(0, n, 3))]
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     rows = [(i, 44 + i % 20 / 50, -79 - i // 20 / 50, i % 7, 100.0 + i, ["coarse", "fine", None][i % 3], float(i % 7 > 3)) for i in range(400)]
