@@ -10,9 +10,7 @@ from riffle.plans.model_store import ModelStore, train_and_save
 from riffle.session import cut
 
 TREES = 200
-#: What the queries that train and store do less of, as README says with times: trees, and the species named here.
-TREES_OF_MANY = 20
-STORED = ["HOUSEHOLD", "2-HIGH"]
+VERSION = "rf-20010101"
 TARGET = "1-URGENT"
 
 
@@ -143,9 +141,9 @@ def _(t):
 
 @query("l10_train_species")
 def _(t):
-    """Species are trained, calibrated and saved; a new object loads and scores."""
+    """All species with enough presences are trained, calibrated and saved; a new object loads and scores."""
     m, where = cut(matrix(t)), folder(t, "species_models")
-    train_and_save(ModelStore(t.spark, where), rows(t), m, STORED, "rf-20010101", TREES_OF_MANY)
+    train_and_save(ModelStore(t.spark, where), rows(t), m, None, VERSION, TREES)
     store = ModelStore(t.spark, where)
     return store.predict_all(m).join(store.latest().select("species", "n_presence"), "species").select(
         "ogf_id", "species", F.round("presence_probability", 6).alias("probability"), "n_presence", F.col("confidence_tier").alias("confidence"), "model_version")

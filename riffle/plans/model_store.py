@@ -48,10 +48,9 @@ class ModelStore:
         parts = model.parts if calibrated else [(model, None)]
         at = trained_at or datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
         path = f"{self.base}/models/{slug(species)}/{version}/{uuid.uuid4().hex}"
-        for i, (forest, curve) in enumerate(parts):
-            forest.write().overwrite().save(f"{path}/{i}/forest")
-            if curve is not None:
-                curve.write().overwrite().save(f"{path}/{i}/curve")
+        pieces = [(made, f"{path}/{i}/{name}") for i, part in enumerate(parts) for name, made in zip(("forest", "curve"), part) if made is not None]
+        with ThreadPoolExecutor(len(pieces)) as pool:
+            list(pool.map(lambda piece: piece[0].write().overwrite().save(piece[1]), pieces))
         n = int(meta["n_presence"])
         tier = "high" if n >= 50 else "medium" if n >= 15 else "low"
         row = (species, slug(species), version, at, n, int(meta["n_absence"]), int(meta["n_training"]), float(meta["auc"]), int(meta["trees"]), calibrated, tier,
@@ -83,35 +82,46 @@ class ModelStore:
         row = self.load_metadata(species, version)
         if row is None:
             return None
-        forests = [PipelineModel.load(f"{row['path']}/{i}/forest") for i in range(row["parts"])]
-        if not row["calibrated"]:
-            return forests[0]
-        return M.Calibrated([(f, IsotonicRegressionModel.load(f"{row['path']}/{i}/curve")) for i, f in enumerate(forests)])
+        return self._read(row)
+
+    @staticmethod
+    def _read(row) -> PipelineModel | M.Calibrated:
+        def part(i: int):
+            forest = PipelineModel.load(f"{row['path']}/{i}/forest")
+            return forest, IsotonicRegressionModel.load(f"{row['path']}/{i}/curve") if row["calibrated"] else None
+
+        with ThreadPoolExecutor(row["parts"]) as pool:
+            parts = list(pool.map(part, range(row["parts"])))
+        return M.Calibrated(parts) if row["calibrated"] else parts[0][0]
 
     def predict(self, species: str, matrix: DataFrame, version: str | None = None) -> DataFrame | None:
         """ogf_id, species, presence_probability, confidence_tier and model_version of every segment from the stored
         model; None if there is none."""
-        row, model = self.load_metadata(species, version), self.load(species, version)
-        if model is None:
-            return None
+        row = self.load_metadata(species, version)
+        return None if row is None else self._scored(row, matrix)
+
+    def _scored(self, row, matrix: DataFrame) -> DataFrame:
+        model = self._read(row)
         scored = model.score(matrix) if isinstance(model, M.Calibrated) else M.score(model, matrix)
-        return scored.select("ogf_id", F.lit(species).alias("species"), F.col("probability").alias("presence_probability"),
+        return scored.select("ogf_id", F.lit(row["species"]).alias("species"), F.col("probability").alias("presence_probability"),
                              F.lit(row["confidence_tier"]).alias("confidence_tier"), F.lit(row["version"]).alias("model_version"))
 
-    def predict_all(self, matrix: DataFrame) -> DataFrame:
-        """The same for all stored species, newest versions."""
+    def predict_all(self, matrix: DataFrame, parallel: int = 4) -> DataFrame:
+        """The same for all stored species, newest versions; the rows of the metadata are read once."""
+        with ThreadPoolExecutor(parallel) as pool:
+            parts = list(pool.map(lambda row: self._scored(row, matrix), self.latest().orderBy("species").collect()))
         out = None
-        for species in self.list_trained_species():
-            part = self.predict(species, matrix)
+        for part in parts:
             out = part if out is None else out.unionByName(part)
         if out is None:
             return self.spark.createDataFrame([], "ogf_id long, species string, presence_probability double, confidence_tier string, model_version string")
         return out
 
 
-def train_and_save(store: ModelStore, rows: DataFrame, matrix: DataFrame, species: list[str], version: str, trees: int = 200,
-                   calibrated: bool = True, parallel: int = 6) -> list[str]:
-    """Train and save every named species with enough presences; the names saved, in order."""
+def train_and_save(store: ModelStore, rows: DataFrame, matrix: DataFrame, species: list[str] | None, version: str, trees: int = 200,
+                   calibrated: bool = True, parallel: int = 3) -> list[str]:
+    """Train and save the named species, or all of the records if none is named, as far as they have enough presences;
+    the names saved, in order. Each species grows up to eight forests at once, so a few species fill a driver."""
     snapped = cut(M.snapped_records(rows, matrix))
 
     def one(name: str) -> str | None:
@@ -123,4 +133,4 @@ def train_and_save(store: ModelStore, rows: DataFrame, matrix: DataFrame, specie
         return name
 
     with ThreadPoolExecutor(parallel) as pool:
-        return [n for n in pool.map(one, species) if n is not None]
+        return [n for n in pool.map(one, M.trainable_species(snapped) if species is None else species) if n is not None]

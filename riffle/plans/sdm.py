@@ -77,6 +77,14 @@ def snapped_records(rows: DataFrame, matrix: DataFrame) -> DataFrame:
     return found.select("species", F.col("near_ogf_id").alias("ogf_id")).distinct()
 
 
+def trainable_species(snapped: DataFrame, least: int = MIN_PRESENCES) -> list[str]:
+    """Species with at least ``least`` segments, in order; names that differ by case are one species, under the least
+    name. What comes to the driver is one name for each model that is to be trained."""
+    found = snapped.where("species IS NOT NULL").groupBy(F.lower("species").alias("_key")).agg(
+        F.min("species").alias("species"), F.countDistinct("ogf_id").alias("n"))
+    return [r["species"] for r in found.where(F.col("n") >= least).select("species").orderBy("species").collect()]
+
+
 def presence(rows: DataFrame, matrix: DataFrame, species: str,
              stocking_exclusion: bool = True, snapped: DataFrame | None = None) -> DataFrame:
     """Segments with the species; stocked ones are left out for stocked salmonids."""
@@ -291,10 +299,12 @@ def train_species(rows: DataFrame, matrix: DataFrame, species: str, trees: int =
     if absent.isEmpty():
         return None
     train = training_rows(matrix, present, absent)
-    model = fit(train, trees)
-    final = fit_calibrated(train, trees=trees) if calibrated else model
-    meta = {"species": species, "n_presence": n, "n_absence": absent.count(), "n_training": train.count(), "trees": trees,
-            "auc": spatial_cv_auc(train, trees), "importances": importances(model)}
+    with ThreadPoolExecutor(3) as pool:
+        whole, auc = pool.submit(fit, train, trees), pool.submit(spatial_cv_auc, train, trees)
+        parts = pool.submit(fit_calibrated, train, trees=trees) if calibrated else whole
+        model, final = whole.result(), parts.result()
+        meta = {"species": species, "n_presence": n, "n_absence": absent.count(), "n_training": train.count(), "trees": trees,
+                "auc": auc.result(), "importances": importances(model)}
     return final, train, meta
 
 

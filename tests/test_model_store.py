@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
+from riffle.plans import jobs as J
 from riffle.plans import sdm as M
 from riffle.plans.fills import Median, MostFrequent, NumberFill, StandardScores, TextFill
 from riffle.plans.model_store import ModelStore, slug, version_of
@@ -81,3 +82,31 @@ def test_names():
 def test_sample_takes_a_scalar_subquery(spark):
     rows = spark.range(1000).withColumnRenamed("id", "ogf_id")
     assert M.sample_exact(rows, "ogf_id", rows.where("ogf_id < 7").agg(F.count("*") * 5).scalar()).count() == 35
+
+
+@pytest.fixture(scope="module")
+def recorded(spark):
+    matrix = spark.range(240).selectExpr("id AS ogf_id", "44 + (id % 20) / 4 AS centroid_lat", "-79 - CAST(id / 20 AS INT) / 4 AS centroid_lng",
+                                         "CAST(id % 7 AS INT) AS stream_order", "100.0 + id AS length_m", "false AS is_stocked_within_5yr")
+    names = F.element_at(F.array(*map(F.lit, ["Esox lucius", "esox lucius", "Perca flavescens"])), F.col("k") % 3 + 1)
+    rows = matrix.where("ogf_id % 4 = 0 OR ogf_id < 3").withColumn("k", F.col("ogf_id").cast("int")).select(
+        F.when(F.col("ogf_id") < 3, "Rare one").otherwise(names).alias("species"), F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"))
+    return rows, matrix
+
+
+def test_species_to_train_come_from_the_records(spark):
+    snapped = spark.createDataFrame([("B b", i) for i in range(5)] + [("A", i % 4) for i in range(9)] + [(None, i) for i in range(9)]
+                                    + [("c", 1), ("c", 2), ("C", 2), ("C", 3), ("C", 4), ("C", 5)], "species string, ogf_id long")
+    assert M.trainable_species(snapped) == ["B b", "C"] and M.trainable_species(snapped, 4) == ["A", "B b", "C"]
+    assert M.trainable_species(snapped.limit(0)) == []
+
+
+def test_all_species_are_trained_and_their_scores_stored(spark, recorded, tmp_path):
+    rows, matrix = recorded
+    store, models = J.Store(spark, f"{tmp_path}/tables"), ModelStore(spark, f"{tmp_path}/models")
+    names = J.train_and_store(store, models, rows, matrix, "rf-1", trees=3)
+    assert names == ["Esox lucius", "Perca flavescens"] == models.list_trained_species()
+    got = store.read("sdm_predictions").groupBy("species").agg(F.count("*").alias("n"), F.max("model_version").alias("v")).orderBy("species").collect()
+    assert [tuple(r) for r in got] == [("Esox lucius", 240, "rf-1"), ("Perca flavescens", 240, "rf-1")]
+    row = models.load_metadata("Esox lucius")
+    assert (row.parts, row.calibrated, row.trees, row.n_presence) == (3, True, 3, 39)
