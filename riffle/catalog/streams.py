@@ -67,9 +67,9 @@ def _(t):
     SELECT CAST(station_id AS VARCHAR) AS station_id, ts AS reading_datetime, discharge_cms
     FROM gauges QUALIFY row_number() OVER (PARTITION BY station_id, ts ORDER BY reading_id DESC) = 1""")
 def _(t):
-    from riffle.plans.jobs import Store
+    from riffle.plans.keyed_store import KeyedStore
 
-    store = Store(t.spark, folder(t, "store"))
+    store = KeyedStore(t.spark, folder(t, "keyed"), parts=16)
     rows = readings(t).select(
         F.col("station_id").cast("string").alias("station_id"), F.col("ts").alias("reading_datetime"),
         F.col("level_m").alias("water_level_m"), "discharge_cms", "reading_id")

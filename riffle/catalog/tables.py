@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riffle.catalog.registry import query
 from riffle.functions import predicates as P
 from riffle.operators import tables as Tb
+from riffle.plans.keyed_store import KeyedStore
 from riffle.session import checkpoint_dir
 from riffle.sources import delimited as D
 from riffle.sources import json_documents as Js
@@ -452,21 +453,38 @@ def _(t):
     return rows.select("species", "sara_status", F.col("jurisdictions_present")[0].alias("jurisdiction"))
 
 
-@query("a23_upsert", """
+_UPSERTED = """
     WITH b AS (SELECT s_suppkey * 2 AS ogf_id, s_acctbal AS length_m, 1 AS v FROM supplier UNION ALL
         SELECT s_suppkey * 2, s_acctbal + 1, 2 FROM supplier WHERE s_suppkey % 3 = 0)
     SELECT ogf_id, length_m FROM segments WHERE ogf_id NOT IN (SELECT ogf_id FROM b)
-    UNION ALL SELECT ogf_id, arg_max(length_m, v) FROM b GROUP BY 1""")
-def _(t):
+    UNION ALL SELECT ogf_id, arg_max(length_m, v) FROM b GROUP BY 1"""
+
+
+def _updates(t):
     b = t.supplier.select((F.col("s_suppkey") * 2).alias("ogf_id"), F.col("s_acctbal").alias("length_m"),
                           F.lit(1).alias("v"))
     b = b.unionByName(t.supplier.where("s_suppkey % 3 = 0").select(
         (F.col("s_suppkey") * 2).alias("ogf_id"), (F.col("s_acctbal") + 1).alias("length_m"),
         F.lit(2).alias("v")))
-    return Tb.upsert(t.segments.select("ogf_id", "length_m"), b, ["ogf_id"], F.col("v")).select(
+    return b
+
+
+@query("a23_upsert", _UPSERTED)
+def _(t):
+    return Tb.upsert(t.segments.select("ogf_id", "length_m"), _updates(t), ["ogf_id"], F.col("v")).select(
         "ogf_id", "length_m")
 
 
+@query("a23_keyed_merge", _UPSERTED)
+def _(t):
+    """The same as two batches of one writer to a table in parts, the second sent twice."""
+    store = KeyedStore(t.spark, folder(t, "keyed"), parts=16)
+    store.merge("lengths", t.segments.select("ogf_id", "length_m"), F.lit(1), "loader", 0, ["ogf_id"])
+    for _ in range(2):
+        store.merge("lengths", _updates(t), F.col("v"), "loader", 1, ["ogf_id"])
+    return store.read("lengths").select("ogf_id", "length_m")
+
+
 @query("a24_insert_if_absent", """
     WITH g AS (SELECT station_id, date_trunc('hour', ts) AS h, min(reading_id) AS reading_id FROM gauges
         GROUP BY 1, 2), first_half AS (SELECT * FROM g WHERE station_id < 12)

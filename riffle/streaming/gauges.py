@@ -127,10 +127,15 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def upsert_latest(stream: DataFrame, store, table: str, checkpoint: str, arrival: Column) -> None:
-    """Merge each micro-batch into a keyed table, of rows with one key the one of greatest ``arrival``;
-    replaying a batch changes nothing."""
+    """Merge each micro-batch into a table of a ``KeyedStore``, of rows with one key the one of greatest ``arrival``. The
+    stream is the writer, by the id that its checkpoint keeps, so a batch that is sent again changes nothing."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        store.merge(table, batch, arrival, stream_id, batch_id)
+
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: store.merge(table, batch, arrival) and None)
+        stream.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

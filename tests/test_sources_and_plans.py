@@ -188,8 +188,8 @@ def test_store_keeps_a_readable_version(spark, tmp_path):
     s = Store(spark, str(tmp_path / "db"))
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "ogf_id bigint, reason string")
     assert s.read("dismissed_segments").count() == 0
-    assert s.merge("dismissed_segments", rows) == 2
-    s.merge("dismissed_segments", rows.where("ogf_id = 2"))
+    assert s.merge("dismissed_segments", rows, F.lit(1)) == 2
+    s.merge("dismissed_segments", rows.where("ogf_id = 2"), F.lit(1))
     assert s.read("dismissed_segments").count() == 2 and s.versions("dismissed_segments") == [1, 2]
 
 
