@@ -48,27 +48,48 @@ def banded(km: Column, bands: list[tuple[float, float]], otherwise: float) -> Co
     return out.otherwise(F.lit(otherwise))
 
 
-def substrings(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Every substring of each distinct short name."""
-    n = F.length(name)
-    starts = df.withColumn("_i", F.explode(F.sequence(F.lit(1), n)))
-    return starts.withColumn("_l", F.explode(F.sequence(F.lit(1), n - F.col("_i") + 1))).select(
-        name, F.substring(F.col(name), F.col("_i"), F.col("_l")).alias(out)).distinct()
+def _grams(names: DataFrame, steps: Column) -> DataFrame:
+    """id, k and hash of the distinct substrings of 2^k characters of each name, for each k in ``steps``: as many rows
+    as the name has characters for each k."""
+    size = F.expr("shiftleft(1, k)")
+    each = names.withColumn("k", F.explode(steps)).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("name") - size + 1)))
+    return each.select("id", "k", F.xxhash64(F.substring(F.col("name"), F.col("_i"), size)).alias("h")).distinct()
 
 
-def without_name_overlap(items: DataFrame, name: str, visited: DataFrame,
-                         visited_name: str) -> DataFrame:
-    """Drop items whose name contains a visited name or is contained in one, ignoring case.
+def containments(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text_id, pattern_id) of all names of ``texts`` that contain a name of ``patterns``; both hold id and name, and
+    names are not empty.
 
-    "a contains b" is "b equals a substring of a": both directions become equality joins over the
-    distinct names. Unnamed items stay.
+    A pattern is looked up by one substring, of the greatest power of two of characters that it holds, that the fewest
+    texts have. What is found is then held against the whole pattern. A pattern with a substring that no text has is
+    given up at once.
     """
-    mine = items.select(F.lower(name).alias("n")).where("n <> ''").distinct()
-    theirs = visited.select(F.lower(visited_name).alias("v")).where("v <> ''").distinct()
-    inside = mine.join(substrings(theirs, "v", "n").select("n").distinct(), "n", "left_semi")
-    outside = substrings(mine, "n", "v").join(theirs, "v", "left_semi").select("n")
-    hit = inside.unionByName(outside).distinct()
-    return items.join(hit, F.lower(items[name]) == hit["n"], "left_anti")
+    top = F.floor(F.log2(F.length("name"))).cast("int")
+    asked = patterns.agg(F.collect_set(top)).scalar()  # 31 powers at most
+    mine = cut(_grams(texts, F.array_intersect(F.sequence(F.lit(0), top), asked)))
+    theirs = _grams(patterns, F.array(top))
+    whole = theirs.groupBy("id").agg(F.count("*").alias("_all"))
+    met = theirs.join(mine.groupBy("k", "h").agg(F.count("*").alias("n")), ["k", "h"])
+    rarest = met.groupBy("id").agg(F.count("*").alias("_met"), F.min_by(F.struct("k", "h"), F.struct("n", "h")).alias("g"))
+    rarest = rarest.join(whole, "id").where("_met = _all").select(F.col("id").alias("pattern_id"), "g.k", "g.h")
+    pairs = rarest.join(mine.withColumnRenamed("id", "text_id"), ["k", "h"]).select("text_id", "pattern_id")
+    named = pairs.join(texts.select(F.col("id").alias("text_id"), F.col("name").alias("_t")), "text_id").join(
+        patterns.select(F.col("id").alias("pattern_id"), F.col("name").alias("_p")), "pattern_id")
+    return named.where(F.contains("_t", "_p")).select("text_id", "pattern_id")
+
+
+def without_name_overlap(items: DataFrame, name: str, visited: DataFrame,
+                         visited_name: str) -> DataFrame:
+    """Drop items whose name contains a visited name or is contained in one, ignoring case. Unnamed items stay; an
+    empty name overlaps with nothing."""
+    def names(df: DataFrame, c: str) -> DataFrame:
+        lowered = df.select(F.lower(c).alias("name")).where("name <> ''").distinct()
+        return cut(lowered.select(F.md5("name").alias("id"), "name"))
+
+    mine, theirs = names(items, name), names(visited, visited_name)
+    hit = containments(mine, theirs).select(F.col("text_id").alias("_id")).unionByName(
+        containments(theirs, mine).select(F.col("pattern_id").alias("_id"))).distinct()
+    return items.join(hit, F.md5(F.lower(items[name])) == hit["_id"], "left_anti")
 
 
 def merge_species_sources(inat: DataFrame, gbif: DataFrame) -> DataFrame:
