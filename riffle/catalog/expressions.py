@@ -176,6 +176,23 @@ def _(t):
                     (F.col("value") - F.col("prev") > 0).alias("up"))
 
 
+def _earlier(hours: int) -> str:
+    return f"""(SELECT reading_id, pressure AS p{hours} FROM (SELECT a.reading_id, b.pressure, row_number() OVER (PARTITION BY a.reading_id
+        ORDER BY abs(b.u - (a.u - {hours * 3_600_000_000})), b.u, b.reading_id) AS rn
+      FROM g a JOIN g b ON a.station_id = b.station_id AND b.u < a.u) WHERE rn = 1)"""
+
+
+@query("x17_pressure_changes", f"""
+    WITH g AS (SELECT reading_id, station_id, epoch_us(ts) AS u, level_m AS pressure FROM gauges WHERE level_m IS NOT NULL),
+    d AS (SELECT reading_id, pressure, coalesce(p24, pressure) AS a, coalesce(p48, pressure) AS b
+      FROM g LEFT JOIN {_earlier(24)} USING (reading_id) LEFT JOIN {_earlier(48)} USING (reading_id))
+    SELECT reading_id, round(pressure - a, 1) + 0.0 AS delta_24h, round(pressure - b, 1) + 0.0 AS delta_48h,
+      CASE WHEN pressure - a > 1.5 THEN 'rising' WHEN pressure - a < -1.5 THEN 'falling' ELSE 'steady' END AS trend FROM d""")
+def _(t):
+    hourly = t.gauges.where("level_m IS NOT NULL").select("reading_id", F.col("station_id").alias("place_id"), "ts", F.col("level_m").alias("pressure"))
+    return We.pressure_trends(hourly).select("reading_id", "delta_24h", "delta_48h", "trend")
+
+
 @query("x18_species_group", """
     SELECT species, CASE WHEN contains(species, 'darter') THEN 'microfishing' WHEN contains(species, 'trout')
       THEN 'trout' WHEN contains(species, 'bass') THEN 'bass' WHEN contains(species, 'pike') THEN 'pike'

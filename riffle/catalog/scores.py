@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from riffle.catalog.aggregates import _BIRD_CASE, _BIRD_CODES, _COUNTS
 from riffle.catalog.registry import query
 from riffle.operators import aggregates as A
 from riffle.operators import spatial as S
@@ -214,7 +215,21 @@ def _(t):
         F.size("notes").alias("notes"))
 
 
-@query("k10_benthic_assessment")
+@query("k10_benthic_assessment", f"""
+    WITH s AS (SELECT v.site_code, round(ept_count / total_count, 4) AS p, ept_count / total_count AS share
+      FROM ({_COUNTS}) b LEFT JOIN visits v ON b.site_visit_id = v.site_visit_id WHERE total_count > 0),
+    m AS (SELECT count(*) AS visit_count, count(DISTINCT site_code) AS site_count, avg(p) AS p,
+      count(*) FILTER (WHERE share >= 0.5) / count(*) AS high, count(*) FILTER (WHERE share < 0.25) / count(*) AS bad FROM s)
+    SELECT visit_count, site_count, round(p, 3) AS mean_ept_proportion, concat_ws('|', 'Mean EPT proportion ' || printf('%.0f%%', p * 100) ||
+        CASE WHEN p >= 0.5 THEN ' — predominantly high-quality benthic habitat. Clean gravel substrate with strong EPT community.'
+          WHEN p >= 0.25 THEN ' — moderate benthic habitat quality. EPT community present but pollution-tolerant taxa are significant.'
+          ELSE ' — impaired benthic community. Pollution-tolerant taxa (Chironomidae, Oligochaeta) dominant.' END,
+        CASE WHEN high >= 0.5 THEN printf('%.0f%%', high * 100) || ' of sampled sites rated ''high'' quality.' END,
+        CASE WHEN bad >= 0.5 THEN printf('%.0f%%', bad * 100) || ' of sampled sites rated ''impaired''.' END) AS notes,
+      CASE WHEN p >= 0.5 THEN 'Coldwater and clean-water species (brook trout, darters, redhorse) are plausible. Substrate and thermal data would further constrain predictions.'
+        WHEN p >= 0.25 THEN 'Coolwater generalist species plausible. Sensitive taxa (brook trout) are marginal.'
+        ELSE 'Sensitive species (darters, redhorse, trout) are unlikely. Tolerant warmwater species (carp, bullhead, suckers) most plausible.'
+        END AS species_implications FROM m""")
 def _(t):
     from riffle.plans.habitat import benthic_assessment
 
@@ -370,18 +385,19 @@ def _(t):
         F.count("*").alias("n"))
 
 
-@query("k19_piscivore_note", """
+@query("k19_piscivore_note", f"""
     SELECT count(*) FILTER (WHERE species_code = 'osprey1') AS osprey1,
       count(*) FILTER (WHERE species_code = 'commer1') AS commer1,
       count(*) FILTER (WHERE species_code = 'grbher3') AS grbher3,
       count(*) FILTER (WHERE species_code = 'belkin1') AS belkin1,
       count(*) FILTER (WHERE species_code = 'doccor') AS doccor,
-      date_diff('day', max(observed_on), DATE '2024-03-01') AS days_ago FROM birds""")
+      date_diff('day', greatest(max(observed_on), (SELECT max(observed_on) FROM observations WHERE {_BIRD_CASE} IS NOT NULL)),
+        DATE '2024-03-01') AS days_ago FROM birds""")
 def _(t):
     from riffle.plans.birds import habitat_note, piscivore_summary
 
-    none = t.birds.limit(0).select("species_code", "observed_on")
-    return habitat_note(piscivore_summary(t.birds, none), "2024-03-01").drop("habitat_note")
+    other = t.observations.withColumn("species_code", A.lookup(_BIRD_CODES, F.col("species")))
+    return habitat_note(piscivore_summary(t.birds, other), "2024-03-01").drop("habitat_note")
 
 
 @query("k20_thermal_notes", """

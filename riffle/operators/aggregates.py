@@ -69,23 +69,27 @@ def values_at(df: DataFrame, keys: list[str], value: str, positions: dict[str, C
     return ends.select(*keys, "v", F.explode(hit).alias("_t")).select(*keys, F.col("_t.name").alias("name"), "v")
 
 
-def exact_median(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Median of each value column per key, nulls skipped; null for a key without a value."""
+def known_medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Median of each value column per key, nulls skipped; no row for a key without any value."""
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(v).alias("param"), F.col(v).cast("double").alias("x")) for v in values
     ])).alias("s")).select(*keys, "s.param", "s.x")
     n = F.col("n")
     found = values_at(long, [*keys, "param"], "x",
                       {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2)})
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("param", "string"), ("v", "double"))]
-    found = found.select(*keys, "param", "v").unionByName(df.select(*keys).distinct().select(*keys, *none))
-    middle = lambda v: F.avg(F.when(F.col("param") == v, F.col("v"))).alias(v)
-    return found.groupBy(*keys).agg(*[middle(v) for v in values])
+    return found.groupBy(*keys).agg(*[F.avg(F.when(F.col("param") == v, F.col("v"))).alias(v) for v in values])
+
+
+def exact_median(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The same with nulls for a key without a value."""
+    none = df.select(*keys).distinct().select(*keys, *[F.lit(None).cast("double").alias(v) for v in values])
+    both = known_medians(df, keys, values).unionByName(none)
+    return both.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values])
 
 
 def station_medians(readings: DataFrame) -> DataFrame:
     """Per-station medians of the water quality values, with the station's first coordinates."""
-    medians = exact_median(readings, ["station_id"], ["do_mgl", "ph", "conductivity_us_cm"])
+    medians = known_medians(readings, ["station_id"], ["do_mgl", "ph", "conductivity_us_cm"])
     where = readings.groupBy("station_id").agg(
         F.min_by("lat", "record_id").alias("lat"), F.min_by("lng", "record_id").alias("lng"))
     return where.join(medians, "station_id", "left").select(
