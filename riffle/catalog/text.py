@@ -107,13 +107,38 @@ def _(t):
     return best.select("zone", F.md5("text").alias("digest"), "char_count")
 
 
-@query("j6_keyword_in_context")
+def _in_context(word: str) -> str:
+    return f"""
+    WITH d AS (SELECT doc_id, text, length(text) AS n, string_split(lower(text), '{word}') AS p FROM documents),
+    spots AS (SELECT *, list_transform(generate_series(1, least(len(p) - 1, 5)),
+        lambda k: list_sum(list_transform(p[1:k], lambda x: length(x))) + {len(word)} * (k - 1)) AS spot FROM d WHERE len(p) > 1),
+    cuts AS (SELECT *, list_transform(spot, lambda a: [{{'s': greatest(a - 600, 0), 'e': least(a + {len(word)} + 600, n)}}]) AS r FROM spots),
+    kept AS (SELECT *, list_reduce(r, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k.s - x[1].s) < 600)) > 0
+        THEN acc ELSE list_concat(acc, x) END) AS k FROM cuts),
+    found AS (SELECT doc_id, array_to_string(list_transform(k, lambda x: CASE WHEN x.s > 0 THEN '…' ELSE '' END
+        || trim(substr(text, CAST(x.s + 1 AS BIGINT), CAST(x.e - x.s AS BIGINT))) || CASE WHEN x.e < n THEN '…' ELSE '' END),
+        chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS j FROM kept)
+    SELECT doc_id, md5(left(j, 3000)) AS digest, length(j) > 3000 AS truncated FROM found
+    UNION ALL SELECT doc_id, md5(left(text, 2000) || chr(10) || chr(10) || '[Note: ''{word}'' not found by exact name in this zone''s text. '
+        || 'The species may appear under a different name or may not have special rules listed (general limits apply). Full zone overview shown above.]'),
+      n > 2000 FROM d WHERE text IS NULL OR len(p) <= 1"""
+
+
+@query("j6_keyword_in_context", _in_context("heron"))
 def _(t):
     found = X.keyword_context(F.col("text"), F.lit("heron"))
     return t.documents.select("doc_id", found.alias("f")).select(
         "doc_id", F.md5("f.text").alias("digest"), "f.truncated")
 
 
+@query("j6_frequent_keyword_in_context", _in_context("ing"))
+def _(t):
+    """A keyword that occurs many times in a text, so that snippets overlap and are left out."""
+    found = X.keyword_context(F.col("text"), F.lit("ing"))
+    return t.documents.select("doc_id", found.alias("f")).select(
+        "doc_id", F.md5("f.text").alias("digest"), "f.truncated")
+
+
 @query("j7_truncate", """
     SELECT doc_id, md5(substr(text, 1, 2000)) AS digest, length(text) > 2000 AS truncated FROM documents""")
 def _(t):
