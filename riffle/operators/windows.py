@@ -39,17 +39,32 @@ def trailing_means(df: DataFrame, key: str, ts: str, values: dict[str, str],
                    seconds: int = 86_400) -> DataFrame:
     """Mean of each value over the trailing ``seconds``, the current row included.
 
-    Time is cut into blocks of that length; a row is also read by the next block, so every window
-    sees two blocks at most, whatever the number of rows of one key.
+    Rows of one key and instant are summed first. Time is cut into blocks of that length, so a window is
+    the head of its own block, summed forwards, and the tail of the block before, summed backwards from where
+    the window begins: two growing sums, whatever the number of rows in a window.
     """
     sec = F.unix_micros(F.col(ts).cast("timestamp"))
     width = seconds * 1_000_000
-    block = F.floor(sec / width)
-    rows = df.withColumn("_t", sec).withColumn("_own", block).withColumn(
-        "_block", F.explode(F.array(block, block + 1)))
-    w = Window.partitionBy(key, "_block").orderBy("_t").rangeBetween(-width, 0)
-    out = rows.withColumns({name: F.avg(v).over(w) for name, v in values.items()})
-    return out.where(F.col("_block") == F.col("_own")).drop("_t", "_own", "_block")
+    sums = {f"_s{i}": F.sum(v) for i, v in enumerate(values.values())}
+    counts = {f"_c{i}": F.count(v) for i, v in enumerate(values.values())}
+    instants = cut(df.groupBy(F.col(key).alias("_k"), sec.alias("_t")).agg(
+        *[e.alias(n) for n, e in (sums | counts).items()]).where(F.col("_t").isNotNull()))
+    block = lambda t: F.floor(t / width)
+    part = instants.withColumn("_block", block(F.col("_t")))
+    head = Window.partitionBy("_k", "_block").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    heads = part.select("_k", "_t", *[F.sum(n).over(head).alias(n) for n in sums | counts])
+    begins = instants.select("_k", (F.col("_t") - width).alias("_t"), F.lit(1).alias("_begin")).withColumn(
+        "_block", block(F.col("_t")))
+    tail = Window.partitionBy("_k", "_block").orderBy(F.desc("_t"), "_begin").rowsBetween(Window.unboundedPreceding, 0)
+    tails = part.withColumn("_begin", F.lit(0)).unionByName(begins, allowMissingColumns=True).withColumns(
+        {n: F.sum(n).over(tail) for n in sums | counts}).where("_begin = 1").select(
+        "_k", (F.col("_t") + width).alias("_t"), *sums, *counts)
+    both = heads.unionByName(tails).groupBy("_k", "_t").agg(*[F.sum(n).alias(n) for n in sums | counts])
+    means = both.select(F.col("_k"), F.col("_t"), *[
+        (F.col(f"_s{i}") / F.nullif(F.col(f"_c{i}"), F.lit(0))).alias(name) for i, name in enumerate(values)])
+    named = df.drop(*values) if set(values) & set(df.columns) else df
+    return named.join(means, named[key].eqNullSafe(means["_k"]) & (
+        F.unix_micros(named[ts].cast("timestamp")) == means["_t"])).drop("_k", "_t")
 
 
 def closest_in_time(df: DataFrame, key: str, ts: str, tie: str, seconds_back: int,
