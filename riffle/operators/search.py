@@ -102,4 +102,5 @@ def search_many(token_table: DataFrame, key: str, totals: DataFrame, questions:
     total = probes.join(wanted, ["token", key]).groupBy("qid", key, "need").agg(
         F.sum(part).alias("score"), F.count("*").alias("n"))
     full = total.where("n = need").select("qid", key, "score")
-    return top_per_group(full, ["qid"], [F.desc("score"), F.col(key)], limit, "rank")
+    # equal documents may differ in the last bits, by the order their parts were added in
+    return top_per_group(full, ["qid"], [F.desc(F.round("score", 9)), F.col(key)], limit, "rank")
