@@ -174,16 +174,23 @@ def wkt_point(wkt) -> Column:
     return F.when(col(wkt).startswith("POINT"), wkt_first_vertex(wkt))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def edges_of(points) -> Column:
     """Consecutive vertex pairs of an array of (lng, lat)."""
-    p = col(points)
-    n = F.size(p)
-    return F.when(n >= 2, F.zip_with(
-        F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1),
-        lambda a, b: F.struct(
-            a["lng"].alias("x1"), a["lat"].alias("y1"), b["lng"].alias("x2"), b["lat"].alias("y2")
-        ),
-    ))
+    def pairs(p: Column) -> Column:
+        n = F.size(p)
+        return F.when(n >= 2, F.zip_with(
+            F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1),
+            lambda a, b: F.struct(
+                a["lng"].alias("x1"), a["lat"].alias("y1"), b["lng"].alias("x2"), b["lat"].alias("y2")
+            ),
+        ))
+
+    return once(col(points), pairs)
 
 
 def _edge_len(e: Column) -> Column:
@@ -197,29 +204,33 @@ def polyline_length(points) -> Column:
 
 def polyline_midpoint(points) -> Column:
     """Point half way along the line (planar degrees); a lone vertex is its own midpoint."""
-    p = col(points)
-    half = polyline_length(p) / 2
     empty = F.struct(
         F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("lng"),
         F.lit(None).cast("double").alias("lat"),
     )
 
-    def walk(acc: Column, e: Column) -> Column:
-        step = _edge_len(e)
-        hit = acc["lng"].isNull() & (acc["run"] + step >= half) & (step > 0)
-        t = (half - acc["run"]) / step
-        return F.struct(
-            (acc["run"] + step).alias("run"),
-            F.when(hit, e["x1"] + t * (e["x2"] - e["x1"])).otherwise(acc["lng"]).alias("lng"),
-            F.when(hit, e["y1"] + t * (e["y2"] - e["y1"])).otherwise(acc["lat"]).alias("lat"),
-        )
-
-    walked = F.aggregate(edges_of(p), empty, walk)
-    first = F.element_at(p, 1)
-    return F.when(
-        (F.size(p) >= 2) & (polyline_length(p) > 0),
-        F.struct(walked["lng"].alias("lng"), walked["lat"].alias("lat")),
-    ).when(F.size(p) >= 1, F.struct(first["lng"].alias("lng"), first["lat"].alias("lat")))
+    def middle(line: Column) -> Column:
+        half, p = line["length"] / 2, line["p"]
+
+        def walk(acc: Column, e: Column) -> Column:
+            step = _edge_len(e)
+            hit = acc["lng"].isNull() & (acc["run"] + step >= half) & (step > 0)
+            t = (half - acc["run"]) / step
+            return F.struct(
+                (acc["run"] + step).alias("run"),
+                F.when(hit, e["x1"] + t * (e["x2"] - e["x1"])).otherwise(acc["lng"]).alias("lng"),
+                F.when(hit, e["y1"] + t * (e["y2"] - e["y1"])).otherwise(acc["lat"]).alias("lat"),
+            )
+
+        first = F.element_at(p, 1)
+        return F.when(
+            (F.size(p) >= 2) & (line["length"] > 0),
+            once(F.aggregate(line["edges"], empty, walk), lambda w: F.struct(w["lng"].alias("lng"), w["lat"].alias("lat"))),
+        ).when(F.size(p) >= 1, F.struct(first["lng"].alias("lng"), first["lat"].alias("lat")))
+
+    length = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, x: acc + _edge_len(x))
+    known = once(F.struct(col(points).alias("p")), lambda s: F.struct(s["p"].alias("p"), edges_of(s["p"]).alias("edges")))
+    return once(once(known, lambda s: F.struct(s["p"].alias("p"), s["edges"].alias("edges"), length(s["edges"]).alias("length"))), middle)
 
 
 def vertex_mean(points) -> Column:
