@@ -9,7 +9,7 @@ from riffle.functions import geo
 from riffle.operators import spatial as S
 from riffle.operators.aggregates import lookup, with_min_max
 from riffle.operators.joins import banded
-from riffle.session import cut
+from riffle.session import cut, together
 
 # Modifier per park type, bonuses per access type, road bands in km.
 PARK_MODIFIERS = {
@@ -76,14 +76,14 @@ def raw_scores(segments: DataFrame, access: DataFrame, parks: DataFrame, crown:
     # every modifier depends on the place alone: compute each from the distinct places
     lat, lng = at
     places = cut(segments.select(*at).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct())
-    parts = [
-        with_park_modifier(places, parks, at=at),
-        with_crown_flag(places, crown, at=at),
-        S.with_nearest(places, roads, S.DEGREES, "osm_id", bound=ROAD_REACH_DEG, left_at=at,
-                       distance="_road", prefix="_rd_"),
-        bonus_within(places, access, 0.5, HALF_KM_BONUSES, at),
-        bonus_within(places, access, 1.0, ONE_KM_BONUSES, at),
-    ]
+    parts = together(
+        lambda: with_park_modifier(places, parks, at=at),
+        lambda: with_crown_flag(places, crown, at=at),
+        lambda: S.with_nearest(places, roads, S.DEGREES, "osm_id", bound=ROAD_REACH_DEG, left_at=at,
+                               distance="_road", prefix="_rd_"),
+        lambda: bonus_within(places, access, 0.5, HALF_KM_BONUSES, at),
+        lambda: bonus_within(places, access, 1.0, ONE_KM_BONUSES, at),
+    )
     out = segments
     for part in parts:
         out = out.join(part, list(at), "left")
