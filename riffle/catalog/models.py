@@ -70,8 +70,9 @@ def _(t):
 def trained(t, species="HOUSEHOLD"):
     m = cut(matrix(t))
     r = rows(t)
-    present = cut(M.presence(r, m, species))
-    return m, M.training_rows(m, present, M.target_group_absence(r, m, present))
+    snapped = cut(M.snapped_records(r, m))
+    present = cut(M.presence(r, m, species, snapped=snapped))
+    return m, M.training_rows(m, present, M.target_group_absence(r, m, present, snapped=snapped))
 
 
 _KINDS = ("substrate_category", "thermal_regime", "ept_quality")
